@@ -75,7 +75,8 @@ def holm_adjust(df: DataFrame, p: str = "p_value", family: Sequence[str] = (), o
     left = F.count(col).over(whole) - F.row_number().over(step) + 1
     upto = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     raised = df.withColumn("_raw", F.when(col.isNotNull(), col * left))
-    return raised.withColumn(out, F.least(F.lit(1.0), F.max("_raw").over(upto))).drop("_raw")
+    adjusted = F.when(col.isNotNull(), F.least(F.lit(1.0), F.max("_raw").over(upto)))
+    return raised.withColumn(out, adjusted).drop("_raw")
 
 
 def bootstrap_intervals(

@@ -318,7 +318,7 @@ def score_sql(method: str, kind: str) -> str:
     return f"""{SCALED_SQL},
 {weights_sql(kind)},
 raws AS (SELECT scaled.*, {raw} AS raw_score,
-  array_to_string(list_transform(list_sort([{pairs}])[1:3], x -> x.f), ', ') AS top_matches
+  array_to_string([x.f FOR x IN list_sort([{pairs}])[1:3]], ', ') AS top_matches
   FROM scaled, mine, weights),
 scores AS (SELECT *, round_even(coalesce((raw_score - min(raw_score) OVER ()) /
   nullif(max(raw_score) OVER () - min(raw_score) OVER (), 0), 0), 4) AS preference_score FROM raws)"""
@@ -561,12 +561,12 @@ def _saved(t):
 
 
 def _cheap(t):
-    return t.part.filter("p_retailprice < 1000").withColumnRenamed("p_partkey", "p_partkey")
+    return t.part.filter("p_retailprice < 980")
 
 
 @query(
     "snk9_liked_known",
-    f"SELECT p_partkey FROM ({LOADED}) WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_retailprice < 1000)",
+    f"SELECT p_partkey FROM ({LOADED}) WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_retailprice < 980)",
 )
 def _known(t):
     return recommend.known_ids(_saved(t), _cheap(t), PARTS)
@@ -574,7 +574,7 @@ def _known(t):
 
 @query(
     "snk10_liked_unknown",
-    f"SELECT p_partkey FROM ({LOADED}) WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 1000)",
+    f"SELECT p_partkey FROM ({LOADED}) WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 980)",
 )
 def _unknown(t):
     return recommend.unknown_ids(_saved(t), _cheap(t), PARTS)
