@@ -50,12 +50,12 @@ def lookup_join(
     ``salts`` tasks and the per-group side is repeated once per salt.
     """
     on = list(on)
+    columns = list(big.columns)
+    if how not in ("left_semi", "left_anti"):
+        columns += [c for c in small.columns if c not in on]
     local = small_copy(small, max_rows)
     if local is not None:
-        return big.join(F.broadcast(local), on, how)
-    columns = [c for c in (*big.columns, *[s for s in small.columns if s not in on])]
-    if how in ("left_semi", "left_anti"):
-        columns = big.columns
+        return big.join(F.broadcast(local), on, how).select(*columns)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (

@@ -732,7 +732,7 @@ SCENARIOS = {
 
 def _linear_score(df: DataFrame) -> DataFrame:
     total = 10 * F.col("avg_discount") + 5 * F.col("avg_tax") + 0.01 * F.col("p_size") - 0.1
-    return df.withColumn("prediction", total / 7)
+    return df.withColumn("prediction", total / 7.3316951)
 
 
 @query(
@@ -771,9 +771,9 @@ def scenario_sql(name: str, changes: dict) -> str:
     disc, tax, size = (changes.get(c, 0.0) for c in ("avg_discount", "avg_tax", "p_size"))
     text = str(changes).replace("'", "''")
     return f"""SELECT p_partkey, '{name}' AS scenario, '{text}' AS changes,
-      (10 * avg_discount + 5 * avg_tax + 0.01::DOUBLE * p_size - 0.1::DOUBLE) / 7 AS a,
+      (10 * avg_discount + 5 * avg_tax + 0.01::DOUBLE * p_size - 0.1::DOUBLE) / 7.3316951::DOUBLE AS a,
       (10 * greatest(0, least(1, avg_discount + {disc}::DOUBLE)) + 5 * greatest(0, least(1, avg_tax + {tax}::DOUBLE))
-      + 0.01::DOUBLE * (p_size + {size}::DOUBLE) - 0.1::DOUBLE) / 7 AS b FROM catalogue"""
+      + 0.01::DOUBLE * (p_size + {size}::DOUBLE) - 0.1::DOUBLE) / 7.3316951::DOUBLE AS b FROM catalogue"""
 
 
 COMPARED_SQL = f"""{PARTS_SQL},

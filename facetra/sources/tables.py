@@ -138,7 +138,7 @@ def load_liked(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS) -> Da
     first = head[0][0].strip()
     key = spec.key[0]
     if first.startswith("["):
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         parsed = whole.select(F.from_json("value", "array<string>").alias("ids"))
         if parsed.filter("ids is null").limit(1).collect():
             raise ValueError(f"could not parse liked file '{path}'")
