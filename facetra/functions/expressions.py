@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 TRUE_WORDS = ("true", "t", "1", "yes")
 FALSE_WORDS = ("false", "f", "0", "no")
 
-NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def stripped(c: Column) -> Column:
     """Text without leading and trailing Unicode white space."""
-    return F.regexp_replace(c.cast("string"), EDGE_SPACE, "")
+    return F.btrim(c.cast("string"), F.lit(WHITE_SPACE))
 
 
 def clean_text(c: Column) -> Column:
@@ -25,26 +29,41 @@ def clean_text(c: Column) -> Column:
     return F.nullif(stripped(c), F.lit(""))
 
 
-def to_flag(c: Column) -> Column:
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Projection whose results later filters use as they are.
+
+    Catalyst pushes a filter below a plain projection by repeating its
+    expressions in the filter. It does not push through a generator, so costly
+    parsing in ``columns`` runs once per row.
+    """
+    return df.select(F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+def to_flag(c: Column, stripped_already: bool = False) -> Column:
     """Boolean from its usual spellings, NULL when the text is none of them.
 
     Casting to text first makes booleans and 0/1 numbers take the same path;
     ``1.0`` and ``0.0`` are what a numeric column prints.
     """
-    word = F.lower(stripped(c))
+    word = F.lower(c if stripped_already else stripped(c))
     return (
         F.when(word.isin(*TRUE_WORDS, "1.0"), F.lit(True))
         .when(word.isin(*FALSE_WORDS, "0.0"), F.lit(False))
     )
 
 
-def to_number(c: Column, dtype: str) -> Column:
-    """Double, NULL where a text does not spell a plain number or is NaN."""
-    if dtype in ("string", "varchar", "char"):
-        text = F.trim(stripped(c))
-        value = F.when(c.rlike(NUMBER), text.try_cast("double"))
-        return value
-    return no_nan(c.cast("double"))
+def to_number(c: Column, dtype: str, stripped_already: bool = False) -> Column:
+    """Double, NULL where a text does not spell a plain number or is NaN.
+
+    The cast also takes Java spellings (``1d``, ``1.5f``, ``0x1p3``), which are
+    no numbers in a data file.
+    """
+    if dtype not in ("string", "varchar", "char"):
+        return no_nan(c.cast("double"))
+    text = c if stripped_already else stripped(c)
+    low = F.lower(text)
+    java = low.endswith("d") | (low.endswith("f") & ~low.endswith("inf")) | low.contains("x")
+    return F.when(~java, no_nan(text.try_cast("double")))
 
 
 def no_nan(c: Column) -> Column:
@@ -64,7 +83,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 def half_even(c: Column, digits: int) -> Column:
     """Round half to even; adding zero turns -0.0 into 0.0."""
-    return F.bround(c, digits) + F.lit(0.0)
+    unit = F.lit(float(10**digits))
+    return F.rint(c * unit) / unit + F.lit(0.0)
 
 
 def safe_corr(x: Column, y: Column) -> Column:

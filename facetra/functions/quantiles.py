@@ -12,15 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expressions import no_nan
-from .scale import lookup_join, small_copy
+from .scale import local_frame, lookup_join, small_copy, small_table
 
 BINS = 4096
-LEAF_ROWS = 1_000_000  # rows of one group whose values one task may sort
-DIRECT_VALUES = 4_000_000  # values of one group held by ``percentile`` buffers
+LEAF_ROWS = 100_000  # rows of one interval whose values one task may sort
+DIRECT_VALUES = 1_000_000  # values of one group held by ``percentile`` buffers
 
 
 def order_statistics(
@@ -37,17 +38,15 @@ def order_statistics(
     group. Returns ``by``, ``rank``, ``v``.
     """
     by = list(by)
+    interval = [*by, "lo", "hi"]
     state = ranks.select(*by, "rank", "lo", "hi", "n", F.lit(0).cast("long").alias("below"))
     done = None
     while True:
-        state = _settle(state)
-        closed = state.filter("lo = hi").select(*by, "rank", F.col("lo").alias("v"))
+        closed, widest, bounds, wanted = _sort_out(state, by)
         done = closed if done is None else done.unionByName(closed)
-        state = state.filter("lo < hi")
-        widest = state.agg(F.max("n")).first()[0]
         if widest is None:
             return _settle(done)
-        inside = lookup_join(values, state, by, "inner").filter("v between lo and hi")
+        inside = lookup_join(values, bounds, by, "inner").filter("v between lo and hi")
         if widest <= leaf_rows:
             slot = F.col("v")
         else:
@@ -59,15 +58,24 @@ def order_statistics(
                 .when(F.isnan(span), F.lit(float(bins // 2)))
                 .otherwise(F.least(F.floor(span * bins).cast("double"), F.lit(float(bins - 1))))
             )
-        counted = inside.groupBy(*by, "rank", "below", slot.alias("slot")).agg(
-            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        counted = inside.groupBy(*interval, "below", slot.alias("slot")).agg(
+            F.count("*").alias("m"), F.min("v").alias("from"), F.max("v").alias("to")
         )
-        run = Window.partitionBy(*by, "rank").orderBy("slot")
-        upto = F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0))
+        run = Window.partitionBy(*interval).orderBy("slot")
+        upto = F.col("below") + F.sum("m").over(run.rowsBetween(Window.unboundedPreceding, 0))
+        slots = counted.select(*interval, "m", "from", "to", upto.alias("upto"))
+        hit = (F.col("upto") - F.col("m") <= F.col("rank")) & (F.col("rank") < F.col("upto"))
         state = (
-            counted.withColumn("upto", F.col("below") + upto)
-            .filter((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-            .select(*by, "rank", "lo", "hi", "n", (F.col("upto") - F.col("n")).alias("below"))
+            lookup_join(slots, wanted, interval, "inner")
+            .filter(hit)
+            .select(
+                *by,
+                "rank",
+                F.col("from").alias("lo"),
+                F.col("to").alias("hi"),
+                F.col("m").alias("n"),
+                (F.col("upto") - F.col("m")).alias("below"),
+            )
         )
 
 
@@ -76,6 +84,37 @@ def _settle(state: DataFrame) -> DataFrame:
     return small_copy(state) or state.checkpoint()
 
 
+def _sort_out(state: DataFrame, by: list[str]) -> tuple[DataFrame, int | None, DataFrame, DataFrame]:
+    """Solved ranks, rows of the widest open interval, open intervals, open ranks.
+
+    Ranks that share their bounds share one interval. The state of up to a
+    bounded number of groups is handled on the driver, so that a pass is one job.
+    """
+    shared, wanted = [*by, "lo", "hi", "below"], [*by, "lo", "hi", "rank"]
+    table = small_table(state)
+    if table is not None:
+        solved = pc.equal(table["lo"], table["hi"])
+        done = table.filter(solved)
+        done = done.select([*by, "rank", "lo"]).rename_columns([*by, "rank", "v"])
+        left = table.filter(pc.invert(solved))
+        like = state.withColumn("v", F.col("lo"))
+        bounds = left.group_by(shared).aggregate([]).select(shared)
+        return (
+            local_frame(done, like),
+            pc.max(left["n"]).as_py(),
+            local_frame(bounds, like),
+            local_frame(left.select(wanted), like),
+        )
+    state = state.checkpoint()
+    left = state.filter("lo < hi")
+    return (
+        state.filter("lo = hi").select(*by, "rank", F.col("lo").alias("v")),
+        left.agg(F.max("n")).first()[0],
+        left.select(*shared).distinct(),
+        left.select(*wanted),
+    )
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -90,32 +129,36 @@ def quantiles(
     """
     by, columns = list(by), list(columns)
     data = df.select(*by, *[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
-    largest = data.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest * len(columns) <= direct_values:
+    ends = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(F.col(f"`{c}`")).alias("n"),
+            F.min(F.col(f"`{c}`")).alias("lo"),
+            F.max(F.col(f"`{c}`")).alias("hi"),
+        ).alias(f"_{i}")
+        for i, c in enumerate(columns)
+    ]
+    wide = data.groupBy(*by).agg(*ends)
+    each = F.explode(F.array(*[F.col(f"_{i}") for i in range(len(columns))])).alias("_e")
+    base = _settle(wide.select(*by, each).select(*by, "_e.*").filter("n > 0"))
+    largest = base.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= direct_values:
         at = F.array(*[F.lit(float(p)) for p in probs])
-        wide = data.groupBy(*by).agg(*[F.percentile(c, at).alias(c) for c in columns])
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("q")) for c in columns]
-        )
-        long = wide.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.column", "_p.q")
-        return long.filter("q is not null")
-    return _narrowed(data, columns, probs, by, **narrowing)
+        found = data.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`"), at).alias(c) for c in columns])
+        return _long(found, columns, by, "q").filter("q is not null")
+    return _narrowed(_long(data, columns, by, "v").filter("v is not null"), base, probs, by, **narrowing)
 
 
-def _narrowed(data, columns, probs, by, **narrowing) -> DataFrame:
+def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
+    """One row per column: its name and its value as ``name``."""
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in columns]
-    )
-    long = (
-        data.select(*by, F.explode(pairs).alias("_p"))
-        .select(*by, "_p.column", "_p.v")
-        .filter("v is not null")
+        *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias(name)) for c in columns]
     )
+    return df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.column", f"_p.{name}")
+
+
+def _narrowed(long: DataFrame, base: DataFrame, probs, by, **narrowing) -> DataFrame:
     group = [*by, "column"]
-    base = long.groupBy(*group).agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
-    base = _settle(base)
     points = F.array(
         *[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +23,30 @@ def constants(df: DataFrame, **aggregates: Column) -> dict[str, Any]:
     return df.agg(*[v.alias(k) for k, v in aggregates.items()]).first().asDict()
 
 
-def small_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
-    """A local copy of ``df``, or None when it has more than ``max_rows`` rows.
+def small_table(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> pa.Table | None:
+    """The rows of ``df``, or None when there are more than ``max_rows``.
 
     ``limit`` bounds what the driver receives whatever the size of ``df``.
     """
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return None
-    if table.num_rows == 0:
-        return df.sparkSession.createDataFrame([], df.schema)
-    return df.sparkSession.createDataFrame(table, df.schema)
+    return table if table.num_rows <= max_rows else None
+
+
+def local_frame(table: pa.Table, like: DataFrame) -> DataFrame:
+    """A DataFrame over rows the driver holds, with the columns of ``like``."""
+    spark = like.sparkSession
+    schema = like.select(*table.column_names).schema
+    out = spark.createDataFrame(table, schema) if table.num_rows else spark.createDataFrame([], schema)
+    out._facetra_rows = table.num_rows
+    return out
+
+
+def small_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
+    """A local copy of ``df``, or None when it has more than ``max_rows`` rows."""
+    if df.__dict__.get("_facetra_rows", max_rows + 1) <= max_rows:
+        return df
+    table = small_table(df, max_rows)
+    return None if table is None else local_frame(table, df)
 
 
 def lookup_join(

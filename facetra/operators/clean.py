@@ -17,6 +17,7 @@ from ..functions.expressions import (
     best_row,
     clean_text,
     long_rows,
+    settle,
     stripped,
     to_flag,
     to_number,
@@ -80,6 +81,27 @@ def numeric_coercions(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
     return long_rows(one, [(c, F.col(c)) for c in cols], ("column", "value"))
 
 
+def typed_rows(df: DataFrame, spec: FeatureSpec = TRACKS, marks: bool = False) -> DataFrame:
+    """Text, flag and numbers in one projection.
+
+    ``marks`` adds what each value was before: ``_blank_``, ``_set_`` and
+    ``_flag`` columns for the report.
+    """
+    types = dict(df.dtypes)
+    texts, nums = _present(df, spec.text), _present(df, spec.numeric)
+    flag = [spec.flag] if spec.flag and spec.flag in df.columns else []
+    parsed = [*texts, *flag, *[c for c in nums if types[c] == "string"]]
+    bare = df.withColumns({c: stripped(F.col(c)) for c in parsed})
+    values = {c: F.col(c) for c in df.columns}
+    values |= {c: F.nullif(F.col(c), F.lit("")) for c in texts}
+    values |= {c: to_flag(F.col(c), stripped_already=True) for c in flag}
+    values |= {c: to_number(F.col(c), types[c], stripped_already=True) for c in nums}
+    if marks:
+        values |= {f"_blank_{c}": F.col(c) == "" for c in texts}
+        values |= {f"_set_{c}": F.col(c).isNotNull() for c in [*flag, *nums]}
+    return settle(bare, values)
+
+
 def drop_missing(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
     """Drop rows that lack a required text."""
     return df.na.drop(subset=list(spec.required_text))
@@ -152,9 +174,7 @@ def duplicate_counts(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
 def clean_rows(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
     """All row-wise steps, without de-duplication. Also works on a stream."""
     df, _ = drop_index_column(df)
-    for step in (standardize_text, normalize_flag, coerce_numeric, drop_missing, remove_invalid):
-        df = step(df, spec)
-    return df
+    return remove_invalid(drop_missing(typed_rows(df, spec), spec), spec)
 
 
 def clean_data(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
@@ -167,28 +187,17 @@ def clean_report(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
     """What each cleaning step changed or removed, as long rows."""
     validate_cleaning_columns(df, spec)
     raw, dropped = drop_index_column(df)
-    types = dict(raw.dtypes)
-
-    texts = _present(raw, spec.text)
-    nums = _present(raw, spec.numeric)
-    typed = coerce_numeric(normalize_flag(standardize_text(raw, spec), spec), spec)
-    marks = {f"blank_{c}": stripped(F.col(c)) == "" for c in texts}
-    marks |= {
-        f"number_{c}": F.col(c).isNotNull() & to_number(F.col(c), types[c]).isNull() for c in nums
-    }
-    if spec.flag:
-        flag = F.col(spec.flag)
-        marks["flag"] = flag.isNotNull() & to_flag(flag).isNull()
-    marked = raw.withColumns({f"_{k}": v for k, v in marks.items()})
-    marked = coerce_numeric(normalize_flag(standardize_text(marked, spec), spec), spec)
-
+    texts, nums = _present(raw, spec.text), _present(raw, spec.numeric)
+    marked = typed_rows(raw, spec, marks=True)
     named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in spec.required_text])
-    bad = invalid_flags(typed, spec)
+    bad = invalid_flags(marked, spec)
     valid = named
     for c in spec.required_numeric:
         ok = F.col(c).isNotNull()
         valid = valid & (ok & ~bad[c] if c in bad else ok)
-    counters = {k: F.count_if(F.col(f"_{k}")) for k in marks}
+    counters = {f"blank_{c}": F.count_if(F.col(f"_blank_{c}")) for c in texts}
+    lost = [*nums, *([spec.flag] if spec.flag in raw.columns else [])]
+    counters |= {f"lost_{c}": F.count_if(F.col(f"_set_{c}") & F.col(c).isNull()) for c in lost}
     counters |= {f"missing_{c}": F.count_if(F.col(c).isNull()) for c in spec.required_text}
     counters |= {f"invalid_{c}": F.count_if(named & b) for c, b in bad.items()}
     got = constants(
@@ -202,8 +211,8 @@ def clean_report(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
         ("rows_removed_total", None, got["rows"] - kept["distinct_keys"]),
         ("index_columns_removed", None, dropped),
         *[("blank_text_values", c, got[f"blank_{c}"]) for c in texts],
-        ("flag_values_coerced_to_missing", None, got.get("flag", 0)),
-        *[("numeric_values_coerced_to_missing", c, got[f"number_{c}"]) for c in nums],
+        ("flag_values_coerced_to_missing", None, got.get(f"lost_{spec.flag}", 0)),
+        *[("numeric_values_coerced_to_missing", c, got[f"lost_{c}"]) for c in nums],
         *[("missing_values_before_drop", c, got[f"missing_{c}"]) for c in spec.required_text],
         ("rows_removed_for_missing_values", None, got["rows"] - got["named"]),
         *[("invalid_values_detected", c, got[f"invalid_{c}"]) for c in bad],

@@ -141,38 +141,39 @@ class Taste:
 
 
 def learn_taste(items: DataFrame, liked: DataFrame, weights: str = "uniform", spec: FeatureSpec = TRACKS) -> Taste:
-    """Two one-row aggregates: bounds of the catalogue, moments of the liked rows."""
+    """Bounds of the catalogue and moments of its liked rows, in one pass."""
     if weights not in WEIGHTS:
         raise ValueError(f"Unknown weights '{weights}'. Expected one of {WEIGHTS}.")
     fs = spec.features
-    ends = constants(
-        items,
+    marks = liked.select(*spec.key).distinct().withColumn("_liked", F.lit(True))
+    marked = lookup_join(items.select(*spec.key, *fs), marks, spec.key, "left")
+    mine = F.col("_liked")
+    got = constants(
+        marked,
+        n=F.count(mine),
         **{f"lo_{f}": F.min(f) for f in fs},
         **{f"hi_{f}": F.max(f) for f in fs},
+        **{f"avg_{f}": F.avg(F.when(mine, F.col(f))) for f in fs},
+        **{f"var_{f}": F.var_pop(F.when(mine, F.col(f))) for f in fs},
     )
-    low = {f: ends[f"lo_{f}"] for f in fs}
-    high = {f: ends[f"hi_{f}"] for f in fs}
-    bare = Taste(spec, low, high, {}, {})
-    mine = constants(
-        liked_rows(items, liked, spec),
-        n=F.count("*"),
-        **{f"avg_{f}": F.avg(f) for f in fs},
-        **{f"var_{f}": F.var_pop(bare.scaled(f)) for f in fs},
-    )
-    if not mine["n"]:
+    if not got["n"]:
         raise ValueError("the liked set is empty; add items first")
+    low = {f: got[f"lo_{f}"] for f in fs}
+    high = {f: got[f"hi_{f}"] for f in fs}
     weight = {f: 1.0 / len(fs) for f in fs}
     if weights == "inverse_variance":
-        if mine["n"] < 2:
+        if got["n"] < 2:
             warnings.warn(
                 "inverse_variance weighting needs at least 2 liked items; using uniform weights",
                 stacklevel=3,
             )
         else:
-            inverse = {f: 1.0 / (mine[f"var_{f}"] + EPSILON) for f in fs}
+            # variance of the scaled values; a constant feature scales to 0
+            spans = {f: high[f] - low[f] or 1.0 for f in fs}
+            inverse = {f: 1.0 / (got[f"var_{f}"] / spans[f] ** 2 + EPSILON) for f in fs}
             whole = sum(inverse.values())
             weight = {f: v / whole for f, v in inverse.items()}
-    return Taste(spec, low, high, {f: mine[f"avg_{f}"] for f in fs}, weight)
+    return Taste(spec, low, high, {f: got[f"avg_{f}"] for f in fs}, weight)
 
 
 def score(items: DataFrame, taste: Taste, method: str = "cosine") -> DataFrame:

@@ -332,7 +332,7 @@ def _clean_csv(t):
 
 
 def _typed_rows(t):
-    return clean.coerce_numeric(clean.normalize_flag(clean.standardize_text(t.dirty, DIRTY), DIRTY), DIRTY)
+    return clean.typed_rows(t.dirty, DIRTY)
 
 
 @query(

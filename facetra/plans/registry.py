@@ -11,6 +11,7 @@ from .bindings import Tables
 
 NUDGE = 1e-9
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
+PLAIN: dict[str, Callable[[Tables], DataFrame]] = {}  # without the rounding
 SQL: dict[str, str] = {}
 
 
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None):
 
     def add(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda t: rounded(fn(t))
+        PLAIN[name] = fn
         if sql:
             SQL[name] = sql
         return fn
