@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expressions import no_nan
-from .scale import local_frame, lookup_join, small_copy, small_table
+from .scale import cut_lineage, local_frame, lookup_join, small_copy, small_table
 
 BINS = 4096
 LEAF_ROWS = 100_000  # rows of one interval whose values one task may sort
@@ -81,7 +81,7 @@ def order_statistics(
 
 def _settle(state: DataFrame) -> DataFrame:
     """Cut the lineage of the per-group state between two passes."""
-    return small_copy(state) or state.checkpoint()
+    return small_copy(state) or cut_lineage(state)
 
 
 def _sort_out(state: DataFrame, by: list[str]) -> tuple[DataFrame, int | None, DataFrame, DataFrame]:
@@ -105,7 +105,7 @@ def _sort_out(state: DataFrame, by: list[str]) -> tuple[DataFrame, int | None, D
             local_frame(bounds, like),
             local_frame(left.select(wanted), like),
         )
-    state = state.checkpoint()
+    state = cut_lineage(state)
     left = state.filter("lo < hi")
     return (
         state.filter("lo = hi").select(*by, "rank", F.col("lo").alias("v")),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows a side may have to be broadcast. At ~30 doubles a row this is 25 MB.
@@ -23,6 +24,26 @@ def constants(df: DataFrame, **aggregates: Column) -> dict[str, Any]:
     return df.agg(*[v.alias(k) for k, v in aggregates.items()]).first().asDict()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach: the one the cluster names.
+
+    Only where none is named, as in local tests, a temporary one is set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="facetra-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def small_table(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> pa.Table | None:
     """The rows of ``df``, or None when there are more than ``max_rows``.
 

@@ -91,18 +91,20 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Percentile-bootstrap interval of r(feature, target) per feature.
 
-    Rows fall into ``blocks`` random groups by the hash of their key. One
-    aggregate reduces every group to its moments; whole groups are then drawn
-    with replacement. Groups of independent rows vary like the rows themselves,
-    so the interval estimates the same spread as drawing single rows, at the
-    cost of one pass over the data instead of ``n_bootstrap``. A table with far
-    fewer rows than blocks has one row per group: the ordinary bootstrap.
+    Rows fall into ``blocks`` random groups by the hash of their key and values.
+    One aggregate reduces every group to its moments; whole groups are then
+    drawn with replacement. Groups of independent rows vary like the rows
+    themselves, so the interval estimates the same spread as drawing single
+    rows, at the cost of one pass over the data instead of ``n_bootstrap``. A
+    table with far fewer rows than blocks has one row per group: the ordinary
+    bootstrap. Exact copies of a row share a group; :func:`_resample` splits a
+    group far above the usual size into equal parts, which for copies is exact.
     """
     schema = "feature string, ci_low double, ci_high double"
     if n_bootstrap <= 0:
         return df.sparkSession.createDataFrame([(f, None, None) for f in features], schema)
     entropy = int(np.random.SeedSequence().entropy % (2**32)) if seed is None else int(seed)
-    block = F.pmod(F.xxhash64(F.lit(entropy), *[F.col(k) for k in key]), F.lit(blocks))
+    block = F.pmod(F.xxhash64(F.lit(entropy), *[F.col(c) for c in (*key, target, *features)]), F.lit(blocks))
     y = F.col(target)
 
     def moments(f: str) -> Column:
@@ -157,15 +159,17 @@ def _resample(m: pd.DataFrame, n_bootstrap: int, rng: np.random.Generator) -> np
             n * (m["vxy"].to_numpy() + dx * dy),
         ]
     )
-    g = len(m)
+    parts = np.maximum(1.0, np.rint(n / np.median(n)))
+    share, total = parts / parts.sum(), int(parts.sum())
+    sums = sums / parts[:, None]
     out = []
     for start in range(0, n_bootstrap, 256):
         size = min(256, n_bootstrap - start)
-        w = rng.multinomial(g, np.full(g, 1.0 / g), size=size)
+        w = rng.multinomial(total, share, size=size)
         k, sx, sy, sxx, syy, sxy = (w @ sums).T
-        cxx, cyy = sxx - sx * sx / k, syy - sy * sy / k
-        flat = (cxx <= 1e-12 * sxx) | (cyy <= 1e-12 * syy)
         with np.errstate(divide="ignore", invalid="ignore"):
+            cxx, cyy = sxx - sx * sx / k, syy - sy * sy / k
+            flat = ~((cxx > 1e-12 * sxx) & (cyy > 1e-12 * syy))
             r = (sxy - sx * sy / k) / np.sqrt(cxx * cyy)
         out.append(np.where(flat, np.nan, r))
     return np.concatenate(out)

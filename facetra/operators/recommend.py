@@ -40,15 +40,18 @@ def keys_of(rows: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
 
 def add_ids(liked: DataFrame | None, items: DataFrame, ids: list, spec: FeatureSpec = TRACKS) -> DataFrame:
     """The liked set with more keys; raises when one is not in the catalogue."""
-    rows = [i if isinstance(i, tuple) else (i,) for i in ids]
-    schema = items.select(*spec.key).schema
-    new = items.sparkSession.createDataFrame(rows, schema)
-    unknown = new.join(items.select(*spec.key), list(spec.key), "left_anti").limit(5).collect()
+    new = _key_frame(items, ids, spec)
+    unknown = unknown_ids(new, items, spec).limit(5).collect()
     if unknown:
         raise ValueError(f"not found in the catalogue: {[tuple(u) for u in unknown]}")
     return new.distinct() if liked is None else liked.unionByName(new).distinct()
 
 
+def _key_frame(like: DataFrame, ids: list, spec: FeatureSpec) -> DataFrame:
+    rows = [i if isinstance(i, tuple) else (i,) for i in ids]
+    return like.sparkSession.createDataFrame(rows, like.select(*spec.key).schema)
+
+
 def find_by_name(items: DataFrame, name: str, owner: str | None = None, spec: FeatureSpec = TRACKS) -> DataFrame:
     """Key of the first item with that name; the owner is a literal substring."""
     hit = F.lower(spec.name) == name.lower()
@@ -66,9 +69,7 @@ def add_by_name(liked, items, name, owner=None, spec: FeatureSpec = TRACKS) -> D
 
 
 def remove_ids(liked: DataFrame, ids: list, spec: FeatureSpec = TRACKS) -> DataFrame:
-    rows = [i if isinstance(i, tuple) else (i,) for i in ids]
-    gone = liked.sparkSession.createDataFrame(rows, liked.select(*spec.key).schema)
-    return liked.join(gone, list(spec.key), "left_anti")
+    return lookup_join(liked, _key_frame(liked, ids, spec), spec.key, "left_anti")
 
 
 def clear(liked: DataFrame) -> DataFrame:
@@ -286,8 +287,14 @@ def seeds(items: DataFrame, n: int = 5, spec: FeatureSpec = TRACKS) -> DataFrame
 
 
 def known_ids(ids: DataFrame, items: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
-    return ids.join(items.select(*spec.key).distinct(), list(spec.key), "left_semi")
+    """The ids the catalogue has.
+
+    The catalogue is filtered by the ids rather than joined to them, so a short
+    list of ids never shuffles it.
+    """
+    keys = ids.select(*spec.key).distinct()
+    return lookup_join(items.select(*spec.key), keys, spec.key, "left_semi").distinct()
 
 
 def unknown_ids(ids: DataFrame, items: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
-    return ids.join(items.select(*spec.key).distinct(), list(spec.key), "left_anti")
+    return lookup_join(ids, known_ids(ids, items, spec), spec.key, "left_anti")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import shared_folder
 from ..spec import FeatureSpec
 
 ITEMS = FeatureSpec(
@@ -138,12 +138,8 @@ VECTORS_SQL = (
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="facetra-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/facetra-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/facetra-{uuid.uuid4().hex}"
 
 
 class Tables:

@@ -188,3 +188,19 @@ def test_run(df):
     assert list(got["feature_buckets"]) == top
     by = {r["direction"]: r for r in analyze.directions(got["correlations"]).collect()}
     assert "energy" in by["positive"]["features"].split(", ")
+
+
+def test_bootstrap_with_a_hot_copy(spark):
+    """A third of all rows are copies of one row; they still count as single rows."""
+    n = 6_000
+    df = spark.range(n).select("id", F.randn(1).alias("x"), (F.randn(2) + F.randn(1)).alias("y"))
+    hot = F.col("id") % 3 == 0
+    df = df.select(*[F.when(hot, F.lit(0).cast(t)).otherwise(F.col(c)).alias(c) for c, t in df.dtypes])
+    r = df.select(F.corr("x", "y")).first()[0]
+    wide = bootstrap_intervals(df, ["x"], "y", ["id"], 1000, 0.05, 1, blocks=500).first()
+    # the same rows with distinct keys, one row per group at most now and then
+    spread = df.withColumn("id", F.monotonically_increasing_id())
+    single = bootstrap_intervals(spread, ["x"], "y", ["id"], 1000, 0.05, 1, blocks=100_000).first()
+    assert wide["ci_low"] < r < wide["ci_high"]
+    a, b = (v["ci_high"] - v["ci_low"] for v in (wide, single))
+    assert a == pytest.approx(b, rel=0.2)

@@ -145,3 +145,17 @@ def test_direct_and_narrowed_agree(tracks):
         for r in quantiles(df, ["tempo", "energy"], (0.1, 0.5), direct_values=0, bins=4, leaf_rows=3).collect()
     }
     assert a.keys() == b.keys() and all(a[c] == pytest.approx(b[c]) for c in a)
+
+
+def test_many_groups_go_through_the_shared_folder(spark, monkeypatch):
+    """The search with a state too large for the driver gives the same."""
+    from facetra.functions import quantiles as q
+
+    rows = [(i % 4, float(i * i % 97)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    narrow = {"direct_values": 0, "bins": 8, "leaf_rows": 10}
+    want = {r["g"]: r["q"] for r in quantiles(df, ["v"], (0.3, 0.5), ["g"], **narrow).collect()}
+    monkeypatch.setattr(q, "small_table", lambda *_: None)
+    monkeypatch.setattr(q, "small_copy", lambda *_: None)
+    got = {r["g"]: r["q"] for r in quantiles(df, ["v"], (0.3, 0.5), ["g"], **narrow).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
