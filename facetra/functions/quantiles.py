@@ -1,11 +1,13 @@
 """Exact order statistics that never bring a whole column to one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer, so it is
-used only for groups of a checked size. Larger groups are narrowed down: each
-pass counts rows in a fixed number of bins between the current bounds, keeps the
-bin that holds the wanted rank, and tightens the bounds to the smallest and
-largest value seen in it. A pass shuffles at most bins x groups counters,
-whatever the number of rows and however skewed the values.
+used only for groups of a checked size. Larger groups are narrowed down. A sketch
+brackets each wanted value; counting gives the exact rank of the bracket, and a
+bracket that misses is dropped. While a bracket holds too many rows, a pass
+counts them in a fixed number of bins, keeps the bin that holds the wanted rank,
+and tightens the bounds to the smallest and largest value seen in it. A pass
+shuffles at most bins x groups counters, whatever the number of rows and however
+skewed the values.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .scale import cut_lineage, local_frame, lookup_join, small_copy, small_tabl
 
 BINS = 4096
 LEAF_ROWS = 100_000  # rows of one interval whose values one task may sort
+ACCURACY = 10_000  # of the sketch that gives the first brackets
+MARGIN = 2.0 / ACCURACY
 DIRECT_VALUES = 1_000_000  # values of one group held by ``percentile`` buffers
 
 
@@ -34,12 +38,14 @@ def order_statistics(
     """The value of each wanted 0-based ``rank`` per group.
 
     ``values`` has the ``by`` columns and a double ``v`` without NULL or NaN;
-    ``ranks`` has ``by``, ``rank`` and the bounds ``n``, ``lo``, ``hi`` of its
-    group. Returns ``by``, ``rank``, ``v``.
+    ``ranks`` has ``by``, ``rank``, bounds ``lo`` and ``hi`` of the wanted value
+    and ``n`` rows between them; ``below`` counts rows under ``lo`` where that is
+    not the minimum. Returns ``by``, ``rank``, ``v``.
     """
     by = list(by)
     interval = [*by, "lo", "hi"]
-    state = ranks.select(*by, "rank", "lo", "hi", "n", F.lit(0).cast("long").alias("below"))
+    below = F.col("below") if "below" in ranks.columns else F.lit(0).cast("long").alias("below")
+    state = ranks.select(*by, "rank", "lo", "hi", "n", below)
     done = None
     while True:
         closed, widest, bounds, wanted = _sort_out(state, by)
@@ -125,53 +131,107 @@ def quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles: ``by``, ``column``, ``q`` (array by prob).
 
-    Columns without a value in a group give no row.
+    Columns without a value in a group give no row. ``by`` holds no NULL.
     """
     by, columns = list(by), list(columns)
-    data = df.select(*by, *[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
+    names = [f"_v{i}" for i in range(len(columns))]
+    data = df.select(*by, *[no_nan(F.col(c).cast("double")).alias(v) for c, v in zip(columns, names)])
+    near = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-MARGIN, MARGIN)])
     ends = [
         F.struct(
-            F.lit(c).alias("column"),
-            F.count(F.col(f"`{c}`")).alias("n"),
-            F.min(F.col(f"`{c}`")).alias("lo"),
-            F.max(F.col(f"`{c}`")).alias("hi"),
-        ).alias(f"_{i}")
-        for i, c in enumerate(columns)
+            F.lit(i).alias("c"),
+            F.count(v).alias("n"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.percentile_approx(v, near, ACCURACY).alias("near"),
+        ).alias(v)
+        for i, v in enumerate(names)
     ]
     wide = data.groupBy(*by).agg(*ends)
-    each = F.explode(F.array(*[F.col(f"_{i}") for i in range(len(columns))])).alias("_e")
-    base = _settle(wide.select(*by, each).select(*by, "_e.*").filter("n > 0"))
+    each = wide.select(*by, F.explode(F.array(*names)).alias("_e")).select(*by, "_e.*")
+    base = _settle(each.filter("n > 0"))
     largest = base.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= direct_values:
         at = F.array(*[F.lit(float(p)) for p in probs])
-        found = data.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`"), at).alias(c) for c in columns])
-        return _long(found, columns, by, "q").filter("q is not null")
-    return _narrowed(_long(data, columns, by, "v").filter("v is not null"), base, probs, by, **narrowing)
-
-
-def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
-    """One row per column: its name and its value as ``name``."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias(name)) for c in columns]
+        found = data.groupBy(*by).agg(*[F.percentile(v, at).alias(v) for v in names])
+        out = _long(found, names, by, "q").filter("q is not null")
+    else:
+        out = _narrowed(data, names, base, probs, by, **narrowing)
+    label = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
+    return out.select(*by, label.alias("column"), "q")
+
+
+def _long(df: DataFrame, names: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
+    """One row per column: its number ``c`` and its value."""
+    pairs = [F.struct(F.lit(i).alias("c"), F.col(v).alias(value)) for i, v in enumerate(names)]
+    return df.select(*by, F.explode(F.array(*pairs)).alias("_p")).select(*by, "_p.*")
+
+
+def _narrowed(data: DataFrame, names, base: DataFrame, probs, by, **narrowing) -> DataFrame:
+    """Start from approximate brackets; their exact ranks are counted, not trusted."""
+    group = [*by, "c"]
+    points = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
+    want = base.select("*", F.explode(F.array(*points)).alias("_q")).select(
+        *group,
+        "n",
+        "min",
+        "max",
+        F.col("_q.i").alias("i"),
+        ((F.col("n") - 1) * F.col("_q.p")).alias("at"),
+        F.element_at("near", 2 * F.col("_q.i") + 1).alias("from"),
+        F.element_at("near", 2 * F.col("_q.i") + 2).alias("to"),
     )
-    return df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.column", f"_p.{name}")
-
-
-def _narrowed(long: DataFrame, base: DataFrame, probs, by, **narrowing) -> DataFrame:
-    group = [*by, "column"]
-    points = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
+    want = want.withColumn("left", F.floor("at").cast("long")).withColumn("right", F.ceil("at").cast("long"))
+    want = _settle(want)
+
+    slots = [(c, i) for c in range(len(names)) for i in range(len(probs))]
+    ends = []
+    for c, i in slots:
+        mine = (F.col("c") == c) & (F.col("i") == i)
+        ends += [F.max(F.when(mine, F.col(e))).alias(f"_{e}_{c}_{i}") for e in ("from", "to")]
+    brackets = want.groupBy(*by).agg(*ends)
+    if by:
+        rows = lookup_join(data, brackets, by, "inner")
+    else:
+        rows = data.withColumns({k: F.lit(v) for k, v in brackets.first().asDict().items()})
+    counts, near = [], F.lit(False)
+    for c, i in slots:
+        v, lo, hi = F.col(names[c]), F.col(f"_from_{c}_{i}"), F.col(f"_to_{c}_{i}")
+        near = near | F.coalesce(v.between(lo, hi), F.lit(False))
+        counts.append(
+            F.struct(
+                F.lit(c).alias("c"),
+                F.lit(i).alias("i"),
+                F.count_if(v < lo).alias("below"),
+                F.count_if(v.between(lo, hi)).alias("inside"),
+            ).alias(f"_k_{c}_{i}")
+        )
+    counted = rows.groupBy(*by).agg(*counts)
+    each = F.explode(F.array(*[F.col(f"_k_{c}_{i}") for c, i in slots])).alias("_k")
+    counted = counted.select(*by, each).select(*by, "_k.*")
+    placed = _settle(want.join(counted, [*group, "i"]))
+
+    rank = F.explode(F.array("left", "right")).alias("rank")
+    ranks = placed.select(*group, "n", "min", "max", "from", "to", "below", "inside", rank)
+    caught = (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("inside"))
+    ranks = ranks.withColumn("_ok", caught).select(
+        *group,
+        "rank",
+        "_ok",
+        F.when(F.col("_ok"), F.col("from")).otherwise(F.col("min")).alias("lo"),
+        F.when(F.col("_ok"), F.col("to")).otherwise(F.col("max")).alias("hi"),
+        F.when(F.col("_ok"), F.col("inside")).otherwise(F.col("n")).alias("n"),
+        F.when(F.col("_ok"), F.col("below")).otherwise(F.lit(0)).alias("below"),
     )
-    want = (
-        base.select("*", F.explode(points).alias("_q"))
-        .select("*", "_q.i", ((F.col("n") - 1) * F.col("_q.p")).alias("at"))
-        .drop("_q")
-        .withColumn("left", F.floor("at").cast("long"))
-        .withColumn("right", F.ceil("at").cast("long"))
+    # one search per rank, whichever bracket it came from
+    ranks = ranks.groupBy(*group, "rank").agg(
+        F.min(F.struct("n", "lo", "hi", "below", "_ok")).alias("_s")
     )
-    both = F.explode(F.array("left", "right")).alias("rank")
-    ranks = want.select(*group, "n", "lo", "hi", both).distinct()
-    found = order_statistics(long, group, ranks, **narrowing)
+    ranks = _settle(ranks.select(*group, "rank", "_s.*"))
+    missed = ranks.filter("not _ok").limit(1).count()
+    kept = rows if missed else rows.filter(near)
+    values = _long(kept.select(*by, *names), names, by, "v").filter("v is not null")
+    found = order_statistics(values, group, ranks, **narrowing)
     left = found.select(*group, F.col("rank").alias("left"), F.col("v").alias("lv"))
     right = found.select(*group, F.col("rank").alias("right"), F.col("v").alias("rv"))
     value = F.when(F.col("left") == F.col("right"), F.col("lv")).otherwise(
