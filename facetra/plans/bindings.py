@@ -91,9 +91,9 @@ PARTS_SQL = """catalogue AS (
   SELECT p_partkey, p_name, p_brand, p_type, p_size >= 25 AS is_large, CAST(p_size AS DOUBLE) AS p_size,
          p_retailprice, avg_quantity, avg_discount, avg_tax, total_quantity, n_lines, demand
   FROM part JOIN (
-    SELECT l_partkey, round(avg(l_quantity), 6) AS avg_quantity, round(avg(l_discount), 6) AS avg_discount,
-           round(avg(l_tax), 6) AS avg_tax, sum(l_quantity) AS total_quantity,
-           CAST(count(*) AS DOUBLE) AS n_lines, round(avg(l_extendedprice) / 1000, 2) AS demand
+    SELECT l_partkey, round(avg(l_quantity) + CAST(1e-9 AS DOUBLE), 6) AS avg_quantity, round(avg(l_discount) + CAST(1e-9 AS DOUBLE), 6) AS avg_discount,
+           round(avg(l_tax) + CAST(1e-9 AS DOUBLE), 6) AS avg_tax, sum(l_quantity) AS total_quantity,
+           CAST(count(*) AS DOUBLE) AS n_lines, round(avg(l_extendedprice) / 1000 + CAST(1e-9 AS DOUBLE), 2) AS demand
     FROM lineitem GROUP BY l_partkey) s ON p_partkey = l_partkey)"""
 
 DIRTY_SQL = """base AS (
@@ -169,12 +169,12 @@ class Tables:
     @cached_property
     def catalogue(self) -> DataFrame:
         lines = self.lineitem.groupBy("l_partkey").agg(
-            F.round(F.avg("l_quantity"), 6).alias("avg_quantity"),
-            F.round(F.avg("l_discount"), 6).alias("avg_discount"),
-            F.round(F.avg("l_tax"), 6).alias("avg_tax"),
+            F.round(F.avg("l_quantity") + F.lit(1e-9), 6).alias("avg_quantity"),
+            F.round(F.avg("l_discount") + F.lit(1e-9), 6).alias("avg_discount"),
+            F.round(F.avg("l_tax") + F.lit(1e-9), 6).alias("avg_tax"),
             F.sum("l_quantity").alias("total_quantity"),
             F.count("*").cast("double").alias("n_lines"),
-            F.round(F.avg("l_extendedprice") / 1000, 2).alias("demand"),
+            F.round(F.avg("l_extendedprice") / 1000 + F.lit(1e-9), 2).alias("demand"),
         )
         return self.part.join(lines, F.col("p_partkey") == F.col("l_partkey")).select(
             "p_partkey",

@@ -1,11 +1,6 @@
 """All checked queries."""
 
-import importlib.util
+from . import checks_analysis, checks_charts, checks_models, checks_tables
+from .registry import PLAIN, QUERIES, SQL
 
-from .registry import QUERIES, SQL
-
-for _module in ("checks_tables", "checks_analysis", "checks_models", "checks_charts"):
-    if importlib.util.find_spec(f"facetra.plans.{_module}"):
-        __import__(f"facetra.plans.{_module}")
-
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["PLAIN", "QUERIES", "SQL", "checks_analysis", "checks_charts", "checks_models", "checks_tables"]
