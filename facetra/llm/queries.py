@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, top_k, warc
-from .common import table, written
+from . import byte_bpe, language, maxent, mixing, order_minhash, top_k, toxicity, warc
+from .common import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,6 +94,22 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return top_k.exact_top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
 
 
+@query("op4_maxent")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under token counts and under the model."""
+    return maxent.score_texts(table(spark, folder, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
+@query("op5_language")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page; the text models come from all labelled documents."""
+    model = language.fit_text_model(table(spark, folder, "documents"))
+    pages = table(spark, folder, "pages")
+    host = language.host_of(F.col("url"))
+    found = language.identify(pages, model, "page_id", F.col("html"), host, language.suffix_of(host), markup=True)
+    return found.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "declared", "host")
+
+
 WARC_SQL = """
 WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 coded AS (
@@ -113,8 +129,25 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return warc.restore(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op7_order_minhash")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return order_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and their decoded bytes, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.encode_digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out rows are not used."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    labels = table(spark, folder, "labels").filter(~held_out).select("doc_id", "toxic")
+    classifier = toxicity.fit(docs, docs.join(labels, "doc_id"))
+    scored = toxicity.score(docs, classifier)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
