@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, maxent, mixing, order_minhash, top_k, toxicity, warc
+from . import byte_bpe, language, maxent, mixing, order_minhash, suffix_dedup, top_k, toxicity, warc
 from .common import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), entropy=ENTROPY, max_passes=MAX_PASSES)
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without strings of 400 bytes that occur elsewhere too."""
+    return suffix_dedup.dedup(table(spark, folder, "documents"), length=400, texts=False)
+
+
 TOP_SQL = """
 WITH scaled AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
