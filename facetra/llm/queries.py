@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, maxent, mixing, order_minhash, suffix_dedup, top_k, toxicity, warc
+from . import byte_bpe, language, maxent, mixing, order_minhash, small_world, suffix_dedup, top_k, toxicity, warc
 from .common import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,28 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+WORLD_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= CAST(0.93 AS DOUBLE)),
+reach AS (SELECT vec_id AS id, vec_id AS other FROM usable UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+lowest AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN lowest ON vec_id = id LEFT JOIN counts ON vec_id = a
+"""
+
+
+@query("op8_small_world", WORLD_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of every vector at a cosine of 0.93."""
+    return small_world.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and their decoded bytes, as digests."""

@@ -112,11 +112,15 @@ def write_archive(
     content = F.sha2("payload", 256)
     if smallest > 0:  # short payloads are all responses, and still stored once
         kept = kept.groupBy("content").agg(F.min("key").alias("key"))
-    kept = kept.select(F.col("key").alias("own"), F.col("content").alias("own_content")).distinct()
-    stored = rows.select("key", "payload").join(kept, F.col("key").eqNullSafe(F.col("own"))).filter(content == F.col("own_content"))
-    stored.dropDuplicates(["key", "own_content"]).select(F.col("own_content").alias("content"), "payload").write.option(
-        "compression", "zstd"
-    ).parquet(archive.payloads)
+    kept = kept.select("key", F.col("content").alias("own_content")).distinct()
+    bodies = rows.select("key", "payload")
+    keyed = bodies.filter("key is not null").join(kept.filter("key is not null"), "key").filter(content == F.col("own_content"))
+    # The join has dealt the rows by key, so dropping repeated ones moves no payload again.
+    keyed = keyed.dropDuplicates(["key", "own_content"]).select("own_content", "payload")
+    nameless = bodies.filter("key is null").select(content.alias("own_content"), "payload")
+    nameless = nameless.join(kept.filter("key is null").select("own_content"), "own_content").dropDuplicates(["own_content"])
+    stored = keyed.unionByName(nameless).withColumnRenamed("own_content", "content")
+    stored.write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
