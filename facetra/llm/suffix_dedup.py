@@ -308,7 +308,9 @@ def without(data: bytes, ranges: list[dict], length: int) -> tuple[bytes, list[t
     return b"".join(kept), [(lo, hi) for lo, hi in runs]
 
 
-def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+def dedup(
+    docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", texts: bool = True, carry: list[str] | None = None
+) -> DataFrame:
     """One row per input row, without the bytes that a repeated string of ``length`` bytes covers.
 
     A byte goes if it is part of ``length`` equal bytes that also start anywhere else, in the same
@@ -318,7 +320,7 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
 
     Null and empty texts keep nothing of their nothing. Rows with equal texts of at least ``length``
     bytes lose all of it, also rows that repeat a key. Null keys are no special case. An empty table
-    gives no rows. Columns other than ``key`` and ``text`` are not read.
+    gives no rows. Of the other columns only those named in ``carry`` are read, and returned as they are.
     """
     ranges = removed_ranges(docs, length, text)
 
@@ -347,5 +349,10 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
     shape += ", kept binary, removed array<struct<lo:long,hi:long>>" if texts else ""
     done = ranges.mapInArrow(applied, shape)
     data = F.coalesce(column(text).cast("string"), F.lit("")).cast("binary")
-    named = docs.select(column(key).alias("key"), F.unhex(F.md5(data)).alias("digest"))
-    return named.join(done, "digest").drop("digest").withColumnRenamed("key", key)
+    others = [c for c in carry or [] if c != key]
+    named = docs.select(column(key).alias("_key"), F.unhex(F.md5(data)).alias("_digest"), *[column(c).alias(f"_carry_{c}") for c in others])
+    joined = named.join(done, F.col("_digest") == F.col("digest")).drop("digest", "_digest")
+    clash = set(done.columns) & {key, *others}
+    if clash:
+        raise ValueError(f"columns that the result adds cannot be carried: {sorted(clash)}")
+    return joined.withColumnsRenamed({"_key": key} | {f"_carry_{c}": c for c in others})
