@@ -39,16 +39,17 @@ def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
-def to_flag(c: Column, stripped_already: bool = False) -> Column:
+def to_flag(c: Column, dtype: str, stripped_already: bool = False) -> Column:
     """Boolean from its usual spellings, NULL when the text is none of them.
 
-    Casting to text first makes booleans and 0/1 numbers take the same path;
-    ``1.0`` and ``0.0`` are what a numeric column prints.
+    Casting to text first makes booleans and 0/1 numbers take the same path. Only a
+    column of numbers may print as ``1.0`` or ``0.0``; as a text these are no flags.
     """
     word = F.lower(c if stripped_already else stripped(c))
+    text = dtype in ("string", "varchar", "char")
     return (
-        F.when(word.isin(*TRUE_WORDS, "1.0"), F.lit(True))
-        .when(word.isin(*FALSE_WORDS, "0.0"), F.lit(False))
+        F.when(word.isin(*TRUE_WORDS, *([] if text else ["1.0"])), F.lit(True))
+        .when(word.isin(*FALSE_WORDS, *([] if text else ["0.0"])), F.lit(False))
     )
 
 
@@ -147,7 +148,7 @@ def cut(c: Column, edges: Sequence[float]) -> Column:
     return F.when(c == F.lit(float(edges[0])), F.lit(0)).when((i >= 0) & (i < n), i)
 
 
-def key_hash(seed: int, key: Sequence[str], digits: int = 8) -> Column:
+def key_hash(seed: int | str, key: Sequence[str], digits: int = 8) -> Column:
     """Hash of the key as a number of ``digits`` hex digits.
 
     Depends on nothing but seed and key, so it does not change with the

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 # Rows a side may have to be broadcast. At ~30 doubles a row this is 25 MB.
 MAX_LOOKUP_ROWS = 100_000
-SALTS = 16
+# Rows of one key that a task of a salted join takes.
+SALT_ROWS = 1_000_000
+MAX_SALTS = 4_096
 
 
 def constants(df: DataFrame, **aggregates: Column) -> dict[str, Any]:
@@ -27,13 +30,15 @@ def constants(df: DataFrame, **aggregates: Column) -> dict[str, Any]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: the one the cluster names.
 
-    Only where none is named, as in local tests, a temporary one is set.
+    Where none is named, a folder in the warehouse is taken in local mode, and an error
+    raised on a cluster.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="facetra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/facetra-shared"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -76,13 +81,14 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     max_rows: int = MAX_LOOKUP_ROWS,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Attach per-group values to rows without shuffling the rows.
 
-    ``small`` is computed once. Up to ``max_rows`` rows it is broadcast. Beyond
-    that the join is shuffled with a salt: the rows of a hot group spread over
-    ``salts`` tasks and the per-group side is repeated once per salt.
+    Up to ``max_rows`` rows ``small`` is broadcast. Beyond that (its first rows have
+    then been computed to find out) the join is shuffled with a salt: rows are dealt to
+    salts by their position, so that equal rows spread too, and the per-group
+    side is repeated once per salt. The number of salts follows from the largest group.
     """
     on = list(on)
     columns = list(big.columns)
@@ -91,7 +97,10 @@ def lookup_join(
     local = small_copy(small, max_rows)
     if local is not None:
         return big.join(F.broadcast(local), on, how).select(*columns)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    if salts is None:
+        largest = big.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+        salts = min(MAX_SALTS, math.ceil(largest / SALT_ROWS) or 1)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         big.withColumn("_salt", salt)

@@ -59,12 +59,12 @@ def blank_counts(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
 def normalize_flag(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
     if not spec.flag or spec.flag not in df.columns:
         return df
-    return df.withColumn(spec.flag, to_flag(F.col(spec.flag)))
+    return df.withColumn(spec.flag, to_flag(F.col(spec.flag), dict(df.dtypes)[spec.flag]))
 
 
 def flag_coercions(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
     c = F.col(spec.flag)
-    return df.agg((F.count(c) - F.count(to_flag(c))).alias("value"))
+    return df.agg((F.count(c) - F.count(to_flag(c, dict(df.dtypes)[spec.flag]))).alias("value"))
 
 
 def coerce_numeric(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
@@ -94,7 +94,7 @@ def typed_rows(df: DataFrame, spec: FeatureSpec = TRACKS, marks: bool = False) -
     bare = df.withColumns({c: stripped(F.col(c)) for c in parsed})
     values = {c: F.col(c) for c in df.columns}
     values |= {c: F.nullif(F.col(c), F.lit("")) for c in texts}
-    values |= {c: to_flag(F.col(c), stripped_already=True) for c in flag}
+    values |= {c: to_flag(F.col(c), types[c], stripped_already=True) for c in flag}
     values |= {c: to_number(F.col(c), types[c], stripped_already=True) for c in nums}
     if marks:
         values |= {f"_blank_{c}": F.col(c) == "" for c in texts}

@@ -73,21 +73,24 @@ def exact_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> D
     return df.orderBy(key_hash(seed, key), *key).limit(n)
 
 
-def silhouette(df: DataFrame, features: Sequence[str], label: str = "cluster") -> DataFrame:
-    """Mean silhouette with Euclidean distance. ``df`` is a sample.
+def silhouette(df: DataFrame, features: Sequence[str], label: str = "cluster", most: int = SAMPLE_ROWS) -> DataFrame:
+    """Mean silhouette with Euclidean distance over ``df``, and the number of its rows.
+
+    ``df`` is a sample of at most ``most`` rows, which every task holds as a whole; a larger
+    one is refused. :func:`squared_silhouette` takes tables of any size.
 
     Distances of a row to all sample rows are one small matrix product inside
     the task that holds the row; pairs of rows never become rows.
     """
     rows = df.select(*[F.col(f).cast("double") for f in features], F.col(label).cast("int").alias("_l"))
-    table = rows.limit(SAMPLE_ROWS + 1).toArrow()
-    if table.num_rows > SAMPLE_ROWS:
-        raise ValueError(f"silhouette takes a sample of at most {SAMPLE_ROWS} rows")
+    table = rows.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"the sample has more than the {most} rows that are allowed")
     points = np.column_stack([table[f].to_numpy() for f in features])
     labels = table["_l"].to_numpy()
     groups, sizes = np.unique(labels, return_counts=True)
     if len(groups) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
+        return df.sparkSession.createDataFrame([(None, table.num_rows)], "silhouette double, rows_used long")
     member = (labels[:, None] == groups[None, :]).astype("float64")
 
     def widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +110,7 @@ def silhouette(df: DataFrame, features: Sequence[str], label: str = "cluster") -
             yield pa.RecordBatch.from_arrays([pa.array(s)], ["s"])
 
     local = df.sparkSession.createDataFrame(table).repartition(8)
-    return local.mapInArrow(widths, "s double").agg(F.avg("s").alias("silhouette"))
+    return local.mapInArrow(widths, "s double").agg(F.avg("s").alias("silhouette"), F.count("s").alias("rows_used"))
 
 
 def squared_silhouette(assigned: DataFrame) -> float:
@@ -122,19 +125,27 @@ def find_optimal_k(
     k_range: Iterable[int] = range(2, 11),
     seed: int = 42,
     restarts: int = RESTARTS,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """Training cost and sampled silhouette per number of clusters."""
+    """Per number of clusters: training cost, silhouette of a sample, silhouette of all rows.
+
+    The sample has ``sample_rows`` rows (``rows_used`` says how many it was) and Euclidean distances;
+    ``squared_silhouette`` uses squared distances and every row.
+    """
     scales = scaling(df, features)
     data = vectors(df.select(*key, *features), scales).persist()
-    sample = exact_sample(data, key, SAMPLE_ROWS, seed).persist()
+    sample = exact_sample(data, key, sample_rows, seed).persist()
     try:
         rows = []
         for k in k_range:
             model = fit_kmeans(data, k, seed, restarts)
             placed = model.transform(sample).withColumnRenamed("prediction", "cluster")
-            width = silhouette(placed, [f"{c}_scaled" for c in scales]).first()[0]
-            rows.append((int(k), float(model.summary.trainingCost), width))
-        return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+            width = silhouette(placed, [f"{c}_scaled" for c in scales], most=sample_rows).first()
+            whole = squared_silhouette(model.transform(data).withColumnRenamed("prediction", "cluster"))
+            rows.append((int(k), float(model.summary.trainingCost), width["silhouette"], width["rows_used"], whole))
+        return df.sparkSession.createDataFrame(
+            rows, "k int, inertia double, silhouette double, rows_used long, squared_silhouette double"
+        )
     finally:
         data.unpersist()
         sample.unpersist()

@@ -158,7 +158,7 @@ def threshold_curve(
 def optimal_threshold(curve: DataFrame, metric: str = "f1") -> DataFrame:
     """The threshold with the best metric; the lowest one on ties."""
     if metric not in METRICS:
-        raise ValueError(f"Unknown metric '{metric}'. Choose from {sorted(METRICS)}.")
+        raise ValueError(f"no such metric: '{metric}' (known: {', '.join(sorted(METRICS))})")
     return curve.orderBy(F.desc(metric), "threshold").limit(1)
 
 

@@ -6,15 +6,20 @@ import itertools
 import math
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.scale import shared_folder
 from .metrics import binary_metrics, class_metrics, regression_metrics, top_k_accuracy
 from .prepare import balanced_weights, encoder, labels_of
 
@@ -23,6 +28,7 @@ DEPTH_LIMIT = 30  # deepest tree MLlib grows; stands in for "no limit"
 FOREST = {"numTrees": 300, "maxDepth": DEPTH_LIMIT, "featureSubsetStrategy": "sqrt", "seed": 42}
 COMPARISON_FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 3, "featureSubsetStrategy": "all", "seed": 42}
 BOOSTED = {"maxIter": 300, "stepSize": 0.08, "maxDepth": 6, "seed": 42}
+CHECKPOINT_EVERY = 10  # boosting rounds between two written states, so that lineage stays short
 LOGISTIC_ITERATIONS = 1000
 GRID = {
     "numTrees": [100, 200, 300, 500],
@@ -36,17 +42,17 @@ def assembler(inputs: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(inputs), outputCol="features")
 
 
-def _cached(df: DataFrame, fit: Callable[[DataFrame], Model]) -> Model:
-    """Fits pass over their input many times; keep it for the time of the fit."""
-    held = df.persist()
-    try:
-        return fit(held)
-    finally:
-        held.unpersist()
+def _fit(stages: list, train: DataFrame) -> PipelineModel:
+    """The caller keeps ``train``; iterative MLlib fits keep their own form of it meanwhile."""
+    return Pipeline(stages=stages).fit(train)
 
 
-def _fit(stages: list, train: DataFrame) -> PipelineModel:
-    return _cached(train, Pipeline(stages=stages).fit)
+def _each(work: Callable, items: Sequence, threads: int) -> list:
+    """``work`` of every item, some at a time; Spark runs their jobs side by side."""
+    if threads <= 1 or len(items) < 2:
+        return [work(i) for i in items]
+    with ThreadPoolExecutor(min(threads, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
 
 
 def feature_stages(numeric: Sequence[str], category: str | None, labels: Sequence[str] = (), drop_first: bool = True, scaled: bool = False) -> list:
@@ -89,7 +95,17 @@ def fit_boosted_regressor(train: DataFrame, target: str, numeric: Sequence[str],
         )
         inputs.append(f"{category}_index")
         bins = max(bins, len(labels) + 1)
-    boosted = GBTRegressor(labelCol=target, predictionCol=prediction, maxBins=bins, **{**BOOSTED, **params})
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(train.sparkSession))
+    boosted = GBTRegressor(
+        labelCol=target,
+        predictionCol=prediction,
+        maxBins=bins,
+        cacheNodeIds=True,
+        checkpointInterval=CHECKPOINT_EVERY,
+        **{**BOOSTED, **params},
+    )
     return _fit([*stages, assembler(inputs), boosted], train)
 
 
@@ -115,13 +131,19 @@ def fit_forest_classifier(train: DataFrame, label: str, features: Sequence[str],
 
 
 def _category_index(label: str, train: DataFrame) -> StringIndexerModel:
-    return StringIndexer(
-        inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(train)
+    return StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
+
+
+def _fit_classes(stages: list, train: DataFrame) -> PipelineModel:
+    """Fitted on known labels only; a scored row may have a label that the fit has not seen."""
+    model = _fit(stages, train)
+    model.stages[0].setHandleInvalid("keep")
+    return model
 
 
 def fit_logistic_classes(train: DataFrame, label: str, features: Sequence[str]) -> PipelineModel:
     """Multinomial logistic regression on scaled features, balanced classes."""
+    train = train.filter(F.col(label).isNotNull())
     weighted = balanced_weights(train, label)
     n = train.count()
     lr = LogisticRegression(
@@ -134,14 +156,15 @@ def fit_logistic_classes(train: DataFrame, label: str, features: Sequence[str])
         maxIter=LOGISTIC_ITERATIONS,
     )
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    return _fit([_category_index(label, train), assembler(features), scaler, lr], weighted)
+    return _fit_classes([_category_index(label, train), assembler(features), scaler, lr], weighted)
 
 
 def fit_forest_classes(train: DataFrame, label: str, features: Sequence[str], **params) -> PipelineModel:
     """Balanced multi-class forest."""
+    train = train.filter(F.col(label).isNotNull())
     weighted = balanced_weights(train, label)
     forest = RandomForestClassifier(labelCol="label_index", weightCol="weight", **{**FOREST, **params})
-    return _fit([_category_index(label, train), assembler(features), forest], weighted)
+    return _fit_classes([_category_index(label, train), assembler(features), forest], weighted)
 
 
 def predict_classes(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
@@ -191,21 +214,29 @@ def cross_validate(
     folds: int,
     fit: Callable[[DataFrame], Model],
     score: Callable[[DataFrame], DataFrame],
+    threads: int = 2,
 ) -> DataFrame:
     """One row of scores per fold; ``data`` has a ``fold`` column."""
     held = data.persist()
     try:
-        rows, schema = [], None
-        for i in range(folds):
-            model = fit(held.filter(F.col("fold") != i).drop("fold"))
-            scores = score(model.transform(held.filter(F.col("fold") == i).drop("fold")))
-            schema = scores.schema
-            rows.append(tuple(scores.first()))
+        rows, schema = _folds(held, folds, fit, score, threads)
         return data.sparkSession.createDataFrame(rows, schema)
     finally:
         held.unpersist()
 
 
+def _folds(held: DataFrame, folds: int, fit: Callable, score: Callable, threads: int) -> tuple[list[tuple], StructType]:
+    """Scores of every fold of rows that the caller keeps."""
+
+    def one(i: int):
+        model = fit(held.filter(F.col("fold") != i).drop("fold"))
+        scores = score(model.transform(held.filter(F.col("fold") == i).drop("fold")))
+        return tuple(scores.first()), scores.schema
+
+    done = _each(one, range(folds), threads)
+    return [row for row, _ in done], done[0][1]
+
+
 def cv_regression(data: DataFrame, target: str, folds: int, fit) -> DataFrame:
     each = cross_validate(data, folds, fit, lambda d: regression_metrics(d, target, "prediction"))
     return each.agg(
@@ -250,19 +281,28 @@ def tune(
     grid: dict | None = None,
     n_iter: int = 20,
     seed: int = 42,
+    threads: int = 4,
 ) -> dict:
     """Randomised search: every candidate on every fold, best one refit on all rows.
 
+    The rows are kept once for all candidates, and ``threads`` candidates are fitted side by side.
+
     ``data`` has a ``fold`` column; ``fit(train, **params)`` returns a model.
     Scores are larger-is-better, so an error metric enters negated.
     """
     sign = 1.0 if larger_is_better else -1.0
-    results = []
-    for candidate in sample_candidates(grid or GRID, n_iter, seed):
+    held = data.persist()
+
+    def tried(candidate: dict) -> tuple:
         params = forest_settings(candidate)
-        each = cross_validate(data, folds, lambda t, p=params: fit(t, **p), score)
-        got = each.agg(F.avg(metric), F.stddev_pop(metric)).first()
-        results.append((candidate, sign * got[0], got[1]))
+        rows, schema = _folds(held, folds, lambda t: fit(t, **params), score, 1)
+        values = np.array([r[schema.fieldNames().index(metric)] for r in rows], float)
+        return candidate, sign * values.mean(), values.std()
+
+    try:
+        results = _each(tried, sample_candidates(grid or GRID, n_iter, seed), threads)
+    finally:
+        held.unpersist()
     results.sort(key=lambda r: -r[1])
     rows, rank = [], 0
     for i, (candidate, mean, std) in enumerate(results):
@@ -312,7 +352,6 @@ def tune_forest_classifier(data: DataFrame, label: str, features: Sequence[str],
 
 
 __all__ = [n for n in dir() if n.startswith(("fit_", "tune", "cv_"))] + [
-    "Estimator",
     "class_scores",
     "hit_probability",
     "importances",

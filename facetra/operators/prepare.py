@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import long_rows, numbers
 from ..functions.quantiles import quantiles
-from ..functions.scale import MAX_LOOKUP_ROWS, constants, lookup_join, small_copy
+from ..functions.scale import constants, lookup_join, small_copy
 from ..spec import TRACKS, FeatureSpec, require_columns
 
 UNKNOWN = "unknown"  # fixed value: category of rows that have none
 NOT_HIT, HIT = 0, 1
+MAX_LABELS = 100_000  # classes that an encoding or a classifier may have
 
 
 def validate_input(df: DataFrame, columns: Sequence[str]) -> None:
     if df.isEmpty():
-        raise ValueError("Input dataframe is empty.")
+        raise ValueError("there are no rows to model")
     require_columns(df, columns)
 
 
@@ -72,8 +73,8 @@ def drop_identifiers(df: DataFrame, spec: FeatureSpec = TRACKS, keep: Sequence[s
     return df.drop(*gone)
 
 
-def labels_of(df: DataFrame, column: str, most: int = MAX_LOOKUP_ROWS) -> list[str]:
-    """Sorted distinct labels; refuses more than ``most``."""
+def labels_of(df: DataFrame, column: str, most: int = MAX_LABELS) -> list[str]:
+    """Sorted distinct labels; refuses more than ``most``, which models could not hold."""
     local = small_copy(df.filter(F.col(column).isNotNull()).select(column).distinct(), most)
     if local is None:
         raise ValueError(f"'{column}' has more than {most} values; it is not a category")
@@ -131,7 +132,7 @@ def hit_profiles(df: DataFrame, features: Sequence[str] | None = None, spec: Fea
     means = df.groupBy("is_hit").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
     local = small_copy(means, 2)
     if local is None or local.count() < 2:
-        raise ValueError("Both hit and non-hit rows are required to build profiles.")
+        raise ValueError("profiles need rows of both classes")
     return local
 
 

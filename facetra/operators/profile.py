@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import (
@@ -21,7 +21,7 @@ from ..functions.expressions import (
     sample_skewness,
 )
 from ..functions.quantiles import quantiles
-from ..functions.scale import small_copy
+from ..functions.scale import cut_lineage, small_copy
 from ..spec import TRACKS, FeatureSpec
 from .validate import missing_summary
 
@@ -80,34 +80,27 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10, spec=TRACKS) -> DataFrame:
     """Distinct values and the ``top_n`` most frequent ones per column.
 
-    Ties go to the smaller value. The distinct count is read off the grouped
-    counts; ranking is a bounded top-k per column, not a sort of all values.
+    Ties go to the smaller value. One scan: values become (column, value) rows, which
+    are counted, and the ranks are cut per task before they meet. A column without
+    values keeps one row with 0 distinct values.
     """
     cols = [c for c in (columns or spec.categorical) if c in df.columns]
-    parts = []
-    for c in cols:
-        counts = value_counts(df, c)
-        top = counts.orderBy(F.desc("count"), F.asc("value")).limit(top_n)
-        distinct = counts.agg(F.count("*").alias("num_unique"))
-        ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "value"))).alias("t"))
-        listed = ranked.select(F.posexplode("t").alias("i", "e")).select(
-            (F.col("i") + 1).cast("long").alias("rank"),
-            F.col("e.value").alias("value"),
-            (-F.col("e.o")).alias("count"),
-        )
-        n = distinct.select(F.lit(c).alias("column"), "num_unique")
-        parts.append(listed.withColumn("column", F.lit(c)).join(F.broadcast(n), "column"))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    counts = df.select(F.inline(pairs)).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("count"))
+    counts = small_copy(counts) or cut_lineage(counts)
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value")))
+    top = counts.withColumn("rank", place).filter(F.col("rank") <= top_n).withColumn("rank", F.col("rank").cast("long"))
+    distinct = counts.groupBy("column").agg(F.count("*").alias("num_unique"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    out = names.join(distinct, "column", "left").join(top, "column", "left").na.fill(0, ["num_unique"])
     return out.select("column", "num_unique", "rank", "value", "count")
 
 
 def describe_missing(df: DataFrame) -> DataFrame:
     """NULL count and percentage per column; 0.0 on an empty table."""
-    cols = df.columns
     one = missing_summary(df)
     n = df.agg(F.count("*").alias("_n"))
     pct = F.coalesce(half_even(ratio(F.col("value") * 100, F.col("_n")), 2), F.lit(0.0))
-    del cols
     total = n.select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column"), "_n")
     return one.join(F.broadcast(total), "column").select(
         "column", F.col("value").alias("count"), pct.alias("percentage")

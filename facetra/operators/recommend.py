@@ -41,9 +41,10 @@ def keys_of(rows: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
 def add_ids(liked: DataFrame | None, items: DataFrame, ids: list, spec: FeatureSpec = TRACKS) -> DataFrame:
     """The liked set with more keys; raises when one is not in the catalogue."""
     new = _key_frame(items, ids, spec)
-    unknown = unknown_ids(new, items, spec).limit(5).collect()
+    unknown = unknown_ids(new, items, spec).distinct().collect()  # no more than the ids passed in
     if unknown:
-        raise ValueError(f"not found in the catalogue: {[tuple(u) for u in unknown]}")
+        shown = [tuple(u) for u in unknown[:5]]
+        raise ValueError(f"{len(unknown)} ids are not in the catalogue, e.g. {shown}")
     return new.distinct() if liked is None else liked.unionByName(new).distinct()
 
 
@@ -108,11 +109,13 @@ class Taste:
         return self._scale(F.col(f), f)
 
     def scaled_profile(self, f: str) -> float:
-        lo, hi = self.low[f], self.high[f]
-        return (self.profile[f] - lo) / (hi - lo) if hi > lo else 0.0
+        lo, hi, at = self.low[f], self.high[f], self.profile[f]
+        return (at - lo) / (hi - lo) if at is not None and hi > lo else 0.0
 
     def _scale(self, c: Column, f: str) -> Column:
         lo, hi = self.low[f], self.high[f]
+        if lo is None:  # no item has a value: the feature says nothing about any of them
+            return F.lit(0.0)
         if not hi > lo:
             return F.when(c.isNotNull(), F.lit(0.0))
         return (c - F.lit(lo)) / F.lit(hi - lo)
@@ -144,7 +147,7 @@ class Taste:
 def learn_taste(items: DataFrame, liked: DataFrame, weights: str = "uniform", spec: FeatureSpec = TRACKS) -> Taste:
     """Bounds of the catalogue and moments of its liked rows, in one pass."""
     if weights not in WEIGHTS:
-        raise ValueError(f"Unknown weights '{weights}'. Expected one of {WEIGHTS}.")
+        raise ValueError(f"weights '{weights}' are none of {', '.join(WEIGHTS)}")
     fs = spec.features
     marks = liked.select(*spec.key).distinct().withColumn("_liked", F.lit(True))
     marked = lookup_join(items.select(*spec.key, *fs), marks, spec.key, "left")
@@ -170,8 +173,9 @@ def learn_taste(items: DataFrame, liked: DataFrame, weights: str = "uniform", sp
             )
         else:
             # variance of the scaled values; a constant feature scales to 0
-            spans = {f: high[f] - low[f] or 1.0 for f in fs}
-            inverse = {f: 1.0 / (got[f"var_{f}"] / spans[f] ** 2 + EPSILON) for f in fs}
+            known = [f for f in fs if got[f"var_{f}"] is not None]
+            spans = {f: high[f] - low[f] or 1.0 for f in known}
+            inverse = {f: 1.0 / (got[f"var_{f}"] / spans[f] ** 2 + EPSILON) if f in known else 0.0 for f in fs}
             whole = sum(inverse.values())
             weight = {f: v / whole for f, v in inverse.items()}
     return Taste(spec, low, high, {f: got[f"avg_{f}"] for f in fs}, weight)
@@ -180,7 +184,7 @@ def learn_taste(items: DataFrame, liked: DataFrame, weights: str = "uniform", sp
 def score(items: DataFrame, taste: Taste, method: str = "cosine") -> DataFrame:
     """Raw and normalised score of the whole catalogue."""
     if method not in METHODS:
-        raise ValueError(f"Unknown method '{method}'. Expected one of {METHODS}.")
+        raise ValueError(f"method '{method}' is none of {', '.join(METHODS)}")
     raw = items.withColumn("raw_score", taste.raw_score(method))
     ends = constants(raw, lo=F.min("raw_score"), hi=F.max("raw_score"))
     lo, hi = ends["lo"], ends["hi"]
@@ -204,7 +208,7 @@ def recommend(
 ) -> DataFrame:
     """The catalogue by descending similarity to the liked set."""
     if method not in METHODS:
-        raise ValueError(f"Unknown method '{method}'. Expected one of {METHODS}.")
+        raise ValueError(f"method '{method}' is none of {', '.join(METHODS)}")
     taste = learn_taste(items, liked, weights, spec)
     shown = [*spec.key, spec.name, spec.owner, spec.category, spec.target, "preference_score"]
     rows = score(items, taste, method)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import half_even, ratio
@@ -25,9 +25,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 def validate_single(rows: DataFrame) -> None:
     n = len(rows.take(2))
     if n == 0:
-        raise ValueError("Input features cannot be empty.")
+        raise ValueError("no row to score")
     if n != 1:
-        raise ValueError("Expected exactly one row.")
+        raise ValueError("a single row is needed, but there are more")
 
 
 def changed(column: str, delta: float, spec: FeatureSpec = TRACKS) -> Column:
@@ -67,41 +67,40 @@ def compare_scenarios(
     prediction: str = "prediction",
     spec: FeatureSpec = TRACKS,
 ) -> DataFrame:
-    """Every row under every scenario, ranked by the signed change.
+    """Every row under every scenario, ranked by the signed change within the row.
 
-    Scenarios are a short list, expanded in the projection; the model scores
-    the base rows once and the modified rows once.
+    Each scenario is scored as one more column of its row, and the ranks come from
+    the few changes of that row. So rows are never shuffled, rows that share a key
+    are ranked apart, and a key with many rows stays spread over its tasks.
     """
     scenarios = DEFAULT_SCENARIOS if scenarios is None else scenarios
-    base = scorer(rows).withColumn("_original", F.col(prediction).cast("double"))
-    base = base.select(*rows.columns, "_original")
-    touched = sorted({c for s in scenarios.values() for c in s} & set(rows.columns))
-    variants = [
-        F.struct(
-            F.lit(name).alias("scenario"),
-            F.lit(str(dict(s))).alias("changes"),
-            *[
-                (changed(c, s[c], spec) if c in s else F.col(c).cast("double")).alias(c)
-                for c in touched
-            ],
+    wide = scorer(rows).select(*rows.columns, F.col(prediction).cast("double").alias("_original"))
+    entries = []
+    for i, (name, changes) in enumerate(scenarios.items()):
+        touched = [c for c in changes if c in rows.columns]
+        kept = [F.col(f"`{c}`") for c in wide.columns]
+        moved = wide.select(*kept, *[F.col(f"`{c}`").alias(f"_was_{c}") for c in touched])
+        moved = moved.withColumns({c: changed(c, changes[c], spec) for c in touched})
+        scored = scorer(moved).withColumn(f"_modified_{i}", F.col(prediction).cast("double"))
+        back = {c: F.col(f"`_was_{c}`") for c in touched}
+        wide = scored.select(*[back.get(c, F.col(f"`{c}`")).alias(c) for c in wide.columns], f"_modified_{i}")
+        change = prediction_change(F.col("_original"), F.col(f"_modified_{i}"))
+        entries.append(
+            F.struct(
+                F.lit(name).alias("scenario"),
+                F.lit(str(dict(changes))).alias("changes"),
+                half_even(F.col(f"_modified_{i}"), 4).alias("modified_prediction"),
+                *[v.alias(k) for k, v in change.items()],
+            )
         )
-        for name, s in scenarios.items()
-    ]
-    kept = [c for c in rows.columns if c not in touched]
-    spread = base.select(*kept, "_original", F.explode(F.array(*variants)).alias("_v"))
-    moved = spread.select(*kept, "_original", "_v.*")
-    scored = scorer(moved).withColumn("_modified", F.col(prediction).cast("double"))
-    change = prediction_change(F.col("_original"), F.col("_modified"))
-    out = scored.select(
-        *key,
-        "scenario",
-        "changes",
-        half_even(F.col("_original"), 4).alias("original_prediction"),
-        half_even(F.col("_modified"), 4).alias("modified_prediction"),
-        *[v.alias(k) for k, v in change.items()],
-    )
-    # one window group holds the scenarios of one row
-    if not key:
-        return out.withColumn("rank", F.lit(1))
-    by_change = Window.partitionBy(*key).orderBy(F.desc("absolute_change"))
-    return out.withColumn("rank", F.dense_rank().over(by_change))
+    names = ["scenario", "changes", "original_prediction", "modified_prediction", "absolute_change", "percent_change"]
+    if not entries:
+        raise ValueError("at least one scenario is needed")
+    listed = wide.select(*key, half_even(F.col("_original"), 4).alias("original_prediction"), F.array(*entries).alias("_all"))
+    spread = listed.select("*", F.explode("_all").alias("_one"))
+    own = F.col("_one.absolute_change")
+    # a missing change ranks after all others
+    above = F.filter(F.transform("_all", lambda e: e["absolute_change"]), lambda c: c.isNotNull() & (own.isNull() | (c > own)))
+    rank = (F.size(F.array_distinct(above)) + 1).cast("int")
+    out = spread.select("*", "_one.*").select(*key, *names, rank.alias("rank"))
+    return out

@@ -74,7 +74,7 @@ DIRTY = FeatureSpec(
     consistent=("amount", "share"),
     weak_pair=("amount", "share"),
 )
-DIMS = 8
+DIMS = 64
 VECTORS = FeatureSpec(
     key=("vec_id",),
     category="label",

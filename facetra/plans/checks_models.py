@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from .registry import outer, query
 KEEP = "l_orderkey l_linenumber"
 
 
-def hash_sql(*key: str, seed: int = 42, digits: int = 8) -> str:
+def hash_sql(*key: str, seed: int | str = 42, digits: int = 8) -> str:
     parts = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in key)
     return f"CAST('0x' || substr(md5('{seed}|' || {parts}), 1, {digits}) AS BIGINT)"
 
@@ -84,7 +86,7 @@ def _impute_classification(t):
     return prepare.impute_classification(_holes(t), FLAGGED)
 
 
-SPLIT = hash_sql("l_orderkey", "l_linenumber") + " % 100 < 20"
+SPLIT = hash_sql("l_orderkey", "l_linenumber", seed="split:42", digits=12) + f" < {math.floor(0.2 * 16**12)}"
 
 
 @query(
@@ -136,7 +138,7 @@ def _split(t):
     return split.hash_split(t.lineitem.select(*KEEP.split()), ITEMS.key)
 
 
-ORDER_HASH = hash_sql("o_orderkey", digits=12)
+ORDER_HASH = hash_sql("o_orderkey", seed="split:42", digits=12)
 
 
 @query(
@@ -159,7 +161,7 @@ def _frequent(t):
     return prepare.keep_frequent(t.part.select("p_partkey", "p_name"), "p_name", 32)
 
 
-PART_HASH = hash_sql("p_partkey", digits=12)
+PART_HASH = hash_sql("p_partkey", seed="split:42", digits=12)
 
 
 @query(
@@ -383,12 +385,12 @@ def _class_metrics(t):
         """SELECT avg(CAST(above < 3 AS DOUBLE)) AS top_k_accuracy FROM (
           SELECT e.vec_id, e.label, count_if(s.v > own OR (s.v = own AND s.i < e.label)) AS above
           FROM (SELECT *, embedding[label + 1] AS own FROM embeddings) e,
-            LATERAL (SELECT unnest(embedding[1:10]) AS v, unnest(range(10)) AS i) s
+            LATERAL (SELECT unnest(embedding) AS v, unnest(range(64)) AS i) s
           GROUP BY e.vec_id, e.label)""",
     ),
 )
 def _top_k(t):
-    rows = t.embeddings.select("label", F.slice("embedding", 1, 10).alias("scores"))
+    rows = t.embeddings.select("label", F.col("embedding").alias("scores"))
     return metrics.top_k_accuracy(rows, "label", "scores", 3)
 
 
@@ -406,7 +408,7 @@ def _confusion(t):
 
 @query(
     "mdl33_fold_ids",
-    f"SELECT o_orderkey, CAST({hash_sql('o_orderkey')} % 5 AS INTEGER) AS fold FROM orders",
+    f"SELECT o_orderkey, CAST({hash_sql('o_orderkey', seed='fold:42', digits=12)} % 5 AS INTEGER) AS fold FROM orders",
 )
 def _folds(t):
     return split.fold_ids(t.orders.select("o_orderkey"), ["o_orderkey"])
@@ -712,13 +714,14 @@ gaps AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum({GAP}) AS total,
 sides AS (SELECT vec_id, max(CASE WHEN own = other THEN total / (n - 1) END) AS a,
   min(CASE WHEN own <> other THEN total / n END) AS b FROM gaps GROUP BY vec_id)""",
         "",
-        "silhouette",
-        "SELECT avg((b - a) / greatest(a, b)) AS silhouette FROM sides",
+        "silhouette rows_used",
+        "SELECT avg((b - a) / greatest(a, b)) AS silhouette, CAST(count(*) AS DOUBLE) AS rows_used FROM sides",
     ),
 )
 def _silhouette(t):
     sample = cluster.exact_sample(t.vectors, ["vec_id"], cluster.SAMPLE_ROWS)
-    return cluster.silhouette(sample, VECTORS.features, "label")
+    got = cluster.silhouette(sample, VECTORS.features, "label")
+    return got.withColumn("rows_used", F.col("rows_used").cast("double"))
 
 
 # scenarios ------------------------------------------------------------------------------------

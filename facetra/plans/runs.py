@@ -13,13 +13,14 @@ from ..sources.tables import load_csv, normalize_names, write_tables
 from ..spec import TRACKS, FeatureSpec
 
 
-def run_cleaning(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS) -> tuple[DataFrame, DataFrame]:
-    raw = load_csv(spark, path, spec, typed=False)
+def run_cleaning(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``multiline``: values hold line breaks, so that a file cannot be split."""
+    raw = load_csv(spark, path, spec, typed=False, multiline=multiline)
     return clean.clean_data(raw, spec), clean.clean_report(raw, spec)
 
 
-def run_validation(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS) -> tuple[DataFrame, dict]:
-    df = load_csv(spark, path, spec)
+def run_validation(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS, multiline: bool = False) -> tuple[DataFrame, dict]:
+    df = load_csv(spark, path, spec, multiline=multiline)
     validate.validate_schema(df, spec)
     return df, {
         "pair_correlation": validate.pair_correlation(df, spec),
@@ -27,8 +28,8 @@ def run_validation(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS) -
     }
 
 
-def run_summary(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS) -> tuple[DataFrame, dict]:
-    df = load_csv(spark, path, spec)
+def run_summary(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS, multiline: bool = False) -> tuple[DataFrame, dict]:
+    df = load_csv(spark, path, spec, multiline=multiline)
     return df, profile.summarize(df, spec)
 
 
@@ -42,15 +43,13 @@ def export_summary(df: DataFrame, directory: str, spec: FeatureSpec = TRACKS) ->
     return write_tables({k: small_copy(v) or v for k, v in tables.items()}, directory)
 
 
-def run_analysis(spark: SparkSession, path: str, spec: FeatureSpec = TRACKS, n_bootstrap: int = 1000) -> dict:
-    cleaned, _ = run_cleaning(spark, path, spec)
+def run_analysis(
+    spark: SparkSession, path: str, spec: FeatureSpec = TRACKS, n_bootstrap: int = 1000, multiline: bool = False
+) -> dict:
+    cleaned, _ = run_cleaning(spark, path, spec, multiline)
     return analyze.run_analysis(cleaned, spec, n_bootstrap)
 
 
-def _one(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn("model", F.lit(name))
-
-
 def popularity_models(
     df: DataFrame, spec: FeatureSpec = TRACKS, folds: int = 5, seed: int = 42, **forest
 ) -> dict:
@@ -132,7 +131,7 @@ def hit_models(
     try:
         train, test = split.train_test(data)
         profiles = prepare.hit_profiles(train, features, spec)
-        train_rows = prepare.modeling_frame(prepare.similarity_features(train, profiles, scaled), spec.key).persist()
+        train_rows = prepare.modeling_frame(prepare.similarity_features(train, profiles, scaled), spec.key)
         test_rows = prepare.modeling_frame(prepare.similarity_features(test, profiles, scaled), spec.key)
         inputs = list(prepare.SIMILARITY)
 
@@ -142,7 +141,7 @@ def hit_models(
         def grow(t, **p):
             return models.fit_forest_classifier(t, "is_hit", inputs, **{**forest, **p})
 
-        folded = split.fold_ids(train_rows, spec.key, folds, seed)
+        folded = split.fold_ids(train_rows, spec.key, folds, seed, "is_hit")
         rows, fitted = [], {}
         for name, fit in (("Logistic Regression", logistic), ("Random Forest", grow)):
             fitted[name] = fit(train_rows)
@@ -298,6 +297,8 @@ def impact_run(
     prepare.validate_input(df, (spec.target, spec.category, *spec.profile_features))
     data = df.na.drop(subset=[spec.target]).na.fill(prepare.UNKNOWN, [spec.category])
     data = prepare.impute_from_train(split.hash_split(data, spec.key, seed=seed), cols)
+    data = prepare.numeric_flag(data, spec)
+    cols += [spec.flag] if spec.flag and spec.flag in data.columns else []
     data = data.select(*spec.key, spec.category, spec.target, "is_test", *cols).persist()
     try:
         train, test = split.train_test(data)

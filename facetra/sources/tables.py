@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import numbers, to_flag
@@ -40,7 +40,7 @@ def typed_columns(df: DataFrame, spec: FeatureSpec = TRACKS) -> DataFrame:
     """Numbers and flag of the spec in their types; other columns as they are."""
     out = numbers(df, [c for c in spec.numeric if c in df.columns])
     if spec.flag and spec.flag in out.columns:
-        out = out.withColumn(spec.flag, to_flag(F.col(spec.flag)))
+        out = out.withColumn(spec.flag, to_flag(F.col(spec.flag), dict(out.dtypes)[spec.flag]))
     return out
 
 
@@ -49,15 +49,17 @@ def load_csv(
     path: str | Sequence[str],
     spec: FeatureSpec = TRACKS,
     typed: bool = True,
-    multiline: bool = True,
+    multiline: bool = False,
     na_tokens: Sequence[str] = NA_TOKENS,
+    order: str | None = None,
 ) -> DataFrame:
     """CSV with a header; missing-value texts become NULL, an index column goes.
 
     No schema inference: columns are read as text and typed by role in the
     projection. ``typed=False`` keeps the text, for cleaning to audit.
-    ``multiline=False`` lets Spark split large files, when no value holds a
-    line break.
+    ``multiline=True`` allows line breaks within values; a file is then one task.
+    ``order`` names a column to add, which sorts rows as they stand in their files
+    (file, block, place in the block); as ``order_by`` of a spec it makes "first" mean first read.
     """
     raw = (
         spark.read.option("header", True)
@@ -67,10 +69,19 @@ def load_csv(
     )
     raw, _ = drop_index_column(raw)
     tokens = list(na_tokens)
-    kept = raw.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    kept = raw.select(
+        *[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns],
+        *([_place().alias(order)] if order else []),
+    )
     return typed_columns(kept, spec) if typed else kept
 
 
+def _place() -> Column:
+    """Where a row was read: sortable text of file, block start and place in the task."""
+    at = [F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0")]
+    return F.concat_ws("#", *at, F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+
+
 def load_json(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -98,14 +109,20 @@ def write_tables(
     """Write each table that is not empty under ``directory``; returns the paths."""
     written = {}
     for name, df in tables.items():
-        if df is None or not df.columns or df.isEmpty():
+        if df is None or not df.columns:
             continue
-        path = f"{directory.rstrip('/')}/{name}"
-        writer = df.write.mode("overwrite")
-        if fmt == "csv":
-            writer = writer.option("header", True)
-        writer.format(fmt).save(path)
-        written[name] = path
+        held = df.persist()  # computed once for the test and the file
+        try:
+            if held.isEmpty():
+                continue
+            path = f"{directory.rstrip('/')}/{name}"
+            writer = held.write.mode("overwrite")
+            if fmt == "csv":
+                writer = writer.option("header", True)
+            writer.format(fmt).save(path)
+            written[name] = path
+        finally:
+            held.unpersist()
     return written
 
 

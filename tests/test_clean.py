@@ -18,9 +18,9 @@ def test_index_column_is_dropped(raw_tracks):
 
 
 def test_text_is_stripped_and_blank_is_null(raw_tracks):
-    df = raw_tracks({"artists": "  Artist 1\t", "album_name": "   ", "track_name": " x "})
+    df = raw_tracks({"artists": "  Someone Else\t", "album_name": "   ", "track_name": " x "})
     got = clean.standardize_text(df).first()
-    assert got["artists"] == "Artist 1" and got["album_name"] is None and got["track_name"] == "x"
+    assert got["artists"] == "Someone Else" and got["album_name"] is None and got["track_name"] == "x"
     counts = as_dict(clean.blank_counts(df))
     assert counts["album_name"] == 1 and counts["artists"] == 0
 
@@ -102,7 +102,7 @@ def test_duplicate_counts(tracks):
 
 
 def test_full_cleaning(raw_tracks):
-    first = {"Unnamed: 0": 0, "artists": " Artist 1 ", "explicit": "False", "popularity": "80"}
+    first = {"Unnamed: 0": 0, "artists": " Someone ", "explicit": "False", "popularity": "80"}
     df = raw_tracks(
         first,
         {**first, "Unnamed: 0": 1, "popularity": "20"},
@@ -110,7 +110,7 @@ def test_full_cleaning(raw_tracks):
         {**first, "Unnamed: 0": 3, "track_id": "track-3", "tempo": "0"},
     )
     rows = clean.clean_data(df).collect()
-    assert len(rows) == 1 and rows[0]["track_id"] == "track-1"
+    assert len(rows) == 1 and rows[0]["track_id"] == "row-1"
     assert rows[0]["explicit"] is False and rows[0]["popularity"] == 80
     report = as_dict(clean.clean_report(df), "section", "column")
     assert report["input_rows", "total"] == 4

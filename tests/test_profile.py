@@ -8,12 +8,9 @@ from conftest import as_dict
 from facetra.functions.quantiles import quantiles
 from facetra.operators import profile
 
-ROWS = [
-    {"track_id": "1", "popularity": 40, "danceability": 0.3, "energy": 0.6, "track_genre": "pop", "artists": "A"},
-    {"track_id": "2", "popularity": 70, "danceability": 0.7, "energy": 0.9, "track_genre": "rock", "artists": "B"},
-    {"track_id": "3", "popularity": 85, "danceability": 0.9, "energy": 0.4, "track_genre": "pop", "artists": "A"},
-    {"track_id": "4", "popularity": 20, "danceability": 0.5, "energy": 0.5, "track_genre": "jazz", "artists": "C"},
-]
+COLUMNS = ("popularity", "danceability", "energy", "track_genre", "artists")
+VALUES = [(10, 0.1, 0.5, "dub", "K"), (33, 0.2, 0.4, "ska", "L"), (58, 0.5, 0.6, "soul", "K"), (76, 0.7, 0.3, "funk", "M"), (91, 0.6, 0.5, "ska", "N")]
+ROWS = [{"track_id": str(i), **dict(zip(COLUMNS, v))} for i, v in enumerate(VALUES)]
 
 
 @pytest.fixture
@@ -23,16 +20,16 @@ def df(tracks):
 
 def test_shape(df):
     got = as_dict(profile.describe_shape(df), "section", "column")
-    assert got["rows", "total"] == 4 and got["columns", "total"] == 20
+    assert got["rows", "total"] == 5 and got["columns", "total"] == 20
     assert got["dtype", "double"] == 14 and got["dtype", "string"] == 5
 
 
 def test_numeric(df):
     got = {r["column"]: r for r in profile.describe_numeric(df).collect()}
     pop = got["popularity"]
-    assert pop["count"] == 4 and pop["mean"] == 53.75 and pop["median"] == 55.0
-    assert pop["std"] == pytest.approx(statistics.stdev([40, 70, 85, 20]))
-    assert pop["q1"] == 35.0 and pop["q3"] == 73.75
+    assert pop["count"] == 5 and pop["mean"] == 53.6 and pop["median"] == 58.0
+    assert pop["std"] == pytest.approx(statistics.stdev([v[0] for v in VALUES]))
+    assert pop["q1"] == 33.0 and pop["q3"] == 76.0
     assert got["tempo"]["skewness"] == 0.0 and got["tempo"]["kurtosis"] == 0.0
 
 
@@ -51,7 +48,12 @@ def test_all_null_column_is_left_out(tracks):
 def test_categorical(df):
     rows = profile.describe_categorical(df, top_n=2).collect()
     genre = [(r["rank"], r["value"], r["count"], r["num_unique"]) for r in rows if r["column"] == "track_genre"]
-    assert sorted(genre) == [(1, "pop", 2, 3), (2, "jazz", 1, 3)]
+    assert sorted(genre) == [(1, "ska", 2, 4), (2, "dub", 1, 4)]
+
+
+def test_column_without_values_stays(tracks):
+    rows = profile.describe_categorical(tracks({"artists": None}, {"artists": None}), top_n=2).collect()
+    assert [(r["num_unique"], r["rank"], r["value"]) for r in rows if r["column"] == "artists"] == [(0, None, None)]
 
 
 def test_missing(tracks):
@@ -85,15 +87,15 @@ def test_target_correlations(df):
 
 def test_category_summary(df):
     got = {r["track_genre"]: r for r in profile.category_summary(df).collect()}
-    assert got["pop"]["danceability_count"] == 2
-    assert got["pop"]["danceability_mean"] == pytest.approx(0.6)
-    assert got["jazz"]["danceability_std"] is None
+    assert got["ska"]["danceability_count"] == 2
+    assert got["ska"]["danceability_mean"] == pytest.approx(0.4)
+    assert got["dub"]["danceability_std"] is None
 
 
 def test_tiers(df):
     got = {r["track_genre"]: r.asDict() for r in profile.tier_pivot(df).collect()}
-    assert got["jazz"]["Low"] == 1 and got["pop"]["Medium"] == 1
-    assert got["pop"]["Very High"] == 1 and got["rock"]["High"] == 1 and got["rock"]["Low"] == 0
+    assert got["dub"]["Low"] == 1 and got["ska"]["Medium"] == 1
+    assert got["ska"]["Very High"] == 1 and got["soul"]["High"] == 1 and got["soul"]["Low"] == 0
 
 
 def test_tier_edges(tracks):

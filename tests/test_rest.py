@@ -13,23 +13,23 @@ from facetra.sources import tables as io
 from facetra.spec import TRACKS
 from facetra.streaming.clean_stream import clean_stream
 
-CENTRES = (("pop", 0.85, 130, 80), ("rock", 0.4, 145, 50), ("acoustic", 0.1, 90, 35))
+CENTRES = (("ska", 0.72, 160, 61), ("dub", 0.3, 72, 42), ("fado", 0.5, 112, 27))
+EACH = 11
 
 
 @pytest.fixture
 def songs(tracks):
-    rng = np.random.default_rng(42)
     return tracks(
         *[
             {
                 "track_id": f"{g}{i}",
                 "track_genre": g,
-                "energy": float(e + rng.normal(0, 0.01)),
-                "tempo": float(t + rng.normal(0, 1)),
+                "energy": e + 0.02 * np.sin(i).item(),
+                "tempo": t + 2 * np.cos(i).item(),
                 "popularity": p,
             }
             for g, e, t, p in CENTRES
-            for i in range(8)
+            for i in range(EACH)
         ],
         {"track_id": "hole", "energy": None},
     )
@@ -52,14 +52,14 @@ def test_scaling_uses_population_deviation(songs):
 def test_clusters_recover_groups(songs):
     placed, model, scales = cluster.assign_clusters(songs, 3, FS, restarts=3)
     rows = placed.collect()
-    assert len(rows) == 25 and [r["cluster"] for r in rows if r["track_id"] == "hole"] == [-1]
+    assert len(rows) == 3 * EACH + 1 and [r["cluster"] for r in rows if r["track_id"] == "hole"] == [-1]
     pairs = {(r["track_genre"], r["cluster"]) for r in rows if r["cluster"] >= 0}
     assert len(pairs) == 3
     centres = cluster.centroids(model, scales, songs.sparkSession).collect()
-    assert sorted(round(r["tempo"], -1) for r in centres) == [90, 130, 140]
+    assert sorted(round(r["tempo"], -1) for r in centres) == [70, 110, 160]
     summary = cluster.cluster_summary(placed, FS).collect()
-    assert [r["size"] for r in summary] == [8, 8, 8]
-    assert {r["top_category"] for r in summary} == {"pop", "rock", "acoustic"}
+    assert [r["size"] for r in summary] == [EACH] * 3
+    assert {r["top_category"] for r in summary} == {"ska", "dub", "fado"}
 
 
 def test_cluster_search(songs):
@@ -86,49 +86,57 @@ def test_top_category_ties_to_smaller_name(tracks):
 
 
 def scorer(df):
-    return df.withColumn("prediction", 10 * F.col("danceability") + 5 * F.col("energy"))
+    return df.withColumn("prediction", 20 * F.col("valence") - 10 * F.col("acousticness") + 2)
 
 
 @pytest.fixture
 def one(tracks):
-    return tracks({"danceability": 0.5, "energy": 0.6})
+    return tracks({"valence": 0.3, "acousticness": 0.4})
 
 
 def test_changes_are_clipped(tracks):
     df = scenario.apply_changes(
         tracks({"energy": 0.95, "danceability": None}), {"energy": 0.1, "tempo": 7, "danceability": 0.1, "nope": 1}
     ).first()
-    assert df["energy"] == 1.0 and df["tempo"] == 127.0 and df["danceability"] is None
+    assert df["energy"] == 1.0 and df["tempo"] == 124.0 and df["danceability"] is None
 
 
 def test_change_numbers(spark):
-    rows = [(50.0, 60.0), (80.0, 60.0), (0.0, 10.0)]
+    rows = [(40.0, 50.0), (16.0, 12.0), (0.0, 3.0)]
     df = spark.createDataFrame(rows, "a double, b double")
     got = scenario.prediction_change(F.col("a"), F.col("b"))
     out = [tuple(r) for r in df.select(*[v.alias(k) for k, v in got.items()]).collect()]
-    assert out == [(10.0, 20.0), (-20.0, -25.0), (10.0, 0.0)]
+    assert out == [(10.0, 25.0), (-4.0, -25.0), (3.0, 0.0)]
 
 
 def test_simulation(one):
-    got = scenario.simulate(one, {"danceability": 0.1}, scorer).first()
-    assert (got["original_prediction"], got["modified_prediction"]) == (8.0, 9.0)
-    assert (got["absolute_change"], got["percent_change"]) == (1.0, 12.5)
+    got = scenario.simulate(one, {"valence": 0.1}, scorer).first()
+    assert (got["original_prediction"], got["modified_prediction"]) == (4.0, 6.0)
+    assert (got["absolute_change"], got["percent_change"]) == (2.0, 50.0)
 
 
 def test_scenarios_are_ranked_densely(one):
-    plans = {"up": {"danceability": 0.1}, "same": {"energy": 0.2}, "down": {"energy": -0.2}, "none": {"nope": 1.0}}
+    plans = {"up": {"valence": 0.1}, "same": {"acousticness": -0.2}, "down": {"acousticness": 0.2}, "none": {"nope": 1.0}}
     got = {r["scenario"]: r for r in scenario.compare_scenarios(one, plans, scorer, ["track_id"]).collect()}
     assert {k: r["rank"] for k, r in got.items()} == {"up": 1, "same": 1, "none": 2, "down": 3}
-    assert got["up"]["changes"] == "{'danceability': 0.1}"
+    assert got["up"]["changes"] == "{'valence': 0.1}"
     default = scenario.compare_scenarios(one, None, scorer, ["track_id"])
     assert default.count() == len(scenario.DEFAULT_SCENARIOS)
 
 
+def test_rows_that_share_a_key_are_ranked_apart(one):
+    plans = {"up": {"valence": 0.1}, "down": {"valence": -0.1}}
+    got = scenario.compare_scenarios(one.union(one), plans, scorer, ["track_id"]).collect()
+    assert sorted((r["scenario"], r["rank"]) for r in got) == [("down", 2)] * 2 + [("up", 1)] * 2
+    lost = scenario.compare_scenarios(one.withColumn("valence", F.lit(None).cast("double")), plans, scorer, ["track_id"]).collect()
+    assert [r["rank"] for r in lost] == [1, 1]
+
+
 def test_single_row_check(one):
     scenario.validate_single(one)
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no row"):
         scenario.validate_single(one.limit(0))
-    with pytest.raises(ValueError, match="one row"):
+    with pytest.raises(ValueError, match="single row"):
         scenario.validate_single(one.union(one))
 
 
@@ -148,15 +156,15 @@ def test_histogram(tracks):
     got = [r["row_count"] for r in chartdata.histogram(df, bins=4).collect()]
     assert got == [1, 1, 1, 2]
     same = chartdata.histogram(tracks({}), bins=2).collect()
-    assert [r["row_count"] for r in same] == [0, 1] and same[0]["bin_low"] == 54.5
+    assert [r["row_count"] for r in same] == [0, 1] and same[0]["bin_low"] == 47.5
 
 
 def test_charts_of_categories(songs):
     assert chartdata.top_categories(songs, 2).count() == 2
     means = chartdata.category_targets(songs, 3).collect()
-    assert [r["category"] for r in means] == ["pop", "rock", "acoustic"]
+    assert [r["category"] for r in means] == ["ska", "dub", "fado"]
     boxes = {r["category"]: r for r in chartdata.boxes(songs, "tempo", 3).collect()}
-    assert boxes["pop"]["q1"] <= boxes["pop"]["median"] <= boxes["pop"]["q3"]
+    assert boxes["ska"]["q1"] <= boxes["ska"]["median"] <= boxes["ska"]["q3"]
     dense = chartdata.violin_density(songs, "tempo", 3, 4)
     assert dense.groupBy("category").agg(F.sum("share").alias("s")).filter("abs(s - 1) > 1e-9").isEmpty()
     assert chartdata.violins(songs, "tempo", 2).count() == 2
@@ -174,16 +182,16 @@ def test_correlation_charts(songs, tracks):
     forest = chartdata.correlation_forest(songs, n_bootstrap=50).collect()
     assert all(r["arm_low"] >= 0 and r["arm_high"] >= 0 for r in forest)
     assert chartdata.heatmap(songs).count() == 81
-    hits = {r["feature"]: r for r in chartdata.hit_profiles_scaled(songs, 70).collect()}
+    hits = {r["feature"]: r for r in chartdata.hit_profiles_scaled(songs, 50).collect()}
     assert hits["energy"]["hit_mean"] > hits["energy"]["non_hit_mean"]
-    assert hits["loudness"]["hit_mean"] == -5.0
+    assert hits["loudness"]["hit_mean"] == -8.25
 
 
 def test_scatter_is_an_exact_sample(songs):
     a = chartdata.scatter(songs.repartition(1), sample=10).collect()
     b = chartdata.scatter(songs.repartition(6), sample=10).collect()
     assert a == b and len(a) == 10
-    assert chartdata.scatter(songs, sample=1000).count() == 24
+    assert chartdata.scatter(songs, sample=1000).count() == 3 * EACH
 
 
 def test_prediction_chart(spark):
@@ -204,13 +212,26 @@ def test_score_labels(spark):
 def test_csv(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text(',track_name,popularity,explicit,note\n0,"a ""b"", \nc",7,True,NA\n1,d,x,no,keep\n')
-    rows = io.load_csv(spark, str(path)).orderBy("track_name").collect()
+    rows = io.load_csv(spark, str(path), multiline=True).orderBy("track_name").collect()
     assert rows[0].asDict() == {"track_name": 'a "b", \nc', "popularity": 7.0, "explicit": True, "note": None}
     assert rows[1]["popularity"] is None and rows[1]["explicit"] is False and rows[1]["note"] == "keep"
-    raw = io.load_csv(spark, str(path), typed=False)
+    raw = io.load_csv(spark, str(path), typed=False, multiline=True)
     assert {r["popularity"] for r in raw.collect()} == {"7", "x"}
 
 
+def test_first_row_read_wins(spark, tmp_path):
+    from facetra.operators import recommend
+
+    for name, rows in (("a", "t1,z,o\nt2,y,o\nt1,a,o\n"), ("b", "t2,b,o\nt3,c,o\n")):
+        (tmp_path / f"{name}.csv").write_text("track_id,track_name,artists\n" + rows)
+    spec = TRACKS.with_roles(order_by="read", features=(), numeric=())
+    rows = io.load_csv(spark, str(tmp_path), spec, order="read")
+    got = rows.orderBy("read").collect()
+    assert [(r["track_id"], r["track_name"]) for r in got] == [("t1", "z"), ("t2", "y"), ("t1", "a"), ("t2", "b"), ("t3", "c")]
+    first = {r["track_id"]: r["track_name"] for r in recommend.catalogue(rows, spec).collect()}
+    assert first == {"t1": "z", "t2": "y", "t3": "c"}
+
+
 def test_json(spark, tmp_path):
     records = [{"track_id": "a", "popularity": 1, "Unnamed: 0": 0}, {"track_id": "b", "popularity": None}]
     path = tmp_path / "t.json"
@@ -230,7 +251,7 @@ def test_names_and_aliases(spark):
 
 def test_writing_skips_empty_tables(spark, songs, tmp_path):
     out = io.write_tables({"a": songs, "b": songs.limit(0), "c": None}, str(tmp_path), "parquet")
-    assert list(out) == ["a"] and spark.read.parquet(out["a"]).count() == 25
+    assert list(out) == ["a"] and spark.read.parquet(out["a"]).count() == 3 * EACH + 1
     written = runs.export_summary(songs, str(tmp_path))
     assert len(written) == 4
 
