@@ -510,6 +510,157 @@ def _linear(t):
     )
 
 
+# One tree on one 0/1 feature, grown on all rows, predicts the mean of the feature's group.
+ONE_TREE = {"numTrees": 1, "bootstrap": False, "maxDepth": 1, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"}
+BULK_SQL = f"""{ITEMS_SQL}, split AS (SELECT *, CAST(l_quantity > 25 AS DOUBLE) AS bulk, l_extendedprice > 40000 AS dear, {SPLIT} AS is_test FROM items)"""
+
+
+def _bulk(t):
+    """Items with a 0/1 feature and a 0/1 label, split by key."""
+    rows = t.items.withColumn("bulk", (F.col("l_quantity") > 25).cast("double"))
+    rows = rows.withColumn("dear", (F.col("l_extendedprice") > 40000).cast("int"))
+    return split.train_test(split.hash_split(rows, ITEMS.key))
+
+
+@query(
+    "mdl18_one_tree",
+    outer(
+        BULK_SQL,
+        KEEP,
+        "prediction",
+        """SELECT l_orderkey, l_linenumber, g.prediction FROM split JOIN (
+          SELECT bulk, avg(l_extendedprice) AS prediction FROM split WHERE NOT is_test GROUP BY bulk) g USING (bulk) WHERE is_test""",
+    ),
+)
+def _one_tree(t):
+    train, test = _bulk(t)
+    model = models.fit_forest_regressor(train, "l_extendedprice", [models.assembler(["bulk"])], **ONE_TREE)
+    return model.transform(test).select(*KEEP.split(), "prediction")
+
+
+@query(
+    "mdl24_one_round",
+    outer(
+        BULK_SQL,
+        KEEP,
+        "prediction",
+        """SELECT l_orderkey, l_linenumber, g.prediction FROM split JOIN (
+          SELECT bulk, avg(l_extendedprice) AS prediction FROM split WHERE NOT is_test GROUP BY bulk) g USING (bulk) WHERE is_test""",
+    ),
+)
+def _one_round(t):
+    train, test = _bulk(t)
+    model = models.fit_boosted_regressor(train, "l_extendedprice", ["bulk"], None, maxIter=1, maxDepth=1)
+    return model.transform(test).select(*KEEP.split(), "prediction")
+
+
+@query(
+    "mdl36_one_tree_importance",
+    outer("", "feature", "importance", "SELECT 'bulk' AS feature, CAST(1 AS DOUBLE) AS importance FROM lineitem LIMIT 1"),
+)
+def _one_importance(t):
+    train, _ = _bulk(t)
+    model = models.fit_forest_regressor(train, "l_extendedprice", [models.assembler(["bulk"])], **ONE_TREE)
+    return models.importances(model, train)
+
+
+@query(
+    "mdl19_balanced_mean",
+    outer(
+        "",
+        "rows_scored",
+        "weighted_mean",
+        """SELECT count(*) AS rows_scored, CAST(0.5 AS DOUBLE) AS weighted_mean FROM lineitem""",
+    ),
+)
+def _balanced_mean(t):
+    """With balanced weights the mean score over the rows of the fit, weighed alike, is one half."""
+    train, test = _bulk(t)
+    both = train.unionByName(test)
+    model = models.fit_logistic(both, "dear", ["bulk"])
+    scored = prepare.balanced_weights(models.hit_probability(model, both), "dear")
+    mean = F.sum(F.col("score") * F.col("weight")) / F.sum("weight")
+    return scored.agg(F.count("*").alias("rows_scored"), F.round(mean, 3).alias("weighted_mean"))
+
+
+@query(
+    "mdl33_linear_folds",
+    outer(
+        f"""{ITEMS_SQL}, folded AS (SELECT *, {hash_sql('l_orderkey', 'l_linenumber', seed='fold:42', digits=12)} % 5 AS fold FROM items),
+fits AS (SELECT f.fold, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
+  FROM folded JOIN (SELECT unnest(range(5)) AS fold) f ON folded.fold <> f.fold GROUP BY f.fold),
+scored AS (SELECT fold, sqrt(avg((l_extendedprice - a - b * l_quantity) ** 2)) AS rmse,
+  1 - sum((l_extendedprice - a - b * l_quantity) ** 2) / (count(*) * var_pop(l_extendedprice)) AS r2
+  FROM folded JOIN fits USING (fold) GROUP BY fold)""",
+        "",
+        "cv_rmse_mean cv_rmse_std cv_r2_mean",
+        "SELECT round(avg(rmse), 3) AS cv_rmse_mean, round(stddev_pop(rmse), 3) AS cv_rmse_std, round(avg(r2), 5) AS cv_r2_mean FROM scored",
+    ),
+)
+def _linear_folds(t):
+    folded = split.fold_ids(t.items, ITEMS.key, 5)
+    fit = lambda d: models.fit_linear(d, "l_extendedprice", [models.assembler(["l_quantity"])])
+    got = models.cv_regression(folded, "l_extendedprice", 5, fit)
+    return got.select(F.round("cv_rmse_mean", 3).alias("cv_rmse_mean"), F.round("cv_rmse_std", 3).alias("cv_rmse_std"), F.round("cv_r2_mean", 5).alias("cv_r2_mean"))
+
+
+@query(
+    "mdl33_stratified_folds",
+    outer(
+        "",
+        "o_orderstatus folds_used widest_gap",
+        "",
+        """SELECT o_orderstatus, CAST(least(5, count(*)) AS BIGINT) AS folds_used,
+        CAST(CASE WHEN count(*) % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS widest_gap FROM orders GROUP BY o_orderstatus""",
+    ),
+)
+def _stratified(t):
+    """Sizes of the folds of a class differ by one row at most."""
+    folded = split.fold_ids(t.orders.select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 5, label="o_orderstatus")
+    sizes = folded.groupBy("o_orderstatus", "fold").count()
+    return sizes.groupBy("o_orderstatus").agg(
+        F.count("*").alias("folds_used"), (F.max("count") - F.min("count")).cast("long").alias("widest_gap")
+    )
+
+
+@query(
+    "mdl37_linear_predictions",
+    outer(
+        f"""{BULK_SQL}, line AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
+  FROM split WHERE NOT is_test)""",
+        KEEP,
+        "actual linear_prediction",
+        """SELECT l_orderkey, l_linenumber, l_extendedprice AS actual, round(a + b * l_quantity, 2) AS linear_prediction
+        FROM split, line WHERE is_test""",
+    ),
+)
+def _linear_predictions(t):
+    train, test = _bulk(t)
+    model = models.fit_linear(train, "l_extendedprice", [models.assembler(["l_quantity"])], "linear_prediction")
+    rounded = F.round("linear_prediction", 2).alias("linear_prediction")
+    return model.transform(test).select(*KEEP.split(), F.col("l_extendedprice").alias("actual"), rounded)
+
+
+@query(
+    "mdl8_small_share",
+    f"""WITH {ITEMS_SQL} SELECT l_orderkey, l_linenumber,
+    {hash_sql('l_orderkey', 'l_linenumber', seed='split:42', digits=12)} < {math.floor(0.004 * 16**12)} AS is_test FROM items""",
+)
+def _small_share(t):
+    return split.hash_split(t.items, ITEMS.key, 0.004).select(*KEEP.split(), "is_test")
+
+
+@query(
+    "mdl9_repeated_keys",
+    """SELECT o_orderstatus, count(*) * 3 AS n, CAST(ceil(count(*) * 3 * 0.2) AS BIGINT) AS n_test FROM orders GROUP BY o_orderstatus""",
+)
+def _repeated_keys(t):
+    """Every key three times: the count of test rows still is the documented one."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    split_rows = split.stratified_split(rows.unionByName(rows).unionByName(rows), ["o_orderkey"], "o_orderstatus")
+    return split_rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
+
+
 @query("mdl18_forest_fit")
 def _forest(t):
     train, test = _train_test(t)
@@ -659,6 +810,56 @@ def _scaled(t):
     return cluster.scale(rows, cluster.scaling(rows, ITEMS.features)).select(*KEEP.split(), *SCALED)
 
 
+# Vectors moved far apart by label: k-means finds the labels again.
+APART = [f"e{i}" for i in range(4)]
+APART_SQL = (
+    "apart AS (SELECT vec_id, label % 3 AS part, "
+    + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) + CASE WHEN label % 3 = {i} THEN 1000 ELSE 0 END AS e{i}" for i in range(4))
+    + " FROM embeddings)"
+)
+
+
+def _apart(t):
+    part = F.col("label") % 3
+    return t.embeddings.select("vec_id", part.alias("part"), *[(F.col("embedding")[i].cast("double") + F.when(part == i, 1000.0).otherwise(0.0)).alias(c) for i, c in enumerate(APART)])
+
+
+@query(
+    "clu3_separate_groups",
+    f"""WITH {APART_SQL}, named AS (SELECT part, min(vec_id) AS name FROM apart GROUP BY part)
+    SELECT vec_id, name AS group_name FROM apart JOIN named USING (part)""",
+)
+def _separate(t):
+    """Each row with the smallest id of its cluster; ten starts."""
+    placed, _, _ = cluster.assign_clusters(_apart(t), 3, APART, spec=VECTORS)
+    names = placed.groupBy("cluster").agg(F.min("vec_id").alias("group_name"))
+    return placed.join(names, "cluster").select("vec_id", "group_name")
+
+
+@query(
+    "clu4_separate_centroids",
+    outer(APART_SQL, "", " ".join(APART), "SELECT " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in APART) + " FROM apart GROUP BY part"),
+)
+def _separate_centroids(t):
+    _, model, scales = cluster.assign_clusters(_apart(t), 3, APART, spec=VECTORS)
+    return cluster.centroids(model, scales, t.spark).select(*[F.round(c, 4).alias(c) for c in APART])
+
+
+@query(
+    "clu2_separate_inertia",
+    outer(
+        f"""{APART_SQL}, z AS (SELECT part, {", ".join(f"(e{i} - avg(e{i}) OVER ()) / stddev_pop(e{i}) OVER () AS e{i}" for i in range(4))} FROM apart),
+gaps AS (SELECT {" + ".join(f"(e{i} - avg(e{i}) OVER (PARTITION BY part)) ** 2" for i in range(4))} AS g FROM z)""",
+        "k rows_used",
+        "inertia",
+        "SELECT 3 AS k, round(sum(g), 3) AS inertia, CAST(least(2000, count(*)) AS BIGINT) AS rows_used FROM gaps",
+    ),
+)
+def _separate_inertia(t):
+    got = cluster.find_optimal_k(_apart(t), APART, ["vec_id"], range(3, 4))
+    return got.select("k", "rows_used", F.round("inertia", 3).alias("inertia"))
+
+
 @query("clu2_cluster_search")
 def _search(t):
     return cluster.find_optimal_k(t.vectors, VECTORS.features, ["vec_id"], range(2, 4), restarts=1)
