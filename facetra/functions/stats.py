@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .expressions import key_hash, long_rows, ratio
+from .scale import constants
+
 BLOCKS = 4096
 
 
@@ -79,6 +82,15 @@ def holm_adjust(df: DataFrame, p: str = "p_value", family: Sequence[str] = (), o
     return raised.withColumn(out, adjusted).drop("_raw")
 
 
+def poisson_cuts(most: int = 9) -> list[float]:
+    """P(X <= 0), P(X <= 1), ... of a Poisson variable with mean 1."""
+    total, out = 0.0, []
+    for k in range(most):
+        total += math.exp(-1.0) / math.factorial(k)
+        out.append(total)
+    return out
+
+
 def bootstrap_intervals(
     df: DataFrame,
     features: Sequence[str],
@@ -91,85 +103,51 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Percentile-bootstrap interval of r(feature, target) per feature.
 
-    Rows fall into ``blocks`` random groups by the hash of their key and values.
-    One aggregate reduces every group to its moments; whole groups are then
-    drawn with replacement. Groups of independent rows vary like the rows
-    themselves, so the interval estimates the same spread as drawing single
-    rows, at the cost of one pass over the data instead of ``n_bootstrap``. A
-    table with far fewer rows than blocks has one row per group: the ordinary
-    bootstrap. Exact copies of a row share a group; :func:`_resample` splits a
-    group far above the usual size into equal parts, which for copies is exact.
+    One rule at every size: rows fall into ``blocks`` groups by the hash of their key, and each
+    draw gives each group a Poisson weight that follows from seed, draw and group. One
+    pass over the data reduces every group to its moments; all draws then work on those
+    few rows. Groups of independent rows vary like the rows themselves, and a table with
+    far fewer rows than blocks has one row per group. Rows that share a key are drawn together.
     """
     schema = "feature string, ci_low double, ci_high double"
     if n_bootstrap <= 0:
         return df.sparkSession.createDataFrame([(f, None, None) for f in features], schema)
     entropy = int(np.random.SeedSequence().entropy % (2**32)) if seed is None else int(seed)
-    block = F.pmod(F.xxhash64(F.lit(entropy), *[F.col(c) for c in (*key, target, *features)]), F.lit(blocks))
     y = F.col(target)
-
-    def moments(f: str) -> Column:
-        x = F.col(f)
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        return F.struct(
-            F.lit(f).alias("feature"),
-            F.count(xs).cast("double").alias("n"),
-            F.avg(xs).alias("mx"),
-            F.avg(ys).alias("my"),
-            F.var_pop(xs).alias("vx"),
-            F.var_pop(ys).alias("vy"),
-            F.covar_pop(xs, ys).alias("vxy"),
-        )
-
-    grouped = df.groupBy(block.alias("block")).agg(*[moments(f).alias(f"_{f}") for f in features])
-    long = grouped.select(
-        "block", F.explode(F.array(*[F.col(f"_{f}") for f in features])).alias("_m")
-    ).select("block", "_m.*")
-    order = {f: i for i, f in enumerate(features)}
-
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["feature"].iloc[0]
-        m = pdf[pdf["n"] > 0].sort_values("block")
-        low = high = None
-        if len(m):
-            rng = np.random.default_rng([entropy, order[name]])
-            r = _resample(m, n_bootstrap, rng)
-            r = r[~np.isnan(r)]
-            if len(r):
-                low, high = np.quantile(r, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({"feature": [name], "ci_low": [low], "ci_high": [high]}).astype(
-            {"ci_low": "float64", "ci_high": "float64"}
-        )
-
-    # at most ``blocks`` rows per feature
-    return long.groupBy("feature").applyInPandas(interval, schema)
-
-
-def _resample(m: pd.DataFrame, n_bootstrap: int, rng: np.random.Generator) -> np.ndarray:
-    n = m["n"].to_numpy()
-    dx = m["mx"].to_numpy() - np.average(m["mx"], weights=n)
-    dy = m["my"].to_numpy() - np.average(m["my"], weights=n)
-    sums = np.column_stack(
-        [
-            n,
-            n * dx,
-            n * dy,
-            n * (m["vx"].to_numpy() + dx * dx),
-            n * (m["vy"].to_numpy() + dy * dy),
-            n * (m["vxy"].to_numpy() + dx * dy),
-        ]
+    pairs = {f: F.col(f).isNotNull() & y.isNotNull() for f in features}
+    middle = constants(
+        df,
+        **{f"x{i}": F.avg(F.when(both, F.col(f))) for i, (f, both) in enumerate(pairs.items())},
+        **{f"y{i}": F.avg(F.when(both, y)) for i, both in enumerate(pairs.values())},
     )
-    parts = np.maximum(1.0, np.rint(n / np.median(n)))
-    share, total = parts / parts.sum(), int(parts.sum())
-    sums = sums / parts[:, None]
-    out = []
-    for start in range(0, n_bootstrap, 256):
-        size = min(256, n_bootstrap - start)
-        w = rng.multinomial(total, share, size=size)
-        k, sx, sy, sxx, syy, sxy = (w @ sums).T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cxx, cyy = sxx - sx * sx / k, syy - sy * sy / k
-            flat = ~((cxx > 1e-12 * sxx) & (cyy > 1e-12 * syy))
-            r = (sxy - sx * sy / k) / np.sqrt(cxx * cyy)
-        out.append(np.where(flat, np.nan, r))
-    return np.concatenate(out)
+
+    def sums(i: int, f: str) -> list[Column]:
+        """Count and moments about the middle of all rows, so that no large numbers cancel."""
+        x = F.when(pairs[f], F.col(f) - F.lit(middle[f"x{i}"]))
+        d = F.when(pairs[f], y - F.lit(middle[f"y{i}"]))
+        whole = [F.count(x).cast("double"), *[F.sum(v) for v in (x, d, x * x, d * d, x * d)]]
+        return [F.coalesce(v, F.lit(0.0)).alias(f"m{i}_{j}") for j, v in enumerate(whole)]
+
+    moments = [c for i, f in enumerate(features) for c in sums(i, f)]
+    grouped = df.groupBy((key_hash(f"block:{entropy}", key) % blocks).alias("block")).agg(*moments)
+    # The groups are few rows that become many: spread them first.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = grouped.repartition(tasks).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("draw"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"draw:{entropy}"), "draw", "block")), 1, 8), 16, 10).cast("double") / 2.0**32
+    draws = draws.withColumn("u", F.explode(F.array(u)))  # Catalyst repeats no generator, so the digest is taken once
+    weight = F.lit(0)
+    for cut in poisson_cuts():
+        weight = weight + (F.col("u") >= cut).cast("int")
+    weighed = draws.withColumn("w", weight)
+    names = [f"m{i}_{j}" for i in range(len(features)) for j in range(6)]
+    each = weighed.groupBy("draw").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+
+    def correlation(i: int) -> Column:
+        n, sx, sy, sxx, syy, sxy = (F.col(f"m{i}_{j}") for j in range(6))
+        cxx, cyy = sxx - ratio(sx * sx, n), syy - ratio(sy * sy, n)
+        varies = (cxx > 1e-12 * sxx) & (cyy > 1e-12 * syy)
+        return F.when(varies, (sxy - ratio(sx * sy, n)) / F.sqrt(cxx * cyy))
+
+    ends = [F.percentile(correlation(i), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(f"q{i}") for i in range(len(features))]
+    rows = [(f, F.col(f"q{i}")[0], F.col(f"q{i}")[1]) for i, f in enumerate(features)]
+    return long_rows(each.agg(*ends), rows, ("feature", "ci_low", "ci_high"))

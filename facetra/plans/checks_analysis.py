@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.stats import holm_adjust
 from ..operators import analyze, recommend
 from ..sources import tables as io
@@ -143,6 +144,34 @@ def _item_correlations(t):
     return analyze.describe_correlations(analyze.correlations(t.items, ITEMS))
 
 
+WEIGHT_SQL = " + ".join(f"CAST(u >= CAST({c!r} AS DOUBLE) AS INTEGER)" for c in stats.poisson_cuts())
+BLOCK_SQL = "CAST('0x' || substr(md5('block:42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) % 4096"
+INTERVALS_SQL = f"""{ITEMS_SQL},
+middle AS (SELECT {", ".join(f"avg({f}) AS m_{f}" for f in FEATURES)}, avg(l_extendedprice) AS m_y FROM items),
+moved AS (SELECT {BLOCK_SQL} AS block, {", ".join(f"{f} - m_{f} AS {f}" for f in FEATURES)}, l_extendedprice - m_y AS y FROM items, middle),
+sums AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, block, count(*) AS n, sum({f}) AS sx, sum(y) AS sy, sum({f} * {f}) AS sxx, sum(y * y) AS syy, sum({f} * y) AS sxy FROM moved GROUP BY block" for f in FEATURES)}),
+draws AS (SELECT draw, block, CAST('0x' || substr(md5('draw:42|' || CAST(draw AS VARCHAR) || '|' || CAST(block AS VARCHAR)), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u
+  FROM (SELECT DISTINCT block FROM sums), (SELECT unnest(range(1000)) AS draw)),
+weights AS (SELECT draw, block, {WEIGHT_SQL} AS w FROM draws),
+each AS (SELECT feature, draw, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * syy) AS syy, sum(w * sxy) AS sxy
+  FROM sums JOIN weights USING (block) WHERE w > 0 GROUP BY feature, draw),
+r AS (SELECT feature, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r FROM each)"""
+
+
+@query(
+    "ana5_intervals",
+    outer(
+        INTERVALS_SQL,
+        "feature",
+        "ci_low ci_high",
+        """SELECT feature, quantile_cont(r, CAST(0.025 AS DOUBLE)) AS ci_low, quantile_cont(r, CAST(0.975 AS DOUBLE)) AS ci_high
+        FROM r GROUP BY feature""",
+    ),
+)
+def _intervals(t):
+    return stats.bootstrap_intervals(t.items, FEATURES, "l_extendedprice", ITEMS.key)
+
+
 @query("ana5_correlation_inference")
 def _inference(t):
     return analyze.infer_correlations(t.items, spec=ITEMS)
@@ -219,7 +248,7 @@ def _buckets_sparse(t):
 
 @query("ana9_analysis_tables")
 def _analysis(t):
-    out = analyze.run_analysis(t.catalogue, PARTS, n_bootstrap=200)
+    out = analyze.run_analysis(t.catalogue, PARTS, n_bootstrap=1000)
     tables = {k: v for k, v in out.items() if k != "feature_buckets"} | out["feature_buckets"]
     parts = [df.agg(F.count("*").alias("n")).withColumn("name", F.lit(k)) for k, df in tables.items()]
     rows = parts[0]

@@ -57,7 +57,7 @@ def _bars(t):
 
 @query("viz4_correlation_forest")
 def _forest(t):
-    return chartdata.correlation_forest(t.items, n_bootstrap=200, spec=ITEMS)
+    return chartdata.correlation_forest(t.items, n_bootstrap=1000, spec=ITEMS)
 
 
 @query(

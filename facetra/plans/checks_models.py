@@ -723,8 +723,8 @@ def _three(t):
 def _cross(t):
     train, _ = _train_test(t)
     stages = _stages(t, train)
-    folded = split.fold_ids(train, PARTS.key, 3)
-    return models.cv_regression(folded, "demand", 3, lambda d: models.fit_linear(d, "demand", stages))
+    folded = split.fold_ids(train, PARTS.key, 5)
+    return models.cv_regression(folded, "demand", 5, lambda d: models.fit_linear(d, "demand", stages))
 
 
 @query("mdl34_tuned_forest")
@@ -744,12 +744,12 @@ def _importance(t):
 
 @query("mdl41_target_models")
 def _target_models(t):
-    return runs.popularity_models(t.catalogue, PARTS, folds=2, **SMALL)["comparison"]
+    return runs.popularity_models(t.catalogue, PARTS, folds=5, **SMALL)["comparison"]
 
 
 @query("mdl42_hit_models")
 def _hit_models(t):
-    return runs.hit_models(t.catalogue, HIT, PARTS, folds=2, **SMALL)["comparison"]
+    return runs.hit_models(t.catalogue, HIT, PARTS, folds=5, **SMALL)["comparison"]
 
 
 @query("mdl43_category_models")
@@ -868,13 +868,13 @@ def _search(t):
 @query("clu3_assigned_clusters")
 def _assigned(t):
     spec = PARTS
-    placed, _, _ = cluster.assign_clusters(t.catalogue, 3, restarts=1, spec=spec)
+    placed, _, _ = cluster.assign_clusters(t.catalogue, 3, spec=spec)
     return placed.select("p_partkey", "cluster")
 
 
 @query("clu4_centroids")
 def _centroids(t):
-    _, model, scales = cluster.assign_clusters(t.vectors, 3, restarts=1, spec=VECTORS)
+    _, model, scales = cluster.assign_clusters(t.vectors, 3, spec=VECTORS)
     return cluster.centroids(model, scales, t.spark)
 
 
