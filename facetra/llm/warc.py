@@ -114,8 +114,9 @@ def write_archive(
         kept = kept.groupBy("content").agg(F.min("key").alias("key"))
     kept = kept.select("key", F.col("content").alias("own_content")).distinct()
     bodies = rows.select("key", "payload")
-    keyed = bodies.filter("key is not null").join(kept.filter("key is not null"), "key").filter(content == F.col("own_content"))
-    # The join has dealt the rows by key, so dropping repeated ones moves no payload again.
+    keyed = bodies.filter("key is not null").withColumn("own_content", content)
+    keyed = keyed.join(kept.filter("key is not null"), ["key", "own_content"])
+    # The join has dealt the rows by these columns, so dropping repeated ones moves no payload again.
     keyed = keyed.dropDuplicates(["key", "own_content"]).select("own_content", "payload")
     nameless = bodies.filter("key is null").select(content.alias("own_content"), "payload")
     nameless = nameless.join(kept.filter("key is null").select("own_content"), "own_content").dropDuplicates(["own_content"])
