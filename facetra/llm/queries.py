@@ -176,6 +176,6 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     labels = table(spark, folder, "labels").filter(~held_out).select("doc_id", "toxic")
-    classifier = toxicity.fit(docs, docs.join(labels, "doc_id"))
+    classifier = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, classifier)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches
+from .common import column, small_batches, written
 
 ORDER = 4
 SYMBOLS = 27  # 0 is everything that is no letter from a to z
@@ -254,33 +254,31 @@ class Classifier:
 
 def fit(
     docs: DataFrame,
-    labelled: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
     sample: int = 20_000,
     most_features: int = 5_000,
     least: int = 3,
 ) -> Classifier:
-    """Character model from all ``docs``; weights from at most ``sample`` rows of ``labelled``.
+    """Character model from all ``docs``; weights from at most ``sample`` labelled rows of them.
 
-    ``labelled`` holds ``text`` and ``label`` (0 or 1; null labels are left out). The sample is
-    that of the smallest text hashes. Features must occur in ``least`` toxic rows and be far more
-    frequent there; the ``most_features`` most telling ones are kept and weighed by logistic
-    regression. Without toxic rows every text gets the smoothed share of toxic rows as its score.
+    ``labels`` holds ``key`` and ``label`` (0 or 1; others and null keys are left out). The sample is
+    that of the smallest key hashes; being bounded, it is broadcast to find its texts. Features must
+    occur in ``least`` toxic rows and be far more frequent there; the ``most_features`` most telling
+    ones are kept and weighed by logistic regression. Without toxic rows every text gets the
+    smoothed share of toxic rows as its score.
     """
     spark = docs.sparkSession
     characters = character_counts(docs, text)
     shared = spark.sparkContext.broadcast(characters)
-    rows = (
-        labelled.select(F.coalesce(column(text).cast("string"), F.lit("")).alias("text"), column(label).cast("int").alias("label"))
-        .filter(F.col("label").isin(0, 1))
-        .withColumn("order", F.xxhash64("text"))
-    )
-    cut = rows.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]
-    if cut is not None:
-        rows = rows.filter(F.col("order") <= cut)
-    parts = max(1, min(64, math.ceil(sample / 1000)))
-    rows = rows.select("text", "label").repartition(parts)
+    known = labels.select(column(key).alias("key"), column(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("key").isNotNull())
+    chosen = known.orderBy(F.xxhash64("key"), "key", "label").limit(sample)
+    chosen = spark.createDataFrame(chosen.toArrow(), known.schema) if known.limit(1).count() else known.limit(0)
+    rows = docs.select(column(key).alias("key"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "key").select("text", "label")
+    rows = written(rows.repartition(max(1, min(64, math.ceil(sample / 1000)))), "labelled-texts")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(CharacterModel(shared.value))
