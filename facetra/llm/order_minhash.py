@@ -7,9 +7,12 @@ chance falls with edits and with moved passages, not only with missing items.
 
 Texts with equal words form a class first; only one member goes on. Classes that share a
 sketch are candidates. A bucket is searched from a hub (its smallest member): hub and
-members are compared, members linked to the hub are done, and the others choose the next
-hub, until the open rest of a bucket is small; then its pairs follow that share two
-sketches. No bucket is gathered in one task, and no pair within a group of copies is made.
+members are compared, and links make components. What is left are members of one bucket in
+different components. They are compared by a signature (smallest item in each of 256 parts of
+the hash range), in blocks of bounded size; pairs whose signatures allow the similarity are
+verified, first the best partner of each member in every other component, then, where
+components still differ, all of them. No bucket is gathered in one task, and no pair within a
+group of copies is made.
 
 Candidates are verified by alignment: common items in text order, within the band that
 the similarity allows, as the longest chain that rises in both texts. The similarity
@@ -34,7 +37,9 @@ SHINGLE = 5
 TAKEN = 5
 SKETCHES = 20
 SIMILARITY = 0.8
-OPEN = 256
+SLOTS = 256
+BLOCK = 4_096
+TILE = 256
 CHUNK = 1 << 20
 
 WORD = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
@@ -191,7 +196,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(compared, f"a {kind}, b {kind}, similarity double").filter("similarity > 0")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, open_rest: int = OPEN) -> DataFrame:
+def signature(h: np.ndarray) -> np.ndarray:
+    """The smallest item in each of ``SLOTS`` parts of the hash range, as 31 bits; 0: none."""
+    ordered = np.sort(h)
+    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+    bounds = np.arange(SLOTS, dtype=np.uint64) << shift
+    at = np.searchsorted(ordered, bounds)
+    found = np.append(ordered, np.uint64(0))[at]
+    inside = (at < len(ordered)) & (found >> shift == np.arange(SLOTS, dtype=np.uint64))
+    return np.where(inside, (found & np.uint64(0x3FFFFFFF)).astype(np.int32) + 1, 0).astype(np.int32)
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [items(normalised(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([len(h) for h in made], pa.int64()), pa.array([signature(h).tobytes() for h in made], pa.binary())],
+                names=["id", "n_items", "slots"],
+            )
+
+    return texts.mapInArrow(signed, "id string, n_items long, slots binary")
+
+
+def close_pairs(sizes: np.ndarray, slots: np.ndarray, component: np.ndarray, part: np.ndarray, least: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Members of different components whose signatures allow a similarity of ``least``.
+
+    Members lie in one or two ``part``s; with two, only pairs across them are compared.
+    ``best``: for each member only its best partner in every other component.
+    """
+    across = part.min(initial=0) != part.max(initial=0)
+    rows = np.flatnonzero(part == part.min(initial=0))
+    filled = slots > 0
+    left, right = [], []
+    for at in range(0, len(rows), TILE):
+        own = rows[at : at + TILE]
+        same = np.zeros((len(own), len(slots)), np.uint16)
+        either = np.zeros((len(own), len(slots)), np.uint16)
+        for k in range(slots.shape[1]):
+            mine = filled[own, k][:, None]
+            same += (slots[own, k][:, None] == slots[None, :, k]) & mine
+            either += mine | filled[None, :, k]
+        # Slots sample the items of both without replacement: short texts are compared almost as a whole.
+        union = (sizes[own][:, None] + sizes) / (1 + least)
+        missed = np.clip(1 - either / union, 0.0, 1.0) + 0.02
+        slack = 4 * np.sqrt(missed * least * (1 - least) / np.maximum(either, 1))
+        estimate = same / np.maximum(either, 1)
+        ratio = np.minimum(sizes[own][:, None], sizes) >= least * np.maximum(sizes[own][:, None], sizes)
+        close = (component[own][:, None] != component) & ratio & (estimate >= least - slack)
+        if across:
+            close &= part[None, :] != part[own][:, None]
+        elif not best:
+            close &= own[:, None] > np.arange(len(slots))
+        r, c = np.nonzero(close)
+        if best and len(r):
+            by = np.lexsort((-estimate[r, c], component[c], r))
+            r, c = r[by], c[by]
+            first = np.concatenate([[True], (r[1:] != r[:-1]) | (component[c][1:] != component[c][:-1])])
+            r, c = r[first], c[first]
+        left.append(own[r])
+        right.append(c)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, least: float, best: bool) -> DataFrame:
+    """Pairs (``a``, ``b``) within buckets that hold several components; buckets go in blocks."""
+    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = named.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    several = several.filter("low <> high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = named.join(several, "band").join(signatures, "id").withColumn("part", part)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("id", "component", "n_items", "slots", "band", "part", other.alias("other"))
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def group(held: list[tuple]) -> pa.RecordBatch:
+        ids = [r[3] for r in held]
+        components, sizes, slots, part = zip(*(r[4:] for r in held))
+        number = np.unique(np.array(components), return_inverse=True)[1]
+        table = np.frombuffer(b"".join(slots), np.int32).reshape(len(ids), SLOTS)
+        a, b = close_pairs(np.array(sizes), table, number, np.array(part), least, best)
+        x, y = np.array(ids, object)[a], np.array(ids, object)[b]
+        up = x > y
+        return pa.RecordBatch.from_arrays([pa.array(np.where(up, x, y), pa.string()), pa.array(np.where(up, y, x), pa.string())], names=["a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "id", "component", "n_items", "slots", "part"))):
+                if held and row[:3] != held[-1][:3]:
+                    yield group(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield group(held)
+
+    return dealt.mapInArrow(compared, "a string, b string").distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per input row: ``key``, ``group_id`` (smallest key of its group) and ``kept``.
 
     A group holds what links of at least ``least`` connect; texts with equal words are linked.
@@ -200,50 +304,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     An empty table gives no rows. Columns other than ``key`` and ``text`` are not read.
     """
     all_rows = written(sketched(docs, key, text), "sketches")
-    # Classes are named by their smallest key; keys that repeat with other words are told apart by digest.
+    # Classes are named by the digest of their words; their smallest key is only shown.
     classes = (
         all_rows.filter("key is not null and digest is not null")
         .groupBy("digest")
-        .agg(F.min("key").alias("first"), F.first("n_items").alias("n_items"), F.first("sketch").alias("sketch"))
+        .agg(F.min("key").alias("first"), F.first("sketch").alias("sketch"))
     )
-    classes = written(classes.select(F.hex("digest").alias("id"), "first", "n_items", "sketch"), "classes")
-    bands = classes.select("id", "n_items", F.explode(F.array_distinct("sketch")).alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    rest = written(bands.join(shared, "band"), "bands")
-    used = classes.join(rest.select("id").distinct(), "id").select(F.col("first").alias("key"), "id")
-    whole = docs.select(column(key).alias("key"), column(text).cast("string").alias("text")).filter("key is not null and text is not null")
-    texts = written(_right_text(whole.join(used, "key").select("id", "text")).dropDuplicates(["id"]), "texts")
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
+    classes = written(classes.select(F.hex("digest").alias("id"), "first", "sketch"), "classes")
+    bands = classes.select("id", F.explode(F.array_distinct("sketch")).alias("band"))
+    hubs = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1").select("band", "hub")
+    members = written(bands.join(hubs, "band"), "bands")
     labels = None
-    while True:
-        widest = rest.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-        if widest < 2:
-            break
-        last = links is not None and widest <= open_rest
-        if last:
-            pairs = _rest_pairs(rest, classes, labels, least)
-        else:
-            hubs = rest.groupBy("band").agg(F.min("id").alias("b"))
-            pairs = rest.join(hubs, "band").filter("id <> b")
-            pairs = pairs.select(F.col("id").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(_verified(pairs, texts, least), "verified")
-        links = found if links is None else written(links.unionByName(found), "verified")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    if members.limit(1).count():
+        used = classes.join(members.select("id").distinct(), "id").select(F.col("first").alias("key"), "id")
+        whole = docs.select(column(key).alias("key"), column(text).cast("string").alias("text")).filter("key is not null and text is not null")
+        texts = written(_right_text(whole.join(used, "key").select("id", "text")).dropDuplicates(["id"]), "texts")
+        pairs = written(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+        links = written(_verified(pairs, texts, least), "verified")
+        tested = pairs
         labels = components(links)
-        if last:
-            break
-        named = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        hub_of = named.groupBy("band").agg(F.min_by("component", "id").alias("hub_component"), F.min("id").alias("hub"))
-        rest = written(named.join(hub_of, "band").filter("component <> hub_component and id <> hub").select("id", "n_items", "band"), "bands")
+        signatures = written(_signed(texts), "signatures")
+        for best in (True, False):
+            more = _open_pairs(members.select("id", "band"), labels, signatures, least, best)
+            pairs = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.limit(1).count():
+                break
+            found = written(_verified(pairs, texts, least), "verified")
+            tested = tested.unionByName(pairs)
+            if found.limit(1).count():
+                links = links.unionByName(found)
+                labels = components(links)
     if labels is None:
         grouped = classes.select("id", F.col("first").alias("group_first"))
     else:
-        named = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = classes.select("id", "first").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         lowest = named.groupBy("component").agg(F.min("first").alias("group_first"))
         grouped = named.join(lowest, "component").select("id", "group_first")
     grouped = written(grouped, "groups")
@@ -253,7 +347,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def _right_text(texts: DataFrame) -> DataFrame:
-    """Of rows found by key, those whose words have the digest of the class, once each."""
+    """Of rows found by key, those whose words have the digest of the class."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,15 +358,3 @@ def _right_text(texts: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(same, pa.bool_()))
 
     return texts.mapInArrow(checked, "id string, text string")
-
-
-def _rest_pairs(rest: DataFrame, classes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs within the small open rests that share two sketches and are not connected yet."""
-    named = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    a = named.select(F.col("id").alias("a"), "band", F.col("n_items").alias("n_a"), F.col("component").alias("c_a"))
-    b = named.select(F.col("id").alias("b"), "band", F.col("n_items").alias("n_b"), F.col("component").alias("c_b"))
-    close = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    once = a.join(b, "band").filter(close).select("a", "b").distinct()
-    own = classes.select("id", "sketch")
-    both = once.join(own.withColumnsRenamed({"id": "a", "sketch": "s_a"}), "a").join(own.withColumnsRenamed({"id": "b", "sketch": "s_b"}), "b")
-    return both.filter((F.size(F.array_intersect("s_a", "s_b")) >= 2) | (F.least(F.size("s_a"), F.size("s_b")) < 2)).select("a", "b")

@@ -5,7 +5,8 @@ from difflib import SequenceMatcher
 import numpy as np
 import pytest
 
-from facetra.llm.order_minhash import items, near_duplicates, normalised, similarity, sketches, word_hashes
+from facetra.llm import order_minhash
+from facetra.llm.order_minhash import close_pairs, items, near_duplicates, normalised, signature, similarity, sketches, word_hashes
 
 SHAPE = "doc_id long, text string, digest string, id string"
 
@@ -71,7 +72,25 @@ def test_groups(spark):
     assert all(kept == (k == g) for k, (g, kept) in got.items())
 
 
-def test_chain_and_hot_group(spark):
+def test_signatures_keep_all_similar_pairs():
+    rng = np.random.default_rng(4)
+    base = words(rng, 250)
+    made = [items(normalised(" ".join(edited(rng, base, int(e))))) for e in rng.integers(0, 12, 60)] + [items(normalised(" ".join(words(rng, 250)))) for _ in range(60)]
+    slots = np.array([signature(h) for h in made])
+    sizes, own = np.array([len(h) for h in made]), np.arange(120)
+    a, b = close_pairs(sizes, slots, own, own * 0, 0.8, best=False)
+    found = set(zip(a.tolist(), b.tolist()))
+    want = {(i, j) for i in range(120) for j in range(i) if similarity(made[i], made[j])}
+    assert want <= found and all(i < 60 for i, _ in found)
+    a, b = close_pairs(sizes, slots, own, own % 2, 0.8, best=False)
+    assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in found if i % 2 != j % 2}
+    a, b = close_pairs(sizes, slots, own % 2, own * 0, 0.8, best=True)
+    assert len(a) == len({x for x in a.tolist()})
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_chain_and_hot_group(spark, monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
     rng = np.random.default_rng(3)
     base = words(rng, 300)
     texts = {}
@@ -82,7 +101,7 @@ def test_chain_and_hot_group(spark):
         step = edited(rng, step, 5)
         texts[100 + i] = " ".join(step)
     rows = [(k, t, "x", "y") for k, t in texts.items()]
-    got = {r.doc_id: r.group_id for r in near_duplicates(spark.createDataFrame(rows, SHAPE), open_rest=4).collect()}
+    got = {r.doc_id: r.group_id for r in near_duplicates(spark.createDataFrame(rows, SHAPE)).collect()}
     assert got == brute(texts)
 
 
