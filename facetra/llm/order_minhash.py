@@ -332,8 +332,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             found = written(_verified(pairs, texts, least), "verified")
             tested = tested.unionByName(pairs)
             if found.limit(1).count():
-                links = links.unionByName(found)
-                labels = components(links)
+                labels = _joined(labels, found)
     if labels is None:
         grouped = classes.select("id", F.col("first").alias("group_first"))
     else:
@@ -346,6 +345,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     return out.select(F.col("key").alias(key), group.alias("group_id"), F.coalesce(F.col("key") == group, F.lit(True)).alias("kept"))
 
 
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after further links: only links between different components are searched again."""
+    ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    every = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    every = written(every, "labels")
+    named = found.select("a", "b").join(every.withColumnsRenamed({"id": "a", "component": "c_a"}), "a")
+    named = named.join(every.withColumnsRenamed({"id": "b", "component": "c_b"}), "b").filter("c_a <> c_b")
+    merged = components(named.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
+    merged = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return written(every.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def _right_text(texts: DataFrame) -> DataFrame:
     """Of rows found by key, those whose words have the digest of the class."""
 
