@@ -5,8 +5,13 @@ item. A sketch hashes all items, takes the ``TAKEN`` smallest and keeps them in
 the text, so two texts share a sketch only if they share those items in that order: the
 chance falls with edits and with moved passages, not only with missing items.
 
+A sketch says little about a short text, so texts of fewer than ``SHORT`` items have an exact
+index instead, which also holds every longer text that could be similar to one of them. Items
+have one order, rare ones first; two similar texts share an item among the first
+``n - ceil(least * n) + 1`` of each.
+
 Texts with equal words form a class first; only one member goes on. Classes that share a
-sketch are candidates. A bucket is searched from a hub (its smallest member): hub and
+sketch or an indexed item are candidates. A bucket is searched from a hub (its smallest member): hub and
 members are compared, and links make components. What is left are members of one bucket in
 different components. They are compared by a signature (smallest item in each of 256 parts of
 the hash range), in blocks of bounded size; pairs whose signatures allow the similarity are
@@ -22,6 +27,7 @@ is ``chain / (items of both - chain)``, at most the Jaccard similarity of the sh
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -37,6 +43,9 @@ SHINGLE = 5
 TAKEN = 5
 SKETCHES = 20
 SIMILARITY = 0.8
+SHORT = 50
+COMMON = 64
+MOST_COMMON = 200_000
 SLOTS = 256
 BLOCK = 4_096
 TILE = 256
@@ -131,6 +140,25 @@ def sketches(h: np.ndarray, number: int = SKETCHES, taken: int = TAKEN) -> list[
     return out
 
 
+def longest_indexed(least: float) -> int:
+    """Items of the longest text that can be similar to one of fewer than ``SHORT`` items."""
+    return math.floor((SHORT - 1) / least + 1e-9)
+
+
+def prefix(h: np.ndarray, common: np.ndarray, places: np.ndarray, least: float) -> np.ndarray:
+    """The first items of a text: similar texts share one of them.
+
+    ``common``: frequent items, sorted; ``places``: their places in the order, rarest first.
+    All other items come before these, by hash.
+    """
+    at = np.searchsorted(common, h)
+    known = np.append(common, np.uint64(0))[at] == h
+    known &= at < len(common)
+    place = np.where(known, np.append(places, 0)[at], -1)
+    n = len(h)
+    return h[np.lexsort((h, place))[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Alignment similarity of two item sequences, or 0.0 where it is below ``least``."""
     total = len(a) + len(b)
@@ -155,27 +183,56 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return found if found >= least - 1e-12 else 0.0
 
 
-def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``digest`` of the words, ``n_items`` and ``sketch`` per row; no digest without words."""
+def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """``key``, ``digest`` of the words, ``n_items``, ``sketch`` and ``short`` per row; no digest without words.
+
+    ``short`` holds all items of a text that goes into the index; a text below ``SHORT`` items has no sketch.
+    """
+    longest = longest_indexed(least)
     small_batches(docs.sparkSession)
     rows = docs.select(column(key).alias("key"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, found = [], [], []
+            digests, sizes, found, short = [], [], [], []
             for value in batch.column("text"):
                 words = normalised(value.as_py())
                 h = items(words)
                 digests.append(hashlib.sha256(words).digest()[:16] if words else None)
                 sizes.append(len(h))
-                found.append(sketches(h) if len(h) else [])
+                found.append(sketches(h) if len(h) >= SHORT else [])
+                short.append(h.view(np.int64) if len(h) <= longest else [])
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                names=["key", "digest", "n_items", "sketch"],
+                [batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, lists), pa.array(short, lists)],
+                names=["key", "digest", "n_items", "sketch", "short"],
             )
 
-    return rows.mapInArrow(made, f"key {kind}, digest binary, n_items long, sketch array<long>")
+    return rows.mapInArrow(made, f"key {kind}, digest binary, n_items long, sketch array<long>, short array<long>")
+
+
+def _indexed(classes: DataFrame, least: float) -> DataFrame:
+    """``id`` and ``band`` of the short texts: a band per item of the prefix.
+
+    The most frequent items are counted and come last, so that what many texts share is
+    seldom a band. The index is exact for any order that all texts have in common.
+    """
+    spark = classes.sparkSession
+    short = classes.filter(F.size("short") > 0).select("id", "short")
+    counts = short.select(F.explode("short").alias("item")).groupBy("item").count().filter(F.col("count") > COMMON)
+    frequent = counts.orderBy(F.desc("count"), "item").limit(MOST_COMMON).toPandas()
+    values = frequent["item"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(values)
+    shared = spark.sparkContext.broadcast((values[by], (len(values) - np.arange(len(values)))[by]))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, places = shared.value
+        for batch in batches:
+            found = [prefix(np.array(h, np.int64).view(np.uint64), common, places, least).view(np.int64) for h in batch.column("short").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "bands"])
+
+    return short.mapInArrow(made, "id string, bands array<long>").select("id", F.explode("bands").alias("band"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -243,7 +300,11 @@ def close_pairs(sizes: np.ndarray, slots: np.ndarray, component: np.ndarray, par
         slack = 4 * np.sqrt(missed * least * (1 - least) / np.maximum(either, 1))
         estimate = same / np.maximum(either, 1)
         ratio = np.minimum(sizes[own][:, None], sizes) >= least * np.maximum(sizes[own][:, None], sizes)
-        close = (component[own][:, None] != component) & ratio & (estimate >= least - slack)
+        # Every slot that differs holds an item that only one text has: certain, and sharp where items are few.
+        n = sizes[own][:, None] + sizes
+        certain = either - same <= n * (1 - least) / (1 + least) + 1e-9
+        short = np.maximum(sizes[own][:, None], sizes) <= longest_indexed(least)
+        close = (component[own][:, None] != component) & ratio & np.where(short, certain, estimate >= least - slack)
         if across:
             close &= part[None, :] != part[own][:, None]
         elif not best:
@@ -303,15 +364,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     Rows that repeat a key are all returned; if their texts differ, each follows its own text.
     An empty table gives no rows. Columns other than ``key`` and ``text`` are not read.
     """
-    all_rows = written(sketched(docs, key, text), "sketches")
+    all_rows = written(sketched(docs, key, text, least), "sketches")
     # Classes are named by the digest of their words; their smallest key is only shown.
     classes = (
         all_rows.filter("key is not null and digest is not null")
         .groupBy("digest")
-        .agg(F.min("key").alias("first"), F.first("sketch").alias("sketch"))
+        .agg(F.min("key").alias("first"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     )
-    classes = written(classes.select(F.hex("digest").alias("id"), "first", "sketch"), "classes")
-    bands = classes.select("id", F.explode(F.array_distinct("sketch")).alias("band"))
+    classes = written(classes.select(F.hex("digest").alias("id"), "first", "sketch", "short"), "classes")
+    bands = classes.select("id", F.explode(F.array_distinct("sketch")).alias("band")).unionByName(_indexed(classes, least))
     hubs = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1").select("band", "hub")
     members = written(bands.join(hubs, "band"), "bands")
     labels = None

@@ -105,6 +105,25 @@ def test_chain_and_hot_group(spark, monkeypatch, block):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("common", [64, 3])
+def test_short_texts_are_exact(spark, monkeypatch, common):
+    monkeypatch.setattr(order_minhash, "COMMON", common, raising=False)
+    rng = np.random.default_rng(7)
+    texts = {}
+    for n in (8, 9, 10, 12, 16, 28, 53, 54):  # 8 against 9 words: 4 of 5 items; 53 against 54: the end of the index
+        for _ in range(25):
+            base = words(rng, n)
+            texts[len(texts)] = " ".join(base)
+            texts[len(texts)] = " ".join(base + words(rng, 1))
+            texts[len(texts)] = " ".join(base + words(rng, (n - 4) // 4))
+    for _ in range(30):  # items that many texts share
+        texts[len(texts)] = " ".join(words(rng, 6) + [f"line{i}" for i in range(12)])
+    rows = [(k, t, "x", "y") for k, t in texts.items()]
+    got = {r.doc_id: r.group_id for r in near_duplicates(spark.createDataFrame(rows, SHAPE).repartition(4)).collect()}
+    want = brute(texts)
+    assert want[1] == 0 and got == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "!!! ..."), (4, "Same words here"), (5, "same, words here!"), (5, "same, words here!"), (6, "short"), (6, "other text"), (None, "same words here"), (7, "short"), (8, "z " * 5000), (9, "z " * 5000 + "y")]
     got = near_duplicates(spark.createDataFrame([(*r, None, None) for r in rows], SHAPE)).collect()
