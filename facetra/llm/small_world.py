@@ -6,9 +6,10 @@ shard is queried with the vectors of its own and of every other shard of the lab
 holds two shards at a time, so a label of any size is searched in blocks.
 
 A query walks down the layers and collects a beam of the best vertices on the lowest one.
-Beams that hold links only are widened and searched again. An audit compares a sample of
-the queries with all vectors of the shard; while it misses links, all beams of the shard
-are widened, up to the whole shard. Links are verified by cosine in double precision.
+Beams that hold links only are widened and searched again; two shards are searched both ways.
+An audit compares a fixed sample of the queries with all vectors of the shard; while it misses
+links, all beams of the shard are widened, up to the whole shard. A sample with too few true
+links to judge by proves nothing: such a block is compared as a whole. Links are verified by cosine in double precision.
 Tasks return one row per vector (its number of links and one member of its component), never pairs.
 
 All vertices of a batch are inserted and all queries of a block searched side by side in numpy.
@@ -34,6 +35,7 @@ BUILD_BEAM = 48
 BEAM = 32
 BATCH = 256
 AUDIT = 128
+EVIDENCE = 100
 RECALL = 0.99
 SLACK = 1e-3
 
@@ -212,33 +214,25 @@ def _connect(g: Graph, i: int, new: np.ndarray, ids: np.ndarray, sims: np.ndarra
         layer[to[rows], : kept.shape[1]] = kept
 
 
-def linked(g: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: bool, beam: int = BEAM, seed: int = 3) -> np.ndarray:
+def linked(g: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: bool, beam: int = BEAM, seed: int = 3, back: Graph | None = None) -> np.ndarray:
     """Boolean table query x vertex of the links found; ``own``: query i is vertex i.
 
-    ``exact`` and ``queries`` are unit vectors in double precision.
+    ``exact`` and ``queries`` are unit vectors in double precision. ``back`` is the graph of the
+    queries, searched with ``exact`` as well. The table is exact where the audit's sample holds
+    fewer than ``EVIDENCE`` true links.
     """
     n, m = len(queries), len(exact)
-    short = queries.astype(np.float32)
     rng = np.random.default_rng(seed)
     audit = rng.permutation(n)[:AUDIT]
+    checked = queries[audit] @ exact.T >= least
+    if own:
+        checked[np.arange(len(audit)), audit] = False
+    if checked.sum() < EVIDENCE:
+        return _compared(exact, queries, least, own)
     while True:
-        near = np.zeros((n, m), bool)
-        todo, width = np.arange(n), min(beam, m)
-        while len(todo):
-            again = []
-            per = max(8, BATCH * BEAM // width)
-            for at in range(0, len(todo), per):
-                some = todo[at : at + per]
-
-                def mark(q, v, s, some=some):
-                    hit = s >= least - SLACK
-                    near[some[q[hit]], v[hit]] = True
-
-                starts = some[:, None] if own else None
-                _, sims = g.search(short[some], width, starts, mark)
-                again.append(some[sims[:, -1] >= least - SLACK])
-            todo = np.concatenate(again) if width < m else np.zeros(0, np.int64)
-            width = min(2 * width, m)
+        near = _near(g, queries.astype(np.float32), least, own, beam)
+        if back is not None:
+            near |= _near(back, exact.astype(np.float32), least, False, beam).T
         found = np.zeros((n, m), bool)
         q, v = np.nonzero(near)
         for at in range(0, len(q), 100_000):
@@ -248,21 +242,52 @@ def linked(g: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own:
             found |= found.T
             np.fill_diagonal(found, False)
         busy = np.flatnonzero(found.any(1))
-        sample = np.union1d(audit, busy[rng.permutation(len(busy))[: AUDIT // 2]])
+        sample = busy[rng.permutation(len(busy))[: AUDIT // 2]]
         truth = queries[sample] @ exact.T >= least
         if own:
             truth[np.arange(len(sample)), sample] = False
-        if (truth & found[sample]).sum() >= RECALL * truth.sum():
-            return found
-        if beam >= m:  # the graph leaves vertices out of reach: compare the block as a whole
-            for at in range(0, n, 1024):
-                found[at : at + 1024] |= queries[at : at + 1024] @ exact.T >= least
-            if own:
-                np.fill_diagonal(found, False)
+        # What found something says little of what found nothing: each of the two samples must pass.
+        fixed = (checked & found[audit]).sum() >= RECALL * checked.sum()
+        if fixed and (truth & found[sample]).sum() >= RECALL * truth.sum():
             return found
+        if beam >= max(n, m):  # the graph leaves vertices out of reach
+            return found | _compared(exact, queries, least, own)
         beam *= 2
 
 
+def _near(g: Graph, short: np.ndarray, least: float, own: bool, beam: int) -> np.ndarray:
+    """Boolean table query x vertex of what one search of the graph meets within reach of ``least``."""
+    n, m = len(short), len(g.vectors)
+    near = np.zeros((n, m), bool)
+    todo, width = np.arange(n), min(beam, m)
+    while len(todo):
+        again = []
+        per = max(8, BATCH * BEAM // width)
+        for at in range(0, len(todo), per):
+            some = todo[at : at + per]
+
+            def mark(q, v, s, some=some):
+                hit = s >= least - SLACK
+                near[some[q[hit]], v[hit]] = True
+
+            starts = some[:, None] if own else None
+            _, sims = g.search(short[some], width, starts, mark)
+            again.append(some[sims[:, -1] >= least - SLACK])
+        todo = np.concatenate(again) if width < m else np.zeros(0, np.int64)
+        width = min(2 * width, m)
+    return near
+
+
+def _compared(exact: np.ndarray, queries: np.ndarray, least: float, own: bool) -> np.ndarray:
+    """The links of a block, all pairs compared."""
+    found = np.zeros((len(queries), len(exact)), bool)
+    for at in range(0, len(queries), 1024):
+        found[at : at + 1024] = queries[at : at + 1024] @ exact.T >= least
+    if own:
+        np.fill_diagonal(found, False)
+    return found
+
+
 def _unit(rows) -> np.ndarray:
     v = np.array([r for r in rows], np.float64)
     v = v / np.abs(v).max(1, keepdims=True)
@@ -340,8 +365,9 @@ def near_duplicates(
                     links = found @ copies + copies - 1
                     yield pd.DataFrame({"id": ids, "links": links, "root": np.array(ids)[_roots(len(ids), a, b)]})
                 else:
-                    more, queries, more_copies, _, _ = pickle.loads(other)
-                    found = linked(g, exact, queries, least, own=False)
+                    more, queries, more_copies, layers, entry = pickle.loads(other)
+                    back = Graph(queries.astype(np.float32), [x.astype(np.int64) for x in layers], entry)
+                    found = linked(g, exact, queries, least, own=False, back=back)
                     q, v = np.nonzero(found)
                     names = np.array(ids + more)
                     links = np.concatenate([more_copies @ found, found @ copies])

@@ -32,6 +32,35 @@ def test_links_of_a_shard(groups):
     assert found.sum() >= 0.9 * want.sum()
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_few_links_are_not_passed_unchecked(own):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 16))
+    audited = np.random.default_rng(3).permutation(1200 if own else 600)[:128]
+    at = np.setdiff1d(np.arange(600), [audited, audited - 600])[:20]  # no link has an end in the sample
+    x[600 + at] = x[at] + 1e-3 * rng.normal(size=(20, 16))
+    u = _unit(x)
+    exact, queries = (u, u) if own else (u[:600], u[600:])
+    g = build(exact.astype(np.float32))
+    g.layers = [np.full_like(layer, -1) for layer in g.layers]  # a graph that finds nothing
+    want = queries @ exact.T >= 0.93
+    if own:
+        np.fill_diagonal(want, False)
+    assert want.sum() >= 20
+    assert (linked(g, exact, queries, 0.93, own=own) == want).all()
+
+
+def test_both_ways():
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(4, 16))
+    u = _unit(base[rng.integers(0, 4, 800)] + 0.05 * rng.normal(size=(800, 16)))
+    exact, queries = u[:400], u[400:]
+    g, back = build(exact.astype(np.float32)), build(queries.astype(np.float32))
+    found = linked(g, exact, queries, 0.93, own=False, back=back)
+    want = queries @ exact.T >= 0.93
+    assert not (found & ~want).any() and (found & want).sum() >= 0.99 * want.sum()
+
+
 def test_index_recall_of_nearest():
     x = np.random.default_rng(2).normal(size=(3000, 16))
     u = _unit(x).astype(np.float32)
