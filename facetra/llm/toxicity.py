@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,6 +62,12 @@ CLASSES = _classes()
 WORD_BYTES = bytes(b if CLASSES[b] == _LETTER else 32 for b in range(256))
 LETTERS = bytes(b for b in range(256) if CLASSES[b] == _LETTER)
 STRETCHED = re.compile(rb"([a-z])\1\1")
+# Signs beyond ASCII, also invisible ones, separate letters like a full stop.
+FAR_SIGNS = re.compile("[" + "".join(chr(c) for r in (range(0x80, 0x10000), range(0x1F000, 0x1FB00)) for c in r if unicodedata.category(chr(c))[0] in "PS" or unicodedata.category(chr(c)) == "Cf") + "]")
+FAR_BLANKS = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+SPREAD = re.compile(rb"\s+(?:[._\-/~^'`,]+\s+)*")
+# Plain words before an exclamation mark; ``disguised`` leaves them to ``Restorer``.
+EXCLAIMED = re.compile(rb"[a-z\x80-\xff]{2,%d}!+" % MAX_WORD)
 CODES = bytes(b - 96 if 97 <= b <= 122 else 0 for b in range(256))
 
 
@@ -162,7 +169,7 @@ def decode(span: bytes, model: CharacterModel) -> bytes:
 
 
 def disguised(data: bytes) -> set[bytes]:
-    """Spans of a lower-case text that may hide a word, without signs at their ends."""
+    """Spans of a lower-case text that may hide a word, with and without signs at their ends."""
     if len(data) < 3:
         return set()
     kinds = np.frombuffer(data.translate(CLASSES), np.uint8)
@@ -173,10 +180,13 @@ def disguised(data: bytes) -> set[bytes]:
     near = letter | sign
     mixed = np.flatnonzero(inner & near[:-2] & near[2:] & (letter[:-2] | letter[2:])) + 1
     runs = np.flatnonzero(letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] < 0x80)) + 1
-    first = np.flatnonzero(sign[:-1] & letter[1:])
+    signs = np.flatnonzero(sign)
+    token = np.cumsum(kinds == _SPACE)
+    lettered = np.bincount(token[letter], minlength=token[-1] + 1) > 0
+    signs = signs[lettered[token[signs]]]  # a sign anywhere in a token that has a letter
     spans: set[bytes] = set()
     done = -1
-    for at in np.unique(np.concatenate([mixed, runs, first])).tolist():
+    for at in np.unique(np.concatenate([mixed, runs, signs])).tolist():
         if at < done:
             continue
         start = at
@@ -206,12 +216,15 @@ def disguised(data: bytes) -> set[bytes]:
 
 
 def _pieces(token: bytes) -> Iterator[bytes]:
-    """A token without signs at its end; long ones in overlapping pieces of at most ``MAX_WORD`` bytes."""
-    token = token.strip(b".,;:?\"'()[]{}<>/~^`_-").rstrip(b"!$*#|+@&%=")
-    for at in range(0, max(1, len(token) - MAX_WORD // 2), MAX_WORD // 2):
-        part = token[at : at + MAX_WORD]
-        if len(part) >= 3 and (part.translate(None, LETTERS) or STRETCHED.search(part)):
-            yield part
+    """A token with and without signs at its ends; long ones in overlapping pieces of at most ``MAX_WORD`` bytes."""
+    outer = token.strip(b".,;:?\"')[]{}>/~^`_-")  # what may stand for no letter
+    left, right = b".,;:?\"'()[]{}<>/~^`_-", b".,;:?\"')[]{}>/~^`_-!$*#|+@&%="
+    forms = {outer, outer.lstrip(left), outer.rstrip(right), outer.lstrip(left).rstrip(right), token.strip(left).rstrip(b"!$*#|+@&%=")}
+    for form in forms:
+        for at in range(0, max(1, len(form) - MAX_WORD // 2), MAX_WORD // 2):
+            part = form[at : at + MAX_WORD]
+            if len(part) >= 3 and not EXCLAIMED.fullmatch(part) and (part.translate(None, LETTERS) or STRETCHED.search(part)):
+                yield part
 
 
 class Restorer:
@@ -223,7 +236,7 @@ class Restorer:
 
     def restored(self, data: bytes) -> set[bytes]:
         out = set()
-        for span in disguised(data):
+        for span in disguised(data) | {m[: MAX_WORD + 1] for m in EXCLAIMED.findall(data)}:
             word = self.known.get(span)
             if word is None:
                 if len(self.known) >= self.most:
@@ -233,8 +246,13 @@ class Restorer:
         return out
 
     def words(self, text: str) -> set[bytes]:
-        data = text.lower().encode("utf-8", "replace")
+        text = text.lower()
+        data = text.encode("utf-8", "replace")
         words = set(data.translate(WORD_BYTES).split())
+        if not text.isascii():
+            data = FAR_BLANKS.sub(" ", FAR_SIGNS.sub(".", text)).encode("utf-8", "replace")
+            words.update(data.translate(WORD_BYTES).split())
+        data = SPREAD.sub(b" ", data)  # letters may be set apart by several blanks
         for word in self.restored(data):
             words.update(word.translate(WORD_BYTES).split())
         return words

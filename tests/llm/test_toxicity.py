@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert score(docs, fit(empty, empty)).count() == 5
     assert score(empty, fit(docs, docs.filter("toxic = 0"))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["gru7", "gru7, and", "(gru7)", "gru+", "gru+!", "gri!!", "g  r  u  t", "g · r · u · t", "g·r·u·t", "g\u200br\u200bu\u200bt", "“grut”", "(rut"])
+def test_signs_at_the_end_and_far_separators(text):
+    counts = np.zeros(27**4, np.int64)
+    for word in (b"   grut ", b"   crut ", b"   gril "):
+        codes = np.array([0 if b == 32 else b - 96 for b in word])
+        for i in range(len(codes) - 3):
+            counts[int(np.dot(codes[i : i + 4], [27**3, 27**2, 27, 1]))] += 500
+    assert Restorer(CharacterModel(counts)).words("so " + text) & {b"grut", b"crut", b"gril"}
