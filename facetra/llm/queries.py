@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, maxent, mixing, order_minhash, small_world, suffix_dedup, top_k, toxicity, warc
+from . import byte_bpe, language, maxent, mixing, order_minhash, packing, small_world, suffix_dedup, top_k, toxicity, warc, whitening
 from .common import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     classifier = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, classifier)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 2,048 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2_048)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The first eight whitened coordinates of every vector."""
+    return whitening.whiten(table(spark, folder, "embeddings"), components=8)
