@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, maxent, mixing, order_minhash, packing, small_world, suffix_dedup, top_k, toxicity, warc, whitening
+from . import byte_bpe, language, maxent, mixing, order_minhash, packing, prefix_trie, small_world, suffix_dedup, top_k, toxicity, warc, whitening
 from .common import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,44 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, count(*) AS own, conv_id - ((conv_id % 20) + 20) % 20 AS base,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])),
+             lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END)), CAST(4294967295 AS BIGINT)) % 4 AS h
+  FROM t GROUP BY conv_id),
+plan AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS borrowed FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT p.conv_id, t.pos, role, text FROM plan p JOIN t ON t.conv_id = p.base AND t.pos <= p.h
+  UNION ALL SELECT p.conv_id, t.pos - p.h + p.borrowed, role, text FROM plan p JOIN t ON t.conv_id = p.conv_id AND t.pos > p.h),
+paths AS (
+  SELECT conv_id, CAST(pos AS BIGINT) AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         string_agg(md5(CAST(length(role) AS VARCHAR) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS node, pos = count(*) OVER (PARTITION BY conv_id) AS last
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '', borrowed + greatest(0, own - h) = 0 FROM plan),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM paths GROUP BY node),
+kids AS (SELECT left(node, length(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+spread AS (
+  SELECT left(n.node, 32 * n.d) AS node, sum(n.saved) AS saved, count(*) FILTER (n_children IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) n LEFT JOIN kids k ON k.node = n.node GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN spread s USING (node) LEFT JOIN kids k USING (node) LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, length(n.node) - 32)
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 @query("op12_packing")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every document's pieces in sequences of 2,048 tokens."""
