@@ -63,8 +63,8 @@ WORD_BYTES = bytes(b if CLASSES[b] == _LETTER else 32 for b in range(256))
 LETTERS = bytes(b for b in range(256) if CLASSES[b] == _LETTER)
 STRETCHED = re.compile(rb"([a-z])\1\1")
 # Signs beyond ASCII, also invisible ones, separate letters like a full stop.
-FAR_SIGNS = re.compile("[" + "".join(chr(c) for r in (range(0x80, 0x10000), range(0x1F000, 0x1FB00)) for c in r if unicodedata.category(chr(c))[0] in "PS" or unicodedata.category(chr(c)) == "Cf") + "]")
-FAR_BLANKS = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+FAR_SIGNS = frozenset(chr(c) for r in (range(0x80, 0x10000), range(0x1F000, 0x1FB00)) for c in r if unicodedata.category(chr(c))[0] in "PS" or unicodedata.category(chr(c)) == "Cf")
+FAR_BLANKS = frozenset("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 SPREAD = re.compile(rb"\s+(?:[._\-/~^'`,]+\s+)*")
 # Plain words before an exclamation mark; ``disguised`` leaves them to ``Restorer``.
 EXCLAIMED = re.compile(rb"[a-z\x80-\xff]{2,%d}!+" % MAX_WORD)
@@ -233,6 +233,7 @@ class Restorer:
     def __init__(self, model: CharacterModel, most: int = 50_000):
         self.model, self.most = model, most
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # those used before the last ``most``
 
     def restored(self, data: bytes) -> set[bytes]:
         out = set()
@@ -240,8 +241,11 @@ class Restorer:
             word = self.known.get(span)
             if word is None:
                 if len(self.known) >= self.most:
-                    self.known.clear()
-                word = self.known[span] = decode(span, self.model)
+                    self.known, self.older = {}, self.known
+                word = self.older.get(span)
+                if word is None:
+                    word = decode(span, self.model)
+                self.known[span] = word
             out.add(word)
         return out
 
@@ -250,7 +254,10 @@ class Restorer:
         data = text.encode("utf-8", "replace")
         words = set(data.translate(WORD_BYTES).split())
         if not text.isascii():
-            data = FAR_BLANKS.sub(" ", FAR_SIGNS.sub(".", text)).encode("utf-8", "replace")
+            used = set(text)
+            marks = {ord(c): "." for c in used & FAR_SIGNS} | {ord(c): " " for c in used & FAR_BLANKS}
+            if marks:
+                data = text.translate(marks).encode("utf-8", "replace")
             words.update(data.translate(WORD_BYTES).split())
         data = SPREAD.sub(b" ", data)  # letters may be set apart by several blanks
         for word in self.restored(data):
