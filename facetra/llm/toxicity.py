@@ -12,6 +12,7 @@ them in one pass over the bytes.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -230,7 +231,7 @@ def _pieces(token: bytes) -> Iterator[bytes]:
 class Restorer:
     """Words of a text, as written and as restored; decoded spans are remembered up to a bound."""
 
-    def __init__(self, model: CharacterModel, most: int = 50_000):
+    def __init__(self, model: CharacterModel, most: int = 200_000):
         self.model, self.most = model, most
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # those used before the last ``most``
@@ -265,6 +266,18 @@ class Restorer:
         return words
 
 
+_RESTORERS: dict[bytes, Restorer] = {}
+
+
+def _restorer(characters: np.ndarray) -> Restorer:
+    """One per Python worker and character table, so that later tasks know what earlier ones decoded."""
+    key = hashlib.sha1(np.ascontiguousarray(characters)).digest()
+    if key not in _RESTORERS:
+        _RESTORERS.clear()
+        _RESTORERS[key] = Restorer(CharacterModel(characters))
+    return _RESTORERS[key]
+
+
 def features(words: set[bytes]) -> set[bytes]:
     """Whole words, and the beginnings of longer ones marked by a ``*``."""
     return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
@@ -306,7 +319,7 @@ def fit(
     rows = written(rows.repartition(max(1, min(64, math.ceil(sample / 1000)))), "labelled-texts")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(CharacterModel(shared.value))
+        restorer = _restorer(shared.value)
         seen = (Counter(), Counter())
         totals = [0, 0]
         for batch in batches:
@@ -347,7 +360,7 @@ def fit(
     held = spark.sparkContext.broadcast(place)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(CharacterModel(shared.value))
+        restorer = _restorer(shared.value)
         place = held.value
         for batch in batches:
             found = [sorted(place[f] for f in features(restorer.words(x.as_py())) & place.keys()) for x in batch.column("text")]
@@ -395,7 +408,7 @@ def score(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: st
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        restorer = Restorer(CharacterModel(own.characters))
+        restorer = _restorer(own.characters)
         weights = own.weights
         for batch in batches:
             hits = [features(restorer.words(x.as_py())) & weights.keys() for x in batch.column("text")]
