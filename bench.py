@@ -49,7 +49,7 @@ HEADLINE = [
     "mdl8_hash_split",
     "mdl9_stratified_split",
     "mdl17_linear_fit",
-    "mdl18_forest_fit",
+    "mdl18_forest_10_trees",
     "mdl30_class_metrics",
     "mdl39_threshold_curve",
     "clu3_assigned_clusters",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def side_by_side(work: Callable, items: Sequence, threads: int) -> list:
+    """``work`` of every item, some at a time; Spark runs their jobs side by side."""
+    if threads <= 1 or len(items) < 2:
+        return [work(i) for i in items]
+    with ThreadPoolExecutor(min(threads, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
+
+
 def small_table(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> pa.Table | None:
     """The rows of ``df``, or None when there are more than ``max_rows``.
 

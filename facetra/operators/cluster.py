@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import key_hash, numbers
-from ..functions.scale import constants
+from ..functions.scale import constants, side_by_side
 from ..spec import TRACKS, FeatureSpec, require_columns
 
 # Search settings.
 SAMPLE_ROWS = 2000
 RESTARTS = 10
+START_THREADS = 5  # starts run side by side
 MAX_ITER = 300
 TOLERANCE = 1e-4
 NO_CLUSTER = -1
@@ -58,14 +59,13 @@ def vectors(df: DataFrame, scales: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def fit_kmeans(data: DataFrame, k: int, seed: int = 42, restarts: int = RESTARTS, max_iter: int = MAX_ITER) -> KMeansModel:
-    """The best of several starts by training cost. ``data`` should be cached."""
-    best = None
-    for start in range(restarts):
-        estimator = KMeans(k=k, maxIter=max_iter, tol=TOLERANCE, seed=seed + start)
-        model = estimator.fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """The best of several starts by training cost, some run side by side. ``data`` should be cached."""
+
+    def started(at: int) -> KMeansModel:
+        return KMeans(k=k, maxIter=max_iter, tol=TOLERANCE, seed=seed + at).fit(data)
+
+    found = side_by_side(started, range(restarts), START_THREADS)
+    return min(found, key=lambda m: m.summary.trainingCost)
 
 
 def exact_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -87,6 +87,8 @@ def silhouette(df: DataFrame, features: Sequence[str], label: str = "cluster", m
     if table.num_rows > most:
         raise ValueError(f"the sample has more than the {most} rows that are allowed")
     points = np.column_stack([table[f].to_numpy() for f in features])
+    centre = points.mean(axis=0) if len(points) else 0.0  # small numbers keep the product form exact
+    points = points - centre
     labels = table["_l"].to_numpy()
     groups, sizes = np.unique(labels, return_counts=True)
     if len(groups) < 2:
@@ -97,7 +99,9 @@ def silhouette(df: DataFrame, features: Sequence[str], label: str = "cluster", m
         for batch in batches:
             x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
             mine = np.searchsorted(groups, batch.column("_l").to_numpy(zero_copy_only=False))
-            gaps = np.sqrt(((x[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+            x = x - centre
+            squares = (x * x).sum(axis=1)[:, None] + (points * points).sum(axis=1)[None, :] - 2 * (x @ points.T)
+            gaps = np.sqrt(np.maximum(squares, 0.0))
             sums = gaps @ member
             at = np.arange(len(x))
             own = sizes[mine]

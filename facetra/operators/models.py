@@ -6,10 +6,8 @@ import itertools
 import math
 import random
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
@@ -21,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scale import shared_folder
+from ..functions.scale import shared_folder, side_by_side
 from .metrics import binary_metrics, class_metrics, regression_metrics, top_k_accuracy
-from .prepare import balanced_weights, encoder, labels_of
+from .prepare import balanced_weights, category_statistic, encoder, labels_of, ordered_statistic
 
 # Hyper-parameters and search grids.
 DEPTH_LIMIT = 30  # deepest tree MLlib grows; stands in for "no limit"
@@ -50,14 +48,6 @@ def _fit(stages: list, train: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(train)
 
 
-def _each(work: Callable, items: Sequence, threads: int) -> list:
-    """``work`` of every item, some at a time; Spark runs their jobs side by side."""
-    if threads <= 1 or len(items) < 2:
-        return [work(i) for i in items]
-    with ThreadPoolExecutor(min(threads, len(items))) as pool:
-        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
-
-
 def feature_stages(numeric: Sequence[str], category: str | None, labels: Sequence[str] = (), drop_first: bool = True, scaled: bool = False) -> list:
     """Assembled (optionally scaled) numbers and the encoded category."""
     stages: list = []
@@ -180,7 +170,7 @@ def _grow(stages: list, train: DataFrame, forest, params: dict) -> PipelineModel
         return forest.copy().setParams(numTrees=sizes[i], seed=seed + i, **settings).fit(held)
 
     try:
-        parts = _each(part, range(len(sizes)), PART_THREADS)
+        parts = side_by_side(part, range(len(sizes)), PART_THREADS)
     finally:
         held.unpersist()
     grown = parts[0] if len(parts) == 1 else Forest(parts, forest.getPredictionCol())
@@ -191,31 +181,38 @@ def fit_forest_regressor(train: DataFrame, target: str, stages: list, prediction
     return _grow(stages, train, RandomForestRegressor(labelCol=target, predictionCol=prediction), params)
 
 
-def fit_boosted_regressor(train: DataFrame, target: str, numeric: Sequence[str], category: str | None, labels: Sequence[str] = (), prediction: str = "prediction", **params) -> PipelineModel:
-    """Gradient-boosted trees with the category as an indexed feature."""
+def fit_boosted_regressor(train: DataFrame, target: str, numeric: Sequence[str], category: str | None, key: Sequence[str] | None = None, prediction: str = "prediction", **params) -> PipelineModel:
+    """Gradient-boosted trees; the category enters as an ordered statistic of the target.
+
+    Rows of the fit get :func:`prepare.ordered_statistic` in the order of a hash of ``key`` (all columns
+    of the fit unless given), so that no row's own target is among its features; rows to be
+    scored get the statistic over all rows of the fit.
+    """
     stages: list = []
     inputs = list(numeric)
-    bins = 32
+    data = train
     if category:
-        stages.append(
-            StringIndexerModel.from_labels(
-                list(labels), inputCol=category, outputCol=f"{category}_index", handleInvalid="keep"
-            )
-        )
-        inputs.append(f"{category}_index")
-        bins = max(bins, len(labels) + 1)
+        name = f"{category}_statistic"
+        stages.append(category_statistic(train, category, target, name))
+        data = ordered_statistic(train, category, target, list(key or [*numeric, category, target]), name)
+        inputs.append(name)
     context = train.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(train.sparkSession))
     boosted = GBTRegressor(
         labelCol=target,
         predictionCol=prediction,
-        maxBins=bins,
         cacheNodeIds=True,
         checkpointInterval=CHECKPOINT_EVERY,
         **{**BOOSTED, **params},
     )
-    return _fit([*stages, assembler(inputs), boosted], train)
+    gather = assembler(inputs)
+    held = gather.transform(data).select("features", target).persist()
+    try:
+        grown = boosted.fit(held)
+    finally:
+        held.unpersist()
+    return PipelineModel([*stages, gather, grown])
 
 
 def fit_logistic(train: DataFrame, label: str, features: Sequence[str]) -> PipelineModel:
@@ -344,7 +341,7 @@ def _folds(held: DataFrame, folds: int, fit: Callable, score: Callable, threads:
         scores = score(model.transform(held.filter(F.col("fold") == i).drop("fold")))
         return tuple(scores.first()), scores.schema
 
-    done = _each(one, range(folds), threads)
+    done = side_by_side(one, range(folds), threads)
     return [row for row, _ in done], done[0][1]
 
 
@@ -411,7 +408,7 @@ def tune(
         return candidate, sign * values.mean(), values.std()
 
     try:
-        results = _each(tried, sample_candidates(grid or GRID, n_iter, seed), threads)
+        results = side_by_side(tried, sample_candidates(grid or GRID, n_iter, seed), threads)
     finally:
         held.unpersist()
     results.sort(key=lambda r: -r[1])

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import long_rows, numbers
+from ..functions.expressions import key_hash, long_rows, numbers
 from ..functions.quantiles import quantiles
 from ..functions.scale import constants, lookup_join, small_copy
 from ..spec import TRACKS, FeatureSpec, require_columns
 
 UNKNOWN = "unknown"  # fixed value: category of rows that have none
 NOT_HIT, HIT = 0, 1
+ORDER_DIGITS, ORDER_BLOCKS = 12, 4_096  # hash digits that order rows, and blocks of that order
 MAX_LABELS = 100_000  # classes that an encoding or a classifier may have
 
 
@@ -100,6 +101,52 @@ def encoder(column: str, labels: Sequence[str], drop_first: bool = True) -> list
     return [index, OneHotEncoder(inputCol=f"{column}_index", outputCol=f"{column}_vec", dropLast=True)]
 
 
+def ordered_statistic(df: DataFrame, category: str, target: str, key: Sequence[str], out: str, prior_rows: float = 1.0, seed: int = 42) -> DataFrame:
+    """Adds ``out``: the mean target of the earlier rows of the row's category, drawn to the mean of all.
+
+    Rows go in the order of a hash of ``key``, so no row sees its own target: with ``n`` rows
+    before it that sum to ``s``, a row gets (s + prior_rows x mean of all) / (n + prior_rows). Rows of
+    one hash do not see each other. Rows without a category are one category, those without a target
+    count for nothing. Sums are taken in ``ORDER_BLOCKS`` blocks of hashes first, then before each block, then
+    within it, so that a category with most of the rows is as many tasks as there are blocks.
+    """
+    mean = constants(df, m=F.avg(F.col(target).cast("double")))["m"]
+    at, block, label = f"_{out}_at", f"_{out}_block", f"_{out}_label"
+    value = F.col(target).cast("double")
+    rows = df.withColumn(at, key_hash(f"order:{seed}", key, ORDER_DIGITS))
+    rows = rows.withColumns({block: F.floor(F.col(at) / (16**ORDER_DIGITS // ORDER_BLOCKS)), label: F.coalesce(F.col(category).cast("string"), F.lit(UNKNOWN))})
+    blocks = rows.groupBy(label, block).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s"), F.count(value).alias("_n"))
+    before = Window.partitionBy(label).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(label, block, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_s", "_n")])
+    within = Window.partitionBy(label, block).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_s": F.coalesce(F.sum(value).over(within), F.lit(0.0)), "_n": F.count(value).over(within)})
+    rows = rows.join(blocks, [label, block])
+    total, count = F.col("_s_before") + F.col("_s"), F.col("_n_before") + F.col("_n")
+    drawn = (total + F.lit(prior_rows * mean if mean is not None else None).cast("double")) / (count + F.lit(prior_rows))
+    return rows.withColumn(out, drawn).select(*df.columns, out)
+
+
+def category_statistic(df: DataFrame, category: str, target: str, out: str, prior_rows: float = 1.0) -> SQLTransformer:
+    """A stage that adds ``out`` to rows to be scored: the same mean over all rows of ``df``.
+
+    A category that ``df`` does not have gets the mean of all rows.
+    """
+    value = F.col(target).cast("double")
+    label = F.coalesce(F.col(category).cast("string"), F.lit(UNKNOWN)).alias("label")
+    groups = df.groupBy(label).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("s"), F.count(value).alias("n"))
+    local = small_copy(groups, MAX_LABELS)
+    if local is None:
+        raise ValueError(f"'{category}' has more than {MAX_LABELS} values; it is not a category")
+    found = local.collect()
+    n = sum(r["n"] for r in found)
+    mean = sum(r["s"] for r in found) / n if n else 0.0
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pairs = ", ".join(f"{quoted(r['label'])}, {float((r['s'] + prior_rows * mean) / (r['n'] + prior_rows))!r}D" for r in found)
+    asked = f"coalesce(CAST(`{category}` AS STRING), {quoted(UNKNOWN)})"
+    held = f"try_element_at(map({pairs}), {asked})" if found else "CAST(NULL AS DOUBLE)"
+    return SQLTransformer(statement=f"SELECT *, coalesce({held}, {float(mean)!r}D) AS `{out}` FROM __THIS__")
+
+
 def keep_frequent(df: DataFrame, label: str, min_rows: int = 50) -> DataFrame:
     """Rows whose label occurs at least ``min_rows`` times."""
     frequent = (

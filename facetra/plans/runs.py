@@ -258,7 +258,7 @@ def compare_three(df: DataFrame, spec: FeatureSpec = TRACKS, seed: int = 42, for
                 **{**models.COMPARISON_FOREST, **(forest or {})},
             ),
             "Boosted Trees": lambda: models.fit_boosted_regressor(
-                train, target, numeric, category, labels, **(boosted or {})
+                train, target, numeric, category, spec.key, **(boosted or {})
             ),
         }
         rows, fitted = [], {}
