@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scale import cut_lineage
 from ..operators import clean, profile, validate
 from ..sources import tables as io
 from . import runs
@@ -27,6 +28,9 @@ PART_KEEP = "p_partkey p_name p_brand p_type is_large"
 # sources and sinks ---------------------------------------------------------
 
 
+SPLIT_BYTES = 256 * 1024  # so that a file of this size counts as large
+
+
 @query("src1_csv_roundtrip", outer(PARTS_SQL, PART_KEEP, PART_DOUBLES, "SELECT * FROM catalogue"))
 def _csv(t):
     path = scratch(t.spark)
@@ -36,6 +40,27 @@ def _csv(t):
     return back.withColumn("p_partkey", F.col("p_partkey").cast("long"))
 
 
+@query(
+    "src1_csv_split_multiline",
+    "SELECT doc_id, CASE WHEN text <> '' THEN text END AS text, lang, n_chars FROM documents",
+)
+def _csv_split(t):
+    """Whole texts with line breaks and quotes, through one file that is read in many splits."""
+    path = scratch(t.spark)
+    rows = t.documents.select("doc_id", "text", "lang", "n_chars")
+    rows.coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    kept = {c: t.spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in kept:
+            t.spark.conf.set(c, str(SPLIT_BYTES))
+        back = cut_lineage(io.load_csv(t.spark, path, PARTS, typed=False, multiline="split", na_tokens=[""]))
+    finally:
+        for c, v in kept.items():
+            t.spark.conf.set(c, v)
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return back.select(number("doc_id"), "text", "lang", number("n_chars"))
+
+
 @query("src2_json_roundtrip", outer(PARTS_SQL, PART_KEEP, PART_DOUBLES, "SELECT * FROM catalogue"))
 def _json(t):
     path = scratch(t.spark)

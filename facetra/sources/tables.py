@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import numbers, to_flag
 from ..operators.clean import drop_index_column
 from ..spec import TRACKS, FeatureSpec
+from .records import split_csv
 
 # Texts a CSV uses for a missing value.
 NA_TOKENS = (
@@ -49,7 +50,7 @@ def load_csv(
     path: str | Sequence[str],
     spec: FeatureSpec = TRACKS,
     typed: bool = True,
-    multiline: bool = False,
+    multiline: bool | str = False,
     na_tokens: Sequence[str] = NA_TOKENS,
     order: str | None = None,
 ) -> DataFrame:
@@ -57,21 +58,23 @@ def load_csv(
 
     No schema inference: columns are read as text and typed by role in the
     projection. ``typed=False`` keeps the text, for cleaning to audit.
-    ``multiline=True`` allows line breaks within values; a file is then one task.
+    ``multiline="split"`` allows line breaks within values and still reads a file in many tasks, in two
+    passes (``records.py``); with ``multiline=True`` a file is one task.
     ``order`` names a column to add, which sorts rows as they stand in their files
     (file, block, place in the block); as ``order_by`` of a spec it makes "first" mean first read.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    if multiline == "split":
+        raw = split_csv(spark, path)
+        place = F.col("_place")
+    else:
+        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
+        place = _place()
     raw, _ = drop_index_column(raw)
+    names = [c for c in raw.columns if c != "_place" or multiline != "split"]
     tokens = list(na_tokens)
     kept = raw.select(
-        *[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns],
-        *([_place().alias(order)] if order else []),
+        *[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in names],
+        *([place.alias(order)] if order else []),
     )
     return typed_columns(kept, spec) if typed else kept
 
