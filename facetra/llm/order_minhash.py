@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             more = _open_pairs(members.select("id", "band"), labels, signatures, least, best)
             pairs = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
             if not pairs.limit(1).count():
-                break
+                continue  # the second round has other pairs
             found = written(_verified(pairs, texts, least), "verified")
             tested = tested.unionByName(pairs)
             if found.limit(1).count():
