@@ -35,17 +35,17 @@ def test_ids_of_odd_texts(library):
     assert len(flat) == 0 and len(ends) == 0
 
 
+_ENCODER = WordEncoder(PATH)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_ids_of_any_text(library, text):
     text = text.encode("utf-8", "ignore").decode()
-    flat, _ = WordEncoder.__dict__["encode"](_ENCODER, pa.array([text]))
+    flat, _ = _ENCODER.encode(pa.array([text]))
     assert flat.tolist() == library(text)
 
 
-_ENCODER = WordEncoder(PATH)
-
-
 def fewest(sizes, capacity):
     """Bins needed, by trying all orders of first fit."""
     best = len(sizes)
