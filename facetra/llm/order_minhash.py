@@ -13,11 +13,11 @@ have one order, rare ones first; two similar texts share an item among the first
 Texts with equal words form a class first; only one member goes on. Classes that share a
 sketch or an indexed item are candidates. A bucket is searched from a hub (its smallest member): hub and
 members are compared, and links make components. What is left are members of one bucket in
-different components. They are compared by a signature (smallest item in each of 256 parts of
-the hash range), in blocks of bounded size; pairs whose signatures allow the similarity are
-verified, first the best partner of each member in every other component, then, where
-components still differ, all of them. No bucket is gathered in one task, and no pair within a
-group of copies is made.
+different components. They are dealt with their items to blocks of bounded size and compared by
+a signature (smallest item in each of 256 parts of the hash range); pairs whose signatures
+allow the similarity are verified within the block, the likeliest first, unless links found
+there join them already. A block gives out those links, fewer than it has members. No bucket
+is gathered in one task, and no pair becomes a row.
 
 Candidates are verified by alignment: common items in text order, within the band that
 the similarity allows, as the longest chain that rises in both texts. The similarity
@@ -48,6 +48,7 @@ COMMON = 64
 MOST_COMMON = 200_000
 SLOTS = 256
 BLOCK = 4_096
+BLOCK_ITEMS = 1 << 22  # of the members of a block, 32 MB
 TILE = 256
 CHUNK = 1 << 20
 
@@ -264,28 +265,29 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.where(inside, (found & np.uint64(0x3FFFFFFF)).astype(np.int32) + 1, 0).astype(np.int32)
 
 
-def _signed(texts: DataFrame) -> DataFrame:
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _itemised(texts: DataFrame) -> DataFrame:
+    """``id``, ``n_items`` and ``items`` (the items in text order, as bytes) of every text."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [items(normalised(t.as_py())) for t in batch.column("text")]
+            found = [items(normalised(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(h) for h in made], pa.int64()), pa.array([signature(h).tobytes() for h in made], pa.binary())],
-                names=["id", "n_items", "slots"],
+                [batch.column("id"), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())],
+                names=["id", "n_items", "items"],
             )
 
-    return texts.mapInArrow(signed, "id string, n_items long, slots binary")
+    return texts.mapInArrow(made, "id string, n_items long, items binary")
 
 
-def close_pairs(sizes: np.ndarray, slots: np.ndarray, component: np.ndarray, part: np.ndarray, least: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
+def close_tiles(sizes: np.ndarray, slots: np.ndarray, component: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Members of different components whose signatures allow a similarity of ``least``.
 
-    Members lie in one or two ``part``s; with two, only pairs across them are compared.
-    ``best``: for each member only its best partner in every other component.
+    Members lie in one or two ``part``s; with two, only pairs across them are compared. Pairs
+    come in tiles of at most ``TILE`` rows, in each the likeliest first.
     """
     across = part.min(initial=0) != part.max(initial=0)
     rows = np.flatnonzero(part == part.min(initial=0))
     filled = slots > 0
-    left, right = [], []
     for at in range(0, len(rows), TILE):
         own = rows[at : at + TILE]
         same = np.zeros((len(own), len(slots)), np.uint16)
@@ -295,7 +297,7 @@ def close_pairs(sizes: np.ndarray, slots: np.ndarray, component: np.ndarray, par
             same += (slots[own, k][:, None] == slots[None, :, k]) & mine
             either += mine | filled[None, :, k]
         # Slots sample the items of both without replacement: short texts are compared almost as a whole.
-        union = (sizes[own][:, None] + sizes) / (1 + least)
+        union = np.maximum(sizes[own][:, None] + sizes, 1) / (1 + least)
         missed = np.clip(1 - either / union, 0.0, 1.0) + 0.02
         slack = 4 * np.sqrt(missed * least * (1 - least) / np.maximum(either, 1))
         estimate = same / np.maximum(either, 1)
@@ -307,45 +309,66 @@ def close_pairs(sizes: np.ndarray, slots: np.ndarray, component: np.ndarray, par
         close = (component[own][:, None] != component) & ratio & np.where(short, certain, estimate >= least - slack)
         if across:
             close &= part[None, :] != part[own][:, None]
-        elif not best:
+        else:
             close &= own[:, None] > np.arange(len(slots))
         r, c = np.nonzero(close)
-        if best and len(r):
-            by = np.lexsort((-estimate[r, c], component[c], r))
-            r, c = r[by], c[by]
-            first = np.concatenate([[True], (r[1:] != r[:-1]) | (component[c][1:] != component[c][:-1])])
-            r, c = r[first], c[first]
-        left.append(own[r])
-        right.append(c)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-
-
-def _open_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, least: float, best: bool) -> DataFrame:
-    """Pairs (``a``, ``b``) within buckets that hold several components; buckets go in blocks."""
-    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = named.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    several = several.filter("low <> high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = named.join(several, "band").join(signatures, "id").withColumn("part", part)
+        by = np.argsort(-estimate[r, c], kind="stable")
+        yield own[r[by]], c[by]
+
+
+def block_links(held: list[np.ndarray], component: np.ndarray, part: np.ndarray, bands: list[frozenset], band: int, least: float) -> list[tuple[int, int]]:
+    """Verified links that join all members of a block which similar pairs connect: fewer than members.
+
+    ``held``: the items of each member; ``bands``: the open buckets of each. A pair that shares
+    several is verified in the smallest of them only, and no pair that links already join is.
+    """
+    label = np.unique(component, return_inverse=True)[1]
+    sizes = np.array([len(h) for h in held], np.int64)
+    slots = np.array([signature(h) for h in held], np.int32).reshape(len(held), SLOTS)
+    links = []
+    for left, right in close_tiles(sizes, slots, label.copy(), part, least):
+        for at in range(0, len(left), TILE):
+            a, b = left[at : at + TILE], right[at : at + TILE]
+            apart = label[a] != label[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                if label[x] != label[y] and min(bands[x] & bands[y]) == band and similarity(held[x], held[y], least):
+                    label[label == label[y]] = label[x]
+                    links.append((x, y))
+    return links
+
+
+def _open_links(members: DataFrame, labels: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """Links (``a``, ``b``) within buckets that hold several components; buckets go in blocks.
+
+    A block holds the items of its members and verifies pairs itself, so what is given out
+    grows with the members of a bucket, not with their pairs.
+    """
+    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).join(made.select("id", "n_items"), "id")
+    several = named.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_items").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_ITEMS)).cast("int")
+    several = several.filter("low <> high").select("band", blocks.alias("blocks"))
+    rows = written(named.join(several, "band"), "open")
+    opened = rows.groupBy("id").agg(F.collect_set("band").alias("bands"))
+    rows = rows.drop("n_items").join(opened, "id").join(made.select("id", "items"), "id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("id", "component", "n_items", "slots", "band", "part", other.alias("other"))
+    rows = rows.select("id", "component", "items", "bands", "band", "part", other.alias("other"))
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def group(held: list[tuple]) -> pa.RecordBatch:
-        ids = [r[3] for r in held]
-        components, sizes, slots, part = zip(*(r[4:] for r in held))
-        number = np.unique(np.array(components), return_inverse=True)[1]
-        table = np.frombuffer(b"".join(slots), np.int32).reshape(len(ids), SLOTS)
-        a, b = close_pairs(np.array(sizes), table, number, np.array(part), least, best)
-        x, y = np.array(ids, object)[a], np.array(ids, object)[b]
-        up = x > y
-        return pa.RecordBatch.from_arrays([pa.array(np.where(up, x, y), pa.string()), pa.array(np.where(up, y, x), pa.string())], names=["a", "b"])
+        ids, component, values, bands, part = zip(*(r[3:] for r in held))
+        arrays = [np.frombuffer(v, np.uint64) for v in values]
+        links = block_links(arrays, np.array(component), np.array(part), [frozenset(x) for x in bands], held[0][0], least)
+        a, b = [ids[x] for x, _ in links], [ids[y] for _, y in links]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "id", "component", "n_items", "slots", "part"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "id", "component", "items", "bands", "part"))):
                 if held and row[:3] != held[-1][:3]:
                     yield group(held)
                     held = []
@@ -353,7 +376,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, le
         if held:
             yield group(held)
 
-    return dealt.mapInArrow(compared, "a string, b string").distinct()
+    return dealt.mapInArrow(compared, "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -382,18 +405,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         texts = written(_right_text(whole.join(used, "key").select("id", "text")).dropDuplicates(["id"]), "texts")
         pairs = written(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
         links = written(_verified(pairs, texts, least), "verified")
-        tested = pairs
         labels = components(links)
-        signatures = written(_signed(texts), "signatures")
-        for best in (True, False):
-            more = _open_pairs(members.select("id", "band"), labels, signatures, least, best)
-            pairs = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-            if not pairs.limit(1).count():
-                continue  # the second round has other pairs
-            found = written(_verified(pairs, texts, least), "verified")
-            tested = tested.unionByName(pairs)
-            if found.limit(1).count():
-                labels = _joined(labels, found)
+        made = written(_itemised(texts), "items")
+        found = written(_open_links(members.select("id", "band"), labels, made, least), "verified")
+        if found.limit(1).count():
+            labels = _joined(labels, found)
     if labels is None:
         grouped = classes.select("id", F.col("first").alias("group_first"))
     else:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from facetra.llm import order_minhash
-from facetra.llm.order_minhash import close_pairs, items, near_duplicates, normalised, signature, similarity, sketches, word_hashes
+from facetra.llm.order_minhash import block_links, close_tiles, items, near_duplicates, normalised, signature, similarity, sketches, word_hashes
 
 SHAPE = "doc_id long, text string, digest string, id string"
 
@@ -78,14 +78,39 @@ def test_signatures_keep_all_similar_pairs():
     made = [items(normalised(" ".join(edited(rng, base, int(e))))) for e in rng.integers(0, 12, 60)] + [items(normalised(" ".join(words(rng, 250)))) for _ in range(60)]
     slots = np.array([signature(h) for h in made])
     sizes, own = np.array([len(h) for h in made]), np.arange(120)
-    a, b = close_pairs(sizes, slots, own, own * 0, 0.8, best=False)
-    found = set(zip(a.tolist(), b.tolist()))
+    close = lambda part: {(i, j) for a, b in close_tiles(sizes, slots, own, part, 0.8) for i, j in zip(a.tolist(), b.tolist())}
+    found = close(own * 0)
     want = {(i, j) for i in range(120) for j in range(i) if similarity(made[i], made[j])}
     assert want <= found and all(i < 60 for i, _ in found)
-    a, b = close_pairs(sizes, slots, own, own % 2, 0.8, best=False)
-    assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in found if i % 2 != j % 2}
-    a, b = close_pairs(sizes, slots, own % 2, own * 0, 0.8, best=True)
-    assert len(a) == len({x for x in a.tolist()})
+    assert {(max(x), min(x)) for x in close(own % 2)} == {(i, j) for i, j in found if i % 2 != j % 2}
+
+
+def joined(n: int, links, start=None) -> list[int]:
+    label = list(range(n)) if start is None else list(start)
+    for i, j in links:
+        label = [label[i] if x == label[j] else x for x in label]
+    return [label.index(x) for x in label]
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_block_links_join_what_similar_pairs_connect(parts):
+    rng = np.random.default_rng(5)
+    made = []
+    for size in (250, 120, 30):
+        base = words(rng, size)
+        made += [items(normalised(" ".join(edited(rng, base, int(e))))) for e in rng.integers(0, 12, 40)]
+    made += [items(b"")]
+    n = len(made)
+    own, part = np.arange(n), np.arange(n) % parts
+    similar = [(i, j) for i in range(n) for j in range(i) if similarity(made[i], made[j]) and (parts == 1 or part[i] != part[j])]
+    links = block_links(made, own, part, [frozenset([7])] * n, 7, 0.8)
+    assert joined(n, links) == joined(n, similar) and len(links) < n < len(similar)
+    assert all(similarity(made[i], made[j]) for i, j in links)
+    start = own // 3  # components found before stay, and are joined further
+    links = block_links(made, start, part, [frozenset([7])] * n, 7, 0.8)
+    assert joined(n, links, start) == joined(n, similar, start)
+    # Of two buckets that all members share, only the smaller one gives out links.
+    assert not block_links(made, own, part, [frozenset([3, 7])] * n, 7, 0.8)
 
 
 @pytest.mark.parametrize("block", [4096, 7])
