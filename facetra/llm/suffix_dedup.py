@@ -12,7 +12,9 @@ Burrows-Wheeler transform. Starting from the intervals of single symbols, breadt
 backward extension finds the boundaries between suffixes whose common prefix is 0, 1, 2, ...
 bytes long, until ``length``: boundaries not found by then lie within groups of equal windows.
 
-An anchor with many spans is dealt to several tasks. Each then reports one digest for each
+The spans of an anchor with many are filed a second time, under the anchor and further bytes
+beside it that every window of a run holds (its core), and folded again where they are equal.
+What still has many spans is dealt to several tasks. Each then reports one digest for each
 distinct window, and a grouped count settles windows that are single in their task. So no
 anchor is gathered in one task, and no pair is made.
 """
@@ -34,6 +36,7 @@ from .order_minhash import BASE, _INVERSE, _powers, mix
 SEED = 64
 RUN = 512  # windows of a span at most
 SPANS = 2_000  # of an anchor in one task
+LEVELS = 3  # halvings of what a hot anchor leaves of a window
 AT_ONCE = 1_000_000  # bytes of a text made from spans
 CHUNK = 1 << 20
 
@@ -47,6 +50,13 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return out if size == width else np.minimum(out[:n], out[width - size : width - size + n])
 
 
+def _running(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the bytes by place, and the factors that take the place out of a difference of two."""
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(b)), out=sums[1:])
+    return sums, _powers(_INVERSE, len(b) + 1)
+
+
 def spans_of(data: bytes, length: int, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """Anchor, content hash, start, number of windows and inner repeats of every span of a text.
 
@@ -57,9 +67,7 @@ def spans_of(data: bytes, length: int, seed: int = SEED) -> tuple[np.ndarray, ..
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
         b = np.frombuffer(data[at : at + CHUNK + length - 1], np.uint8)
         n = len(b)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=sums[1:])
-        down = _powers(_INVERSE, n + 1)
+        sums, down = _running(b)
         least = _sliding_min(mix((sums[seed:] - sums[:-seed]) * down[: n - seed + 1]), length - seed + 1)
         cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         size = np.diff(np.append(cut, len(least)))
@@ -82,6 +90,44 @@ def spans_of(data: bytes, length: int, seed: int = SEED) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def cores(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the anchor in a window: first byte and end, seen from the anchor, of its core.
+
+    A core holds the anchor and lies within the window. ``LEVELS`` times it takes half of the bytes
+    left, on the side that has them; so there are 2 ** ``LEVELS`` different cores at most.
+    """
+    place = np.arange(length - SEED + 1)
+    low, high = np.zeros(len(place), np.int64), np.full(len(place), SEED, np.int64)
+    for _ in range(LEVELS):
+        free = length - (high - low)
+        half = (free + 1) // 2
+        before = place + low >= half
+        low, high = np.where(before, low - half, low), np.where(before, high, high + free - half + 1)
+    return low, high
+
+
+def refined(span: bytes, anchor: int, length: int, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of windows of a span with equal cores: a name of the core, first window, number of windows.
+
+    Of several places of the anchor in a window the first counts. Equal windows have the anchor
+    in the same place, hence equal cores.
+    """
+    b = np.frombuffer(span, np.uint8)
+    sums, down = _running(b)
+    seeds = mix((sums[SEED:] - sums[:-SEED]) * down[: len(b) - SEED + 1])
+    found = np.flatnonzero(seeds == np.uint64(anchor & (1 << 64) - 1))
+    windows = np.arange(len(b) - length + 1)
+    at = found[np.searchsorted(found, windows)]
+    start, end = low[at - windows], high[at - windows]
+    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1])]))
+    out = []
+    for i, size in zip(cut.tolist(), np.diff(np.append(cut, len(windows))).tolist()):
+        core = span[at[i] + start[i] : at[i] + end[i]]
+        name = hashlib.blake2b(int(-start[i]).to_bytes(4, "little") + core, digest_size=8).digest()
+        out.append((int.from_bytes(name, "little", signed=True), i, size))
+    return out
+
+
 def suffix_order(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Order of the suffixes of ``text``, each up to its separator (symbol 0), ties by place.
 
@@ -211,18 +257,28 @@ def removed_ranges(docs: DataFrame, length: int = 400, text: str = "text") -> Da
     spans = written(long_enough.mapInArrow(filed, "anchor long, content long, digest binary, start long, size long, inner boolean"), "spans")
     repeated = spans.groupBy("anchor").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("n")).filter("n > 1").select("anchor")
     candidates = written(spans.join(repeated, "anchor"), "repeated-spans")
-    equal = candidates.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("digest", "start")).alias("first"))
-    marked = written(candidates.join(equal, ["anchor", "content"]), "marked-spans")
-    whole = marked.filter("copies > 1").select("digest", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    needed = marked.groupBy("anchor").agg(
-        F.count_if(F.col("copies") == 1).alias("single"), F.count_if((F.col("copies") > 1) & (F.struct("digest", "start") == F.col("first"))).alias("also")
-    )
-    needed = needed.filter("single > 0").select("anchor", F.ceil((F.col("single") + F.col("also")) / SPANS).alias("parts"))
-    wanted = marked.filter((F.col("copies") == 1) | (F.struct("digest", "start") == F.col("first"))).join(needed, "anchor")
-    wanted = wanted.select("digest", "anchor", "start", "size", "parts", F.pmod(F.xxhash64("digest", "start"), F.col("parts")).alias("part"))
-    cut = wanted.join(texts.select("digest", "data"), "digest").select(
+    whole, wanted = _folded(candidates)
+    hot = F.col("parts") > 1
+    cut = lambda spans: spans.join(texts.select("digest", "data"), "digest").select(
         "anchor", "part", "parts", "digest", "start", F.expr(f"substring(data, int(start) + 1, int(size) + {length - 1})").alias("span")
     )
+    low, high = cores(length)
+
+    def filed_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, digest, start, span in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "start", "span"))):
+                for name, at, size in refined(span, anchor, length, low, high):
+                    piece = span[at : at + size + length - 1]
+                    rows.append((name, hashlib.blake2b(piece, digest_size=16).digest(), digest, start + at, size, piece))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "content", "digest", "start", "size", "span"])
+
+    again = cut(wanted.filter(hot)).mapInArrow(filed_again, "anchor long, content binary, digest binary, start long, size long, span binary")
+    more_whole, pieces = _folded(written(again, "refined-spans"))
+    whole = whole.unionByName(more_whole)
+    cut = cut(wanted.filter(~hot)).unionByName(pieces.select("anchor", "part", "parts", "digest", "start", "span"))
     dealt = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     shape = "digest binary, lo long, hi long, window binary, n long"
     found = written(dealt.mapInArrow(lambda batches: _expanded(batches, length), shape), "ranges")
@@ -241,6 +297,23 @@ def removed_ranges(docs: DataFrame, length: int = 400, text: str = "text") -> Da
     )
 
 
+def _folded(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of the spans that are equal as a whole, and the spans to be expanded with their parts.
+
+    To be expanded are the other spans and one copy of the equal ones, where an anchor has others.
+    """
+    equal = spans.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("digest", "start")).alias("first"))
+    marked = written(spans.join(equal, ["anchor", "content"]), "marked-spans")
+    whole = marked.filter("copies > 1").select("digest", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+    is_first = F.struct("digest", "start") == F.col("first")
+    needed = marked.groupBy("anchor").agg(
+        F.count_if(F.col("copies") == 1).alias("single"), F.count_if((F.col("copies") > 1) & is_first).alias("also")
+    )
+    needed = needed.filter("single > 0").select("anchor", F.ceil((F.col("single") + F.col("also")) / SPANS).alias("parts"))
+    wanted = marked.filter((F.col("copies") == 1) | is_first).join(needed, "anchor")
+    return whole, wanted.withColumn("part", F.pmod(F.xxhash64("digest", "start"), F.col("parts")))
+
+
 def _expanded(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows arrive by (anchor, part); whole groups are joined up to ``AT_ONCE`` bytes."""
     held: list[tuple] = []

@@ -81,6 +81,30 @@ def test_against_all_windows(spark, monkeypatch, spans):
         assert len(gone) + len(r.kept) == len(t.encode()) and len(gone) == r.n_removed
 
 
+@pytest.mark.parametrize("length", [128, 200, 400])
+def test_refined_runs_hold_each_window_once_and_equal_ones_together(length):
+    rng = np.random.default_rng(length)
+    line = bytes(rng.integers(97, 123, 90).astype(np.uint8))
+    texts = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) + line + bytes(rng.integers(97, 123, 700).astype(np.uint8)) for n in rng.integers(0, 500, 12)]
+    texts += [t[50:] for t in texts[:4]] + [t[:-40] + b"x" * 40 for t in texts[:4]] + [line * 12, b"ab" * 600]
+    low, high = suffix_dedup.cores(length)
+    place = np.arange(len(low))
+    assert (place + low >= 0).all() and (place + high <= length).all() and (high - place <= length).all()
+    names, pieces = {}, 0
+    for text in texts:
+        anchors, _, starts, sizes, _ = suffix_dedup.spans_of(text, length)
+        for anchor, start, size in zip(anchors.view(np.int64).tolist(), starts.tolist(), sizes.tolist()):
+            span, at = text[start : start + size + length - 1], 0
+            for name, first, number in suffix_dedup.refined(span, anchor, length, low, high):
+                assert first == at
+                at += number
+                pieces += 1
+                for i in range(first, at):
+                    assert names.setdefault(span[i : i + length], name) == name
+            assert at == size
+    assert len(set(names.values())) > len(texts) and pieces
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "y" * 500), (3, "y" * 500), (None, "z" * 399), (None, "z" * 398)]
     got = dedup(spark.createDataFrame([(*r, None, None) for r in rows], SHAPE), texts=False).collect()
