@@ -37,7 +37,7 @@ SEED = 64
 RUN = 512  # windows of a span at most
 SPANS = 2_000  # of an anchor in one task
 LEVELS = 3  # halvings of what a hot anchor leaves of a window
-AT_ONCE = 1_000_000  # bytes of a text made from spans
+AT_ONCE = 200_000  # bytes of a text made from whole groups of spans; its arrays should fit in a cache
 CHUNK = 1 << 20
 
 
