@@ -33,19 +33,17 @@ LISTS = 4
 
 
 def scaled(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """``id`` and ``ints``: floor(scale * x) of every component, x as double.
+    """``row``, ``id`` and ``ints``: floor(scale * x) of every component, x as double.
 
-    Rows whose key or vector is null, or whose vector holds null or non-finite
-    components, are left out. Rows that repeat a key count once (the smallest vector).
+    ``row`` is a number of the row's own, fixed by writing the table. Rows whose key or vector
+    is null, or whose vector holds null or non-finite components, are left out. Rows that
+    repeat a key, with the same or another vector, are rows of their own.
     """
     doubles = vectors.select(column(key).cast("long").alias("id"), column(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (
-        doubles.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
-        .select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("ints"))
-        .groupBy("id")
-        .agg(F.min("ints").alias("ints"))
-    )
+    usable = doubles.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
+    ints = F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("ints")
+    return written(usable.select(F.monotonically_increasing_id().alias("row"), "id", ints), "scaled")
 
 
 def _matrix(ints, width: int) -> np.ndarray:
@@ -74,18 +72,19 @@ def exact_top_k(
 ) -> DataFrame:
     """For each query the ``k`` rows of highest score, ties to the smaller id.
 
-    Both inputs have ``id`` long and ``ints`` array<long>, as ``scaled`` returns them. The row
-    with the query's own id is no candidate. Fewer than ``k`` candidates are all returned.
+    Both inputs have ``row`` and ``id`` long and ``ints`` array<long>, as ``scaled`` returns them.
+    Only the query's own row is no candidate: rows that repeat its id are, and each of them is a
+    query of its own where it is among the queries. Fewer than ``k`` candidates are all returned.
     Only rows as long as the query are compared. Returns ``query_id``, ``rank`` (from 1),
     ``vec_id``, ``score``. Empty inputs give no rows.
     """
     spark = vectors.sparkSession
     n = queries.count()
     blocks = max(1, math.ceil(n / queries_at_once))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     parts = []
     for block in range(blocks):
-        held = dealt.filter(F.col("block") == block).select("id", "ints").toPandas() if n else pd.DataFrame({"id": [], "ints": []})
+        held = dealt.filter(F.col("block") == block).select("row", "id", "ints").toPandas() if n else pd.DataFrame({"row": [], "id": [], "ints": []})
         for width, same in held.groupby(held["ints"].map(len)):
             if width:
                 parts.append(_block_top_k(vectors.filter(F.size("ints") == int(width)), same, int(width), k, lists))
@@ -100,22 +99,24 @@ def exact_top_k(
 def _block_top_k(vectors: DataFrame, held: pd.DataFrame, width: int, k: int, lists: int) -> DataFrame:
     spark = vectors.sparkSession
     cuts = np.array_split(np.arange(width), min(lists, width))
+    numbers = held["row"].to_numpy(np.int64)
     ids = held["id"].to_numpy(np.int64)
     wanted = _matrix(held["ints"], width)
-    queries = spark.sparkContext.broadcast((ids, wanted))
+    queries = spark.sparkContext.broadcast((numbers, ids, wanted))
 
     def tiles(pdf: pd.DataFrame):
         """Local scores, list by list, of the rows against some queries at a time."""
-        ids, wanted = queries.value
+        numbers, ids, wanted = queries.value
         own = pdf["id"].to_numpy(np.int64)
+        place = pdf["row"].to_numpy(np.int64)
         rows = _matrix(pdf["ints"], width)
         kind = _exact_type(np.abs(rows).max(), np.abs(wanted).max(), width)
         rows = rows.astype(kind)
         for at in range(0, len(ids), TILE):
             some = slice(at, at + TILE)
             local = [rows[:, c] @ wanted[some][:, c].astype(kind).T for c in cuts]
-            mine = own[:, None] == ids[None, some]
-            yield own, ids[some], some, local, mine
+            mine = place[:, None] == numbers[None, some]
+            yield own, pd.DataFrame({"query": numbers[some], "query_id": ids[some]}), some, local, mine
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,13 +134,13 @@ def _block_top_k(vectors: DataFrame, held: pd.DataFrame, width: int, k: int, lis
                 q, r = q[order], r[order]
                 rank = np.arange(len(q)) - np.searchsorted(q, q)
                 q, r = q[rank < k], r[rank < k]
-                yield pd.DataFrame({"query_id": asked[q], "vec_id": own[r], "score": total[r, q].astype(np.int64)})
+                yield asked.iloc[q].assign(vec_id=own[r], score=total[r, q].astype(np.int64))
 
-    shape = "query_id long, vec_id long, score long"
+    shape = "query long, query_id long, vec_id long, score long"
     first = vectors.mapInPandas(gathered, shape)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    reached = first.withColumn("place", place).filter(F.col("place") == k).select("query_id", "score").toPandas()
-    cutoff = pd.Series(reached["score"].to_numpy(), index=reached["query_id"]).reindex(ids)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    reached = first.withColumn("place", place).filter(F.col("place") == k).select("query", "score").toPandas()
+    cutoff = pd.Series(reached["score"].to_numpy(), index=reached["query"]).reindex(numbers)
     least = np.iinfo(np.int64).min // 4  # fewer than k candidates: take all
     safe = spark.sparkContext.broadcast(np.array([least if pd.isna(x) else int(x) for x in cutoff], np.int64))
 
@@ -161,7 +162,7 @@ def _block_top_k(vectors: DataFrame, held: pd.DataFrame, width: int, k: int, lis
                 r, q, score = r[order], q[order], score[order]
                 rank = np.arange(len(q)) - np.searchsorted(q, q)
                 top = rank < k
-                yield pd.DataFrame({"query_id": asked[q[top]], "vec_id": own[r[top]], "score": score[top]})
+                yield asked.iloc[q[top]].assign(vec_id=own[r[top]], score=score[top])
 
     found = vectors.mapInPandas(resolved, shape)
     ranked = found.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)
