@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, language, maxent, mixing, order_minhash, packing, prefix_trie, small_world, suffix_dedup, top_k, toxicity, warc, whitening
-from .common import remainder, table, written
+from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,13 +82,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TOP_SQL = """
-WITH scaled AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH scaled AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
@@ -96,7 +96,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query("op3_exact_top_k", TOP_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """The five best rows of every fiftieth vector."""
-    vectors = written(top_k.scaled(table(spark, folder, "embeddings")), "scaled")
+    vectors = top_k.scaled(table(spark, folder, "embeddings"))
     return top_k.exact_top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
 
 
@@ -116,23 +116,35 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "declared", "host")
 
 
-WARC_SQL = """
-WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+WARC_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g') AS url, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes,
+         sha1(coalesce(html, '')) AS h FROM pages),
 coded AS (
-  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + CAST((CAST('0x' || substr(h, 1 + 10 * CAST(i // 8 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest FROM hashed),
-firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM firsts
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded),
+named AS (
+  SELECT *, page_id IS NOT DISTINCT FROM first AS own, chr(13) || chr(10) AS nl,
+         regexp_replace(sha1('record:' || coalesce(CAST(page_id AS VARCHAR), 'null')), '^(.{8})(.{4})(.{4})(.{4})(.{12}).*$', '<urn:uuid:\1-\2-\3-\4-\5>') AS own_id,
+         regexp_replace(sha1('record:' || coalesce(CAST(first AS VARCHAR), 'null')), '^(.{8})(.{4})(.{4})(.{4})(.{12}).*$', '<urn:uuid:\1-\2-\3-\4-\5>') AS first_id FROM firsts),
+records AS (
+  SELECT *, concat_ws(nl, 'WARC/1.1', 'WARC-Type: ' || CASE WHEN own THEN 'response' ELSE 'revisit' END, 'WARC-Record-ID: ' || own_id,
+         'WARC-Date: 2000-01-01T00:00:00Z', 'WARC-Target-URI: ' || url, 'WARC-Payload-Digest: sha1:' || payload_digest,
+         CASE WHEN NOT own THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+         CASE WHEN NOT own THEN 'WARC-Refers-To: ' || first_id END, 'Content-Type: text/html; charset=utf-8',
+         'Content-Length: ' || CAST(CASE WHEN own THEN payload_bytes ELSE 0 END AS VARCHAR)) || nl || nl || payload || nl || nl AS record FROM named)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT own THEN first END AS refers_to, CAST(strlen(record) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256 FROM records
 """
 
 
 @query("op6_warc", WARC_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page through the archive and back."""
+    """Every page through the archive and back, with length and digest of the record that was rebuilt."""
     archive = warc.write_archive(table(spark, folder, "pages"))
-    return warc.restore(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rebuilt = F.length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256")
+    return warc.restore(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *rebuilt)
 
 
 @query("op7_order_minhash")

@@ -2,7 +2,8 @@
 
 ``write_archive`` makes two tables. ``payloads`` holds each distinct payload once under
 its SHA-256; ``headers`` holds the exact header block of every record and the digest of
-its payload. ``restore`` joins the two into the original records.
+its payload. ``restore`` joins the two into the original records; the records of one payload
+are dealt to parts of about ``COPIES_AT_ONCE`` by a hash of key and address.
 
 The payload to store is picked by ids: digests are grouped (only digests, lengths and
 ids are shuffled), then the chosen rows are found by a join on the record's own id, which
@@ -24,6 +25,7 @@ from .common import column
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 CRLF = "\r\n"
+COPIES_AT_ONCE = 20_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -84,6 +86,7 @@ def write_archive(
     )
     groups = described.groupBy("content").agg(
         F.min("key").alias("first"),
+        F.ceil(F.count(F.lit(1)) / COPIES_AT_ONCE).alias("parts"),
         *[F.assert_true(F.min(c) == F.max(c), F.lit("different payloads share a digest")).alias(f"same_{c}") for c in ("digest", "payload_bytes", "check")],
     )
     groups = groups.filter(" and ".join(f"same_{c} is null" for c in ("digest", "payload_bytes", "check")))
@@ -101,9 +104,11 @@ def write_archive(
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(is_response, F.col("payload_bytes")).otherwise(0).cast("string")),
     ]
-    headers = described.join(groups.select("content", "first"), "content").select(
+    headers = described.join(groups.select("content", "first", "parts"), "content").select(
         "key",
         "content",
+        "parts",
+        F.pmod(F.xxhash64("key", "url"), F.col("parts")).alias("part"),
         target.alias("target"),
         F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)).cast("binary").alias("header"),
     )
@@ -111,16 +116,16 @@ def write_archive(
     kept = spark.read.schema(headers.schema).parquet(archive.headers).filter("target is null")
     content = F.sha2("payload", 256)
     if smallest > 0:  # short payloads are all responses, and still stored once
-        kept = kept.groupBy("content").agg(F.min("key").alias("key"))
-    kept = kept.select("key", F.col("content").alias("own_content")).distinct()
+        kept = kept.groupBy("content").agg(F.min("key").alias("key"), F.max("parts").alias("parts"))
+    kept = kept.select("key", F.col("content").alias("own_content"), "parts").distinct()
     bodies = rows.select("key", "payload")
     keyed = bodies.filter("key is not null").withColumn("own_content", content)
     keyed = keyed.join(kept.filter("key is not null"), ["key", "own_content"])
     # The join has dealt the rows by these columns, so dropping repeated ones moves no payload again.
-    keyed = keyed.dropDuplicates(["key", "own_content"]).select("own_content", "payload")
+    keyed = keyed.dropDuplicates(["key", "own_content"]).select("own_content", "payload", "parts")
     nameless = bodies.filter("key is null").select(content.alias("own_content"), "payload")
-    nameless = nameless.join(kept.filter("key is null").select("own_content"), "own_content").dropDuplicates(["own_content"])
-    stored = keyed.unionByName(nameless).withColumnRenamed("own_content", "content")
+    nameless = nameless.select("own_content", "payload").join(kept.filter("key is null").select("own_content", "parts"), "own_content").dropDuplicates(["own_content"])
+    stored = keyed.unionByName(nameless.select("own_content", "payload", "parts")).withColumnRenamed("own_content", "content")
     stored.write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
@@ -146,9 +151,12 @@ def restore(spark: SparkSession, archive: Archive, key: str = "page_id") -> Data
         "payload",
         F.length("payload").cast("long").alias("payload_bytes"),
         F.when(intact.isNull(), base32_sha1(F.col("payload"))).alias("payload_digest"),
+        "parts",
     )
+    # A payload of many records goes to as many tasks as its records were dealt to.
+    payloads = payloads.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).drop("parts")
     head = headers.withColumn("head", F.col("header").cast("string"))
-    joined = head.join(payloads, "content", "left")
+    joined = head.join(payloads, ["content", "part"], "left")
     declared = F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "")
     same = F.assert_true(declared == F.col("payload_digest"), F.lit("header and payload disagree"))
     return joined.select(
