@@ -7,9 +7,12 @@ holds two shards at a time, so a label of any size is searched in blocks.
 
 A query walks down the layers and collects a beam of the best vertices on the lowest one.
 Beams that hold links only are widened and searched again; two shards are searched both ways.
-An audit compares a fixed sample of the queries with all vectors of the shard; while it misses
-links, all beams of the shard are widened, up to the whole shard. A sample with too few true
-links to judge by proves nothing: such a block is compared as a whole. Links are verified by cosine in double precision.
+Audits compare with all vectors of the shard: probes, made from vectors of the shard by turning
+them in a random direction until their cosine is just ``least``, so that there is always a true
+link to find; a fixed sample of the queries; and a sample of those that found links. While one of
+the three finds less than ``RECALL`` of its links, all beams of the block are widened, up to the
+whole shard. Only blocks of at most ``WHOLE`` pairs, and graphs that leave vertices out of reach, are
+compared as a whole. Links are verified by cosine in double precision.
 Tasks return one row per vector (its number of links and one member of its component), never pairs.
 
 All vertices of a batch are inserted and all queries of a block searched side by side in numpy.
@@ -35,7 +38,7 @@ BUILD_BEAM = 48
 BEAM = 32
 BATCH = 256
 AUDIT = 128
-EVIDENCE = 100
+WHOLE = 200 * 200
 RECALL = 0.99
 SLACK = 1e-3
 
@@ -218,43 +221,58 @@ def linked(g: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own:
     """Boolean table query x vertex of the links found; ``own``: query i is vertex i.
 
     ``exact`` and ``queries`` are unit vectors in double precision. ``back`` is the graph of the
-    queries, searched with ``exact`` as well. The table is exact where the audit's sample holds
-    fewer than ``EVIDENCE`` true links.
+    queries, searched with ``exact`` as well.
     """
     n, m = len(queries), len(exact)
+    if n * m <= WHOLE:
+        return _compared(exact, queries, least, own)
     rng = np.random.default_rng(seed)
     audit = rng.permutation(n)[:AUDIT]
     checked = queries[audit] @ exact.T >= least
     if own:
         checked[np.arange(len(audit)), audit] = False
-    if checked.sum() < EVIDENCE:
-        return _compared(exact, queries, least, own)
+    probed = [(graph, *_probes(vertices, least, rng)) for graph, vertices in ((g, exact), (back, queries)) if graph is not None]
     while True:
-        near = _near(g, queries.astype(np.float32), least, own, beam)
-        if back is not None:
-            near |= _near(back, exact.astype(np.float32), least, False, beam).T
-        found = np.zeros((n, m), bool)
-        q, v = np.nonzero(near)
-        for at in range(0, len(q), 100_000):
-            a, b = q[at : at + 100_000], v[at : at + 100_000]
-            found[a, b] = np.einsum("ij,ij->i", queries[a], exact[b]) >= least
-        if own:
-            found |= found.T
-            np.fill_diagonal(found, False)
-        busy = np.flatnonzero(found.any(1))
-        sample = busy[rng.permutation(len(busy))[: AUDIT // 2]]
-        truth = queries[sample] @ exact.T >= least
-        if own:
-            truth[np.arange(len(sample)), sample] = False
-        # What found something says little of what found nothing: each of the two samples must pass.
-        fixed = (checked & found[audit]).sum() >= RECALL * checked.sum()
-        if fixed and (truth & found[sample]).sum() >= RECALL * truth.sum():
-            return found
+        if all(_recalled(_near(graph, probes.astype(np.float32), least, False, beam), true) for graph, probes, true in probed):
+            near = _near(g, queries.astype(np.float32), least, own, beam)
+            if back is not None:
+                near |= _near(back, exact.astype(np.float32), least, False, beam).T
+            found = np.zeros((n, m), bool)
+            q, v = np.nonzero(near)
+            for at in range(0, len(q), 100_000):
+                a, b = q[at : at + 100_000], v[at : at + 100_000]
+                found[a, b] = np.einsum("ij,ij->i", queries[a], exact[b]) >= least
+            if own:
+                found |= found.T
+                np.fill_diagonal(found, False)
+            busy = np.flatnonzero(found.any(1))
+            sample = busy[rng.permutation(len(busy))[: AUDIT // 2]]
+            truth = queries[sample] @ exact.T >= least
+            if own:
+                truth[np.arange(len(sample)), sample] = False
+            # What found something says little of what found nothing: each of the samples must pass.
+            if _recalled(found[audit], checked) and _recalled(found[sample], truth):
+                return found
         if beam >= max(n, m):  # the graph leaves vertices out of reach
-            return found | _compared(exact, queries, least, own)
+            return _compared(exact, queries, least, own)
         beam *= 2
 
 
+def _recalled(found: np.ndarray, true: np.ndarray) -> bool:
+    return bool((found & true).sum() >= RECALL * true.sum())
+
+
+def _probes(vertices: np.ndarray, least: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors whose cosine to one of the vertices is just ``least``, and all their true links."""
+    some = vertices[rng.permutation(len(vertices))[:AUDIT]]
+    away = rng.normal(size=some.shape)
+    away -= (away * some).sum(1, keepdims=True) * some
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = np.where(length > 1e-9, min(1.0, least + 1e-6), 1.0)  # one dimension: no other direction
+    probes = cosine * some + np.sqrt(1 - cosine**2) * away / np.maximum(length, 1e-9)
+    return probes, probes @ vertices.T >= least
+
+
 def _near(g: Graph, short: np.ndarray, least: float, own: bool, beam: int) -> np.ndarray:
     """Boolean table query x vertex of what one search of the graph meets within reach of ``least``."""
     n, m = len(short), len(g.vectors)
@@ -347,10 +365,12 @@ def near_duplicates(
 
     shards = dealt.select("part", "shard", "id", "copies", "v").groupBy("part", "shard").applyInPandas(built, "part string, shard long, body binary")
     shards = written(shards, "graphs")
+    # Pairs of shards are made of their numbers; the graphs are joined to them shard by shard.
     one = shards.select("part", F.col("shard").alias("i"), F.col("body").alias("graph"))
     two = shards.select("part", F.col("shard").alias("j"), F.col("body").alias("other"))
-    other = F.when(F.col("i") != F.col("j"), F.col("other"))
-    blocks = one.join(two, "part").filter("i <= j").select("part", "i", "j", F.expr("i = j").alias("own"), "graph", other.alias("other"))
+    pairs = one.select("part", "i").join(two.select("part", "j"), "part").filter("i <= j")
+    different = pairs.filter("i < j").join(two, ["part", "j"]).unionByName(pairs.filter("i = j").withColumn("other", F.lit(None).cast("binary")))
+    blocks = different.join(one, ["part", "i"]).select("part", "i", "j", F.expr("i = j").alias("own"), "graph", "other")
     blocks = blocks.repartition("part", "i", "j")
     small_batches(vectors.sparkSession, 1)  # one row is two shards
 

@@ -50,6 +50,26 @@ def test_few_links_are_not_passed_unchecked(own):
     assert (linked(g, exact, queries, 0.93, own=own) == want).all()
 
 
+def test_searched_blocks_are_not_compared_as_a_whole(monkeypatch):
+    def never(*_):
+        raise AssertionError("compared as a whole")
+
+    monkeypatch.setattr("facetra.llm.small_world._compared", never)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    x[1500:1540] = x[:40] + 0.02 * rng.normal(size=(40, 64))  # few links, between and within halves
+    x[100:140] = x[200:240] + 0.02 * rng.normal(size=(40, 64))
+    u = _unit(x)
+    for exact, queries in ((u, u), (u[:1500], u[1500:])):
+        own = exact is queries
+        back = None if own else build(queries.astype(np.float32))
+        found = linked(build(exact.astype(np.float32)), exact, queries, 0.93, own=own, back=back)
+        want = queries @ exact.T >= 0.93
+        if own:
+            np.fill_diagonal(want, False)
+        assert want.sum() >= 40 and not (found & ~want).any() and (found & want).sum() >= 0.99 * want.sum()
+
+
 def test_both_ways():
     rng = np.random.default_rng(9)
     base = rng.normal(size=(4, 16))
