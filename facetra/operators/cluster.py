@@ -6,21 +6,24 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Transformer
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml import Model, Transformer
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import key_hash, numbers
-from ..functions.scale import constants, side_by_side
+from ..functions.scale import compact, constants, side_by_side
 from ..spec import TRACKS, FeatureSpec, require_columns
 
 # Search settings.
 SAMPLE_ROWS = 2000
 RESTARTS = 10
 START_THREADS = 5  # starts run side by side
+PASS_ROWS = 10_000  # rows of a task of a pass
 MAX_ITER = 300
 TOLERANCE = 1e-4
 NO_CLUSTER = -1
@@ -58,14 +61,114 @@ def vectors(df: DataFrame, scales: dict[str, tuple[float, float]]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(scale(df, scales))
 
 
-def fit_kmeans(data: DataFrame, k: int, seed: int = 42, restarts: int = RESTARTS, max_iter: int = MAX_ITER) -> KMeansModel:
-    """The best of several starts by training cost, some run side by side. ``data`` should be cached."""
+class Clusters(Model, MLWritable, MLReadable):
+    """Centres of one k-means fit and its cost; ``prediction`` is the number of the nearest one."""
 
-    def started(at: int) -> KMeansModel:
-        return KMeans(k=k, maxIter=max_iter, tol=TOLERANCE, seed=seed + at).fit(data)
+    def __init__(self, centres: Sequence[Sequence[float]] = (), cost: float = 0.0):
+        super().__init__()
+        self.centres, self.cost = np.array(centres, dtype="float64"), cost
 
-    found = side_by_side(started, range(restarts), START_THREADS)
-    return min(found, key=lambda m: m.summary.trainingCost)
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centres)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        squares = [
+            F.aggregate(F.zip_with(x, F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+            for c in self.centres
+        ]
+        nearest = F.transform(F.array(F.array(*squares)), lambda d: F.array_position(d, F.array_min(d)))[0]
+        return df.withColumn("prediction", (nearest - 1).cast("int"))
+
+    def write(self) -> MLWriter:
+        return _ClustersWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ClustersReader()
+
+
+class _ClustersWriter(MLWriter):
+    def __init__(self, model: Clusters):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        held = {"centres": self.model.centres.tolist(), "cost": self.model.cost}
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"clusters": held})
+
+
+class _ClustersReader(MLReader):
+    def load(self, path: str) -> Clusters:
+        found = DefaultParamsReader.loadMetadata(path, SparkSession.active())
+        model = Clusters(**found["clusters"])
+        model._resetUid(found["uid"])
+        return model
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch as one block of doubles."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("float64")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "block"])
+
+
+def _moved(points, found: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per set of centres: sums and sizes of its clusters and their cost, from one pass over the blocks."""
+
+    def partial(blocks):
+        totals = {}
+        for x in blocks:
+            for at, centres in found.items():
+                nearest = ((centres * centres).sum(axis=1)[None, :] - 2 * (x @ centres.T)).argmin(axis=1)
+                member = (nearest[:, None] == np.arange(len(centres))[None, :]).astype("float64")
+                gaps = x - centres[nearest]
+                one = (member.T @ x, member.sum(axis=0), float((gaps * gaps).sum()))
+                totals[at] = one if at not in totals else tuple(a + b for a, b in zip(totals[at], one))
+        return list(totals.items())
+
+    tasks = max(1, min(points.getNumPartitions(), len(found)))
+    return dict(points.mapPartitions(partial).reduceByKey(lambda a, b: tuple(x + y for x, y in zip(a, b)), tasks).collect())
+
+
+def fit_each(data: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = RESTARTS, max_iter: int = MAX_ITER) -> dict[int, Clusters]:
+    """The best of several starts by training cost, for every number of clusters. ``data`` should be cached.
+
+    MLlib places the first centres of every start (k-means||). The iterations of all starts of all
+    numbers then share their passes: one job moves every set of centres that still moves by more than
+    ``TOLERANCE``, so the number of jobs is that of the longest fit instead of the sum over fits.
+    """
+    starts = [(k, seed + at) for k in ks for at in range(restarts)]
+
+    def started(start: tuple[int, int]) -> np.ndarray:
+        k, own = start
+        return np.array(KMeans(k=k, maxIter=0, seed=own).fit(data).clusterCenters())
+
+    centres = dict(enumerate(side_by_side(started, starts, START_THREADS)))
+    costs = dict.fromkeys(centres, 0.0)
+    blocks = data.select(vector_to_array("features").alias("x")).mapInArrow(_packed, "n long, block binary").persist()
+    try:
+        points = blocks.rdd.map(lambda r: np.frombuffer(r.block).reshape(r.n, -1))
+        moving = set(centres)
+        for _ in range(max_iter):
+            for at, (sums, sizes, cost) in _moved(points, {i: centres[i] for i in sorted(moving)}).items():
+                filled = sizes > 0  # a cluster without rows keeps its centre
+                new = np.where(filled[:, None], sums / np.where(filled, sizes, 1.0)[:, None], centres[at])
+                if (((new - centres[at]) ** 2).sum(axis=1) <= TOLERANCE**2).all():
+                    moving.discard(at)
+                centres[at], costs[at] = new, cost
+            if not moving:
+                break
+    finally:
+        blocks.unpersist()
+    best = {k: min((i for i, s in enumerate(starts) if s[0] == k), key=costs.get) for k in ks}
+    return {k: Clusters(centres[i], costs[i]) for k, i in best.items()}
+
+
+def fit_kmeans(data: DataFrame, k: int, seed: int = 42, restarts: int = RESTARTS, max_iter: int = MAX_ITER) -> Clusters:
+    """The best of several starts by training cost. ``data`` should be cached."""
+    return fit_each(data, [k], seed, restarts, max_iter)[k]
 
 
 def exact_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -137,16 +240,18 @@ def find_optimal_k(
     ``squared_silhouette`` uses squared distances and every row.
     """
     scales = scaling(df, features)
-    data = vectors(df.select(*key, *features), scales).persist()
+    data = compact(vectors(df.select(*key, *features), scales), PASS_ROWS)
     sample = exact_sample(data, key, sample_rows, seed).persist()
     try:
-        rows = []
-        for k in k_range:
-            model = fit_kmeans(data, k, seed, restarts)
-            placed = model.transform(sample).withColumnRenamed("prediction", "cluster")
+        fitted = fit_each(data, list(k_range), seed, restarts)
+
+        def judged(k: int) -> tuple:
+            placed = fitted[k].transform(sample).withColumnRenamed("prediction", "cluster")
             width = silhouette(placed, [f"{c}_scaled" for c in scales], most=sample_rows).first()
-            whole = squared_silhouette(model.transform(data).withColumnRenamed("prediction", "cluster"))
-            rows.append((int(k), float(model.summary.trainingCost), width["silhouette"], width["rows_used"], whole))
+            whole = squared_silhouette(fitted[k].transform(data).withColumnRenamed("prediction", "cluster"))
+            return int(k), float(fitted[k].cost), width["silhouette"], width["rows_used"], whole
+
+        rows = side_by_side(judged, list(fitted), START_THREADS)
         return df.sparkSession.createDataFrame(
             rows, "k int, inertia double, silhouette double, rows_used long, squared_silhouette double"
         )
@@ -162,11 +267,11 @@ def assign_clusters(
     seed: int = 42,
     restarts: int = RESTARTS,
     spec: FeatureSpec = TRACKS,
-) -> tuple[DataFrame, KMeansModel, dict[str, tuple[float, float]]]:
+) -> tuple[DataFrame, Clusters, dict[str, tuple[float, float]]]:
     """All rows with their cluster; rows without all features get -1."""
     features = list(features or spec.features)
     scales = scaling(df, features)
-    data = vectors(df.select(*features), scales).select("features").persist()
+    data = compact(vectors(df.select(*features), scales).select("features"), PASS_ROWS)
     try:
         model = fit_kmeans(data, n_clusters, seed, restarts)
     finally:
@@ -191,7 +296,7 @@ def place(df: DataFrame, model: Transformer, scales: dict[str, tuple[float, floa
     return labelled.select(*df.columns, cluster.alias("cluster"))
 
 
-def centroids(model: KMeansModel, scales: dict[str, tuple[float, float]], spark) -> DataFrame:
+def centroids(model: Clusters, scales: dict[str, tuple[float, float]], spark) -> DataFrame:
     """Cluster centres in the original units."""
     rows = []
     for i, centre in enumerate(model.clusterCenters()):

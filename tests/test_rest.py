@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetra.functions.scale import lookup_join, small_copy
+from facetra.functions.scale import compact, lookup_join, small_copy
 from facetra.operators import chartdata, clean, cluster, scenario
 from facetra.plans import runs
 from facetra.sources import tables as io
@@ -69,6 +69,30 @@ def test_cluster_search(songs):
     assert max(got, key=lambda r: r["silhouette"])["k"] == 3
 
 
+def test_starts_share_their_passes(spark, songs, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.clustering import KMeans
+
+    data = cluster.vectors(songs.repartition(16), cluster.scaling(songs, FS)).select("features").persist()
+    held = compact(data, 20)
+    n = data.count()
+    assert held.rdd.getNumPartitions() == -(-n // 20) < 16 and held.count() == n
+    spark.sparkContext.setJobGroup("passes", "")
+    fitted = cluster.fit_each(held, [2, 3, 4], restarts=4)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 60 + 3 * 4 * 12  # passes are shared; only the first centres are found fit by fit
+    for k, model in fitted.items():
+        want = min((KMeans(k=k, maxIter=300, tol=1e-4, seed=42 + i).fit(held) for i in range(4)), key=lambda m: m.summary.trainingCost)
+        assert model.cost == pytest.approx(want.summary.trainingCost)
+        assert [c.tolist() for c in model.clusterCenters()] == [pytest.approx(c.tolist()) for c in want.clusterCenters()]
+        assert model.transform(held).select("prediction").collect() == want.transform(held).select("prediction").collect()
+    PipelineModel([fitted[3]]).write().overwrite().save(str(tmp_path / "m"))
+    back = PipelineModel.load(str(tmp_path / "m")).stages[0]
+    assert back.cost == fitted[3].cost and (back.centres == fitted[3].centres).all()
+    held.unpersist()
+
+
 def test_silhouette_by_hand(spark):
     df = spark.createDataFrame([(0.0, 0), (1.0, 0), (5.0, 1), (9.0, 2)], "x double, cluster int")
     # two singletons count 0; the pair: a = 1, b = 5 and 4
