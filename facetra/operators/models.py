@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scale import shared_folder, side_by_side
+from ..functions.scale import compact, shared_folder, side_by_side
 from .metrics import binary_metrics, class_metrics, regression_metrics, top_k_accuracy
 from .prepare import balanced_weights, category_statistic, encoder, labels_of, ordered_statistic
 
 # Hyper-parameters and search grids.
 DEPTH_LIMIT = 30  # deepest tree MLlib grows; stands in for "no limit"
 FOREST = {"numTrees": 300, "maxDepth": DEPTH_LIMIT, "featureSubsetStrategy": "sqrt", "seed": 42}
+NODE_IDS = {"cacheNodeIds": True, "checkpointInterval": 10}  # rows keep the node they are in: no job carries the trees grown so far
 COMPARISON_FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 3, "featureSubsetStrategy": "all", "seed": 42}
 BOOSTED = {"maxIter": 300, "stepSize": 0.08, "maxDepth": 6, "seed": 42}
 PART_TREES, PART_THREADS = 20, 8  # trees of a part of a forest, and parts grown side by side
@@ -163,11 +164,11 @@ def _grow(stages: list, train: DataFrame, forest, params: dict) -> PipelineModel
     trees, seed = settings.pop("numTrees"), settings.pop("seed")
     front = _fit(stages, train)
     used = [c for c in ("weight", forest.getLabelCol()) if c in train.columns or c == forest.getLabelCol()]
-    held = front.transform(train).select("features", *used).persist()
+    held = compact(front.transform(train).select("features", *used))
     sizes = [min(PART_TREES, trees - at) for at in range(0, trees, PART_TREES)]
 
     def part(i: int) -> Model:
-        return forest.copy().setParams(numTrees=sizes[i], seed=seed + i, **settings).fit(held)
+        return forest.copy().setParams(numTrees=sizes[i], seed=seed + i, **{**NODE_IDS, **settings}).fit(held)
 
     try:
         parts = side_by_side(part, range(len(sizes)), PART_THREADS)
@@ -207,7 +208,7 @@ def fit_boosted_regressor(train: DataFrame, target: str, numeric: Sequence[str],
         **{**BOOSTED, **params},
     )
     gather = assembler(inputs)
-    held = gather.transform(data).select("features", target).persist()
+    held = compact(gather.transform(data).select("features", target))
     try:
         grown = boosted.fit(held)
     finally:

@@ -59,3 +59,18 @@ def test_classes(rows, monkeypatch):
     assert got.filter("guess = kind").count() > 100
     assert got.filter(F.abs(F.aggregate("guess_scores", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).count() == 0
     assert sum(r.importance for r in models.importances(model, rows).collect()) == pytest.approx(1.0)
+
+
+def test_grown_over_compact_rows_with_kept_nodes(rows, monkeypatch):
+    """Near-empty partitions are put together, and keeping the nodes of rows changes no tree."""
+    seen = []
+    kept = models.compact
+    monkeypatch.setattr(models, "compact", lambda df: seen.append(kept(df)) or seen[-1])
+    front = [models.assembler(["a", "b", "c"])]
+    settings = {"numTrees": 3, "maxDepth": 12}
+    model = models.fit_forest_regressor(rows.repartition(40, "id"), "y", front, **settings).stages[-1]
+    assert seen[0].rdd.getNumPartitions() == 1 and model.getCacheNodeIds()
+    models.fit_boosted_regressor(rows.repartition(40, "id"), "y", ["a", "b"], "kind", ["id"], maxIter=2, maxDepth=2)
+    assert len(seen) == 2 and seen[1].rdd.getNumPartitions() == 1
+    fits = [models.fit_forest_regressor(rows.coalesce(1), "y", front, **settings, cacheNodeIds=v).stages[-1] for v in (True, False)]
+    assert fits[0].toDebugString.split("\n")[1:] == fits[1].toDebugString.split("\n")[1:]
