@@ -203,7 +203,6 @@ def fit_boosted_regressor(train: DataFrame, target: str, numeric: Sequence[str],
     boosted = GBTRegressor(
         labelCol=target,
         predictionCol=prediction,
-        cacheNodeIds=True,
         checkpointInterval=CHECKPOINT_EVERY,
         **{**BOOSTED, **params},
     )
