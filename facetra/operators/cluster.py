@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import key_hash, numbers
-from ..functions.scale import compact, constants, side_by_side
+from ..functions.scale import FEW_TASKS, compact, constants, side_by_side
 from ..spec import TRACKS, FeatureSpec, require_columns
 
 # Search settings.
@@ -128,8 +128,17 @@ def _moved(points, found: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray,
                 totals[at] = one if at not in totals else tuple(a + b for a, b in zip(totals[at], one))
         return list(totals.items())
 
-    tasks = max(1, min(points.getNumPartitions(), len(found)))
-    return dict(points.mapPartitions(partial).reduceByKey(lambda a, b: tuple(x + y for x, y in zip(a, b)), tasks).collect())
+    def both(a, b):
+        return tuple(x + y for x, y in zip(a, b))
+
+    pairs = points.mapPartitions(partial)
+    tasks = points.getNumPartitions()
+    if tasks > FEW_TASKS:  # the sums of a few tasks meet on the driver
+        pairs = pairs.reduceByKey(both, min(tasks, len(found)))
+    totals: dict = {}
+    for at, one in pairs.collect():
+        totals[at] = both(totals[at], one) if at in totals else one
+    return totals
 
 
 def fit_each(data: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = RESTARTS, max_iter: int = MAX_ITER) -> dict[int, Clusters]:
