@@ -2,8 +2,9 @@
 
 The probability of a token is that of its class given the tokens before, times that of
 the token within its class. Classes are the most frequent tokens, one each, and the endings
-of the others. Words before (one, two and three places back) and the pair of classes before
-are hashed to rows of one weight table; a softmax over their summed rows gives the class.
+of the others. N-gram and skip features, that is every word one, two and three places before,
+the last two words together and the pair of classes before, are hashed to rows of one weight
+table, rare words by their bytes; a softmax over the summed rows gives the class.
 Within a class a token has its smoothed relative frequency, which is what a softmax over
 one weight per token comes to.
 
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,15 @@ SINGLES = 20
 ENDINGS = 40
 REST = 4
 CLASSES = 1 + SINGLES + ENDINGS + REST  # class 0: end of text
-ROWS = 1 << 14
-NAMED = 3_000  # frequent words that features name; others count by class
+ROWS, MOST_ROWS = 1 << 14, 1 << 16  # of the weight table, by the number of distinct tokens
+FEATURES = 5
+WALK = 8_000_000  # training tokens of a task, as each gives out a table
+ROUNDS = 8
+BLOCK = 1_024  # rows of a step at once, so that they stay in a cache
 TILE = 4_096
 COUNTER = 300_000
 END = 0
-PRIME = 2_654_435_761
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens_of(data: bytes) -> list[bytes]:
@@ -61,6 +66,11 @@ class Vocabulary:
         found = self.ending_class.get(token[-2:])
         return 1 + SINGLES + ENDINGS + zlib.crc32(token[-2:]) % REST if found is None else found
 
+    @property
+    def rows(self) -> int:
+        """Rows of the weight table: as many as distinct tokens, within bounds that suit a worker's memory."""
+        return min(MOST_ROWS, max(ROWS, 1 << int(self.train_types).bit_length()))
+
     def within(self) -> np.ndarray:
         """log10 of the share of a class that a token with no count has."""
         out = -np.log10(self.class_tokens + self.class_types + 1.0)
@@ -132,55 +142,67 @@ class Tokens:
     classes: np.ndarray
     rows: np.ndarray  # feature rows, tokens x features
     starts: np.ndarray  # of each text
-    others: list[list[bytes]]  # tokens outside the head, by text
+    others: pa.ListArray  # tokens outside the head, by text
 
 
 def numbered(texts: list[bytes], v: Vocabulary) -> Tokens:
-    places, others, starts, classes = [], [], [], []
-    n = 0
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    words, lengths = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not filled.all():  # blanks at the ends of a text
+        lengths = np.bincount(np.repeat(np.arange(len(texts)), lengths)[filled], minlength=len(texts))
+        words = words.filter(pa.array(filled))
+    coded = words.view(pa.binary()).dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    code = coded.indices.to_numpy(zero_copy_only=False)
     get = v.head.get
-    for data in texts:
-        words = tokens_of(data)
-        at = np.array([get(w, -1) for w in words] + [-2], np.int32)
-        own = np.zeros(len(at), np.int32)
-        inside = at >= 0
-        own[inside] = v.classes[at[inside]]
-        outside = np.flatnonzero(at == -1)
-        rare = [words[i] for i in outside.tolist()]
-        own[outside] = [v.class_of(w) for w in rare]
-        starts.append(n)
-        n += len(at)
-        places.append(at)
-        classes.append(own)
-        others.append(rare)
-    place, cls = np.concatenate(places), np.concatenate(classes)
-    begin = np.zeros(n, np.int64)
-    begin[starts] = 1
-    since = np.arange(n) - np.maximum.accumulate(np.where(begin > 0, np.arange(n), 0))
-    named = np.where((place >= 0) & (place < NAMED), place + CLASSES + 1, cls + 1).astype(np.int64)
-    rows = np.empty((n, 5), np.int32)
-    rows[:, 0] = 0
-    back = []
+    found = np.array([get(w, -1) for w in distinct], np.int32)
+    group, name = np.zeros(len(distinct), np.int32), found.astype(np.int64) + 1
+    group[found >= 0] = v.classes[found[found >= 0]]
+    for i in np.flatnonzero(found < 0).tolist():
+        group[i], name[i] = v.class_of(distinct[i]), (1 << 32) + zlib.crc32(distinct[i])
+    n = len(code) + len(texts)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    inside = np.ones(n, bool)
+    inside[ends] = False
+    place, cls, named = np.full(n, -2, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
+    place[inside], cls[inside], named[inside] = found[code], group[code], name[code]
+    rare = place[inside] == -1
+    before = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], np.cumsum(lengths)])]
+    others = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), coded.dictionary.take(pa.array(code[rare])))
+    since = np.arange(n) - np.repeat(starts, lengths + 1)
+    rows = np.empty((FEATURES + 1, n), np.uint16)  # contiguous by feature
+    rows[0] = 0
+    words_back, classes_back = [], []
     for k in (1, 2, 3):
         word, group = np.zeros(n, np.int64), np.zeros(n, np.int64)
         word[k:], group[k:] = named[:-k], cls[:-k] + 1
         word[since < k] = group[since < k] = 0
-        rows[:, k] = _row(word * 8 + k)
-        back.append(group)
-    rows[:, 4] = _row((back[0] * (CLASSES + 1) + back[1]) * 8 + 4)
-    return Tokens(place, cls, rows, np.array(starts), others)
+        rows[k] = _row(word, k, v.rows)
+        words_back.append(word)
+        classes_back.append(group)
+    rows[4] = _row(classes_back[0] * (CLASSES + 1) + classes_back[1], 4, v.rows)
+    rows[5] = _row(words_back[0] * 0x2545F491 + words_back[1], 5, v.rows)
+    return Tokens(place, cls, rows.T, starts, others)
 
 
-def _row(value: np.ndarray) -> np.ndarray:
+def _row(value: np.ndarray, kind: int, rows: int) -> np.ndarray:
     """Row of a hashed feature; row 0 is kept for the bias."""
-    return (1 + ((value * PRIME) % (1 << 32) >> 8) % (ROWS - 1)).astype(np.int32)
+    mixed = (value.astype(np.uint64) * np.uint64(8) + np.uint64(kind)) * ODD
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= ODD
+    mixed >>= np.uint64(40)
+    return 1 + mixed % np.uint64(rows - 1)
 
 
 class Scratch:
     """Room for the rows of a tile, used again and again: fresh arrays of this size cost more than the sums in them."""
 
     def __init__(self):
-        self.sums, self.part, self.square = (np.empty((TILE, CLASSES), np.float32) for _ in range(3))
+        self.sums, self.part = (np.empty((TILE, CLASSES), np.float32) for _ in range(2))
+        self.grad, self.weights = (np.empty((FEATURES * TILE + 1, CLASSES), np.float32) for _ in range(2))
+        self.square = np.empty((BLOCK, CLASSES), np.float32)
 
 
 def _taken(table: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -210,7 +232,7 @@ def class_logs(table: np.ndarray, t: Tokens) -> np.ndarray:
 
 def first_table(v: Vocabulary) -> np.ndarray:
     """All weights zero but the bias, which has the class shares."""
-    table = np.zeros((ROWS, CLASSES), np.float32)
+    table = np.zeros((v.rows, CLASSES), np.float32)
     table[0] = np.log((v.class_tokens + 0.5) / (v.class_tokens.sum() + 0.5 * CLASSES))
     return table
 
@@ -222,28 +244,52 @@ def descend(table: np.ndarray, squares: np.ndarray, used: np.ndarray, t: Tokens,
         rows, cls = t.rows[at : at + TILE], t.classes[at : at + TILE]
         z = _sums(table, rows, room)
         error = np.exp(z, out=z)
-        error /= error.sum(1, keepdims=True)
+        error *= 1 / error.sum(1, keepdims=True)
         error[np.arange(len(cls)), cls] -= 1
         _step(table, squares, used, np.zeros(1, np.int64), error.sum(0, keepdims=True), [len(cls)], rate, room)
-        for k in range(1, rows.shape[1]):
-            order = np.argsort(rows[:, k].astype(np.uint16), kind="stable")  # radix sort: rows are below 2 ** 16
-            own = rows[order, k]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            grad = np.add.reduceat(_taken(error, order, room.part), first, axis=0)
-            _step(table, squares, used, own[first], grad, np.diff(np.append(first, len(own))), rate, room)
+        own, grad, size = _gradients(error, rows, room)
+        _step(table, squares, used, own, grad, size, rate, room)
+
+
+def _gradients(error: np.ndarray, rows: np.ndarray, room: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that the features of a tile take, the errors of their tokens summed, and the number of them.
+
+    Rows stand in falling order of their number, so that adding the next error to all that have one is
+    one sum over a slice; what is left of the few with more than ``ROUNDS`` is added as segments.
+    """
+    flat = rows[:, 1:].T.reshape(-1)
+    order = np.argsort(flat, kind="stable")  # radix sort: 16 bits
+    own = flat[order]
+    token = order % len(rows)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    size = np.diff(np.append(first, len(own)))
+    by = np.argsort(-np.minimum(size, 1 << 14).astype(np.int16), kind="stable")
+    first, size = first[by], size[by]
+    more = np.searchsorted(-size, -np.arange(1, ROUNDS + 1), side="left")  # how many have over 1, 2, ... tokens
+    grad = _taken(error, token[first], room.grad)
+    for k, m in enumerate(more[:-1].tolist(), 1):
+        grad[:m] += _taken(error, token[first[:m] + k], room.weights)
+    m = int(more[-1])
+    if m:
+        rest = size[:m] - ROUNDS
+        at = np.cumsum(rest) - rest
+        places = np.arange(int(rest.sum())) - np.repeat(at - first[:m] - ROUNDS, rest)
+        grad[:m] += np.add.reduceat(_taken(error, token[places], room.weights), at, axis=0)
+    return own[first].astype(np.int64), grad, size
 
 
 def _step(table, squares, used, own, grad, count, rate, room) -> None:
-    square = _taken(squares, own, room.square)
-    square += np.multiply(grad, grad, out=room.part[: len(own)])  # the sorted errors are summed by now
-    squares[own] = square
-    square += 1
-    grad /= np.sqrt(square, out=square)
-    grad *= rate
-    weights = _taken(table, own, room.part)
-    weights -= grad
-    table[own] = weights
     used[own] += count
+    for at in range(0, len(own), BLOCK):
+        part, g = own[at : at + BLOCK], grad[at : at + BLOCK]
+        square = _taken(squares, part, room.square)
+        square += np.multiply(g, g, out=room.weights[: len(part)])
+        squares[part] = square
+        g /= np.sqrt(square, out=square)
+        g *= rate
+        weights = _taken(table, part, room.weights)
+        weights -= g
+        table[part] = weights
 
 
 def train(texts: DataFrame, v: Vocabulary) -> np.ndarray:
@@ -254,35 +300,37 @@ def train(texts: DataFrame, v: Vocabulary) -> np.ndarray:
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         table = first_table(v)
-        squares = np.zeros_like(table)
-        used = np.zeros(ROWS, np.int64)
+        squares = np.ones_like(table)
+        used = np.zeros(v.rows, np.int64)
         for batch in batches:
             for some in _groups(batch.column("data")):
                 descend(table, squares, used, numbered(some, v))
         at = np.flatnonzero(used)
-        scaled = (table[at] * used[at, None]).astype(np.float64)
         for lo in range(0, len(at), 2_000):
-            part = slice(lo, lo + 2_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at[part], pa.int32()), pa.array(used[at[part]]), pa.array(list(scaled[part]), pa.list_(pa.float64()))], names=["row", "used", "w"]
-            )
+            part = at[lo : lo + 2_000]
+            weights = pa.array((table[part] * used[part, None]).astype(np.float32).reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * CLASSES), weights)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(used[part]), lists], names=["row", "used", "w"])
 
-    sums = texts.mapInArrow(walked, "row int, used long, w array<double>").groupBy("row").agg(
+    tasks = max(1, -(-v.train_tokens // WALK))
+    sums = texts.coalesce(tasks).mapInArrow(walked, "row int, used long, w array<float>").groupBy("row").agg(
         F.sum("used").alias("used"), F.array(*[F.sum(F.col("w")[i]) for i in range(CLASSES)]).alias("w")
     )
     table = first_table(v)
-    for r in sums.toLocalIterator():
-        table[r.row] = np.array(r.w) / r.used
+    found = sums.toArrow()  # at most ``MOST_ROWS`` rows
+    for part in found.to_batches():
+        row, used = (part.column(c).to_numpy() for c in ("row", "used"))
+        table[row] = part.column("w").flatten().to_numpy().reshape(-1, CLASSES) / used[:, None]
     return table
 
 
 def _groups(column) -> Iterator[list[bytes]]:
-    """Texts in groups of about a megabyte, so that long ones do not add up."""
+    """Texts in groups of about two megabytes, so that long ones do not add up."""
     some, size = [], 0
     for value in column:
         some.append(value.as_py())
         size += len(some[-1])
-        if size > 1_000_000:
+        if size > 2_000_000:
             yield some
             some, size = [], 0
     if some:
@@ -331,9 +379,10 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
                 known += np.add.reduceat(seen.astype(np.int64), t.starts).tolist()
                 base += (np.add.reduceat(inside, t.starts) + size * base_unit).tolist()
                 full += np.add.reduceat(inner + by_class / np.log(10), t.starts).tolist()
-                others += t.others
+                others.append(t.others)
+            rare = pa.concat_arrays(others) if others else pa.array([], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(others, pa.list_(pa.binary()))],
+                [batch.column("key"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), rare],
                 names=["key", "held_out", "n_tokens", "n_known", "base_score", "score", "others"],
             )
 

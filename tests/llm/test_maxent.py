@@ -72,3 +72,49 @@ def test_empty_and_untrained(spark):
     got = maxent.score_texts(docs, F.lit(True)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)] * 2
     assert all(r.held_out is False for r in maxent.score_texts(docs, F.col("doc_id") == 1).collect())
+
+
+def chances(spark, monkeypatch, texts):
+    """Tokens of the first text with the probability of their class, after gradient steps over all texts."""
+    monkeypatch.setattr(maxent, "TILE", 256)
+    rows = spark.createDataFrame([(t,) for t in texts], "data string").select(F.col("data").cast("binary").alias("data"))
+    v = maxent.vocabulary(maxent.counted_tokens(rows), len(texts))
+    table = maxent.first_table(v)
+    squares, used = np.ones_like(table), np.zeros(len(table), np.int64)
+    for t in texts:
+        maxent.descend(table, squares, used, maxent.numbered([t.encode()], v))
+    return zip(texts[0].split(), np.exp(maxent.class_logs(table, maxent.numbered([texts[0].encode()], v))))
+
+
+@pytest.mark.parametrize("head", [10, 200_000])
+def test_every_context_word_is_a_feature_of_its_own(spark, monkeypatch, head):
+    # which word comes after a name follows from the name; all names have one ending, and are equally rare
+    monkeypatch.setattr(maxent, "HEAD", head)
+    rng = np.random.default_rng(3)
+    after = rng.integers(0, 2, 6_000).tolist()
+    lines = [" ".join(f"w{i}ing {('left', 'right')[after[i]]}" for i in rng.permutation(6_000)) for _ in range(4)]
+    found = [p for w, p in chances(spark, monkeypatch, lines) if w in ("left", "right")]
+    assert len(found) == 6_000 and np.quantile(found, 0.2) > 0.6
+
+
+def test_word_pairs_are_features(spark, monkeypatch):
+    # the third word follows from the first two together, not from either; all names have one ending
+    rng = np.random.default_rng(4)
+    names = [f"n{i}al" for i in range(12)]
+    more = " ".join(f"common{i % 20} " for i in range(30_000))  # takes the classes of single words
+    pairs = rng.integers(0, 12, (4_000, 2)).tolist()
+    line = " ".join(f"{names[a]} {names[b]} {('here', 'there')[(a + b) % 2]}" for a, b in pairs)
+    found = [p for w, p in chances(spark, monkeypatch, [line, line, more]) if w in ("here", "there")]
+    assert len(found) == 4_000 and np.quantile(found, 0.2) > 0.6
+
+
+def test_tiles_sum_their_errors_by_row():
+    rng = np.random.default_rng(5)
+    rows = np.minimum(rng.zipf(1.3, (3_000, maxent.FEATURES + 1)), 60_000).astype(np.uint16)
+    error = rng.normal(size=(3_000, maxent.CLASSES)).astype(np.float32)
+    own, grad, size = maxent._gradients(error, rows, maxent.Scratch())
+    want = np.zeros((1 << 16, maxent.CLASSES))
+    np.add.at(want, rows[:, 1:].reshape(-1), np.repeat(error, maxent.FEATURES, axis=0))
+    counts = np.bincount(rows[:, 1:].reshape(-1), minlength=1 << 16)
+    assert sorted(own.tolist()) == np.flatnonzero(counts).tolist() and (counts[own] == size).all()
+    assert np.allclose(grad, want[own], atol=1e-2)
