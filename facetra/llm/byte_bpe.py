@@ -7,7 +7,7 @@ tokens could not both survive the merges, it falls back to the next shorter pref
 or takes the previous token back and marks the place as closed. A place is closed
 once at most, so the work is linear in the length of the pre-token, also for one of
 many thousand letters. Whether two tokens can stand side by side depends on those
-two alone and is remembered.
+two alone: it is read off the last merges on both sides of their border, and remembered.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .common import column, small_batches
 
 MAX_PIECES = 150_000
 MAX_PAIRS = 1_000_000
+LONGEST_SPLIT = 500  # bytes of a token whose merges are followed
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -49,7 +50,7 @@ class PieceCache(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = np.array(self.encode(piece.encode("utf-8", "replace")), "<u4").tobytes()
+            ids = self.encode(piece.encode("utf-8", "replace"))
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -72,13 +73,18 @@ class ByteBPE:
         self.shorter = [
             next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t in tokens
         ]
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.matcher = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
-            self.matcher.add_word(t.decode("latin-1"), i)
+            if len(t) > 1:
+                self.matcher.add_word(t.decode("latin-1"), i)
         self.matcher.make_automaton()
         self.pieces = regex.compile(pattern)
+        self.packed = [i.to_bytes(4, "little") for i in range(len(tokens))]
+        self.column = pa.array(tokens, pa.large_binary())
+        self.splits: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
-        self.cache = PieceCache(self.encode_piece)
+        self.cache = PieceCache(self.packed_piece)
 
     def merged(self, data: bytes) -> list[int]:
         """The merges applied one by one, lowest rank first; for short strings."""
@@ -91,35 +97,89 @@ class ByteBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def split(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last merge of ``token`` puts together; a single byte is given twice.
+
+        (-1, -1) if the merges never make this token, or not by rising ranks, or it is very long.
+        """
+        known = self.splits.get(token)
+        if known is None:
+            data = self.tokens[token]
+            ranks, none = self.ranks, len(self.tokens)
+            parts = [data[i : i + 1] for i in range(len(data))] if len(data) <= LONGEST_SPLIT else [b""] * 3
+            joint = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)] if parts[0] else [none]
+            while len(parts) > 2:
+                rank = min(joint)
+                if rank == none:
+                    break
+                at = joint.index(rank)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                del joint[at]
+                if at:
+                    joint[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+                if at < len(joint):
+                    joint[at] = ranks.get(parts[at] + parts[at + 1], none)
+            known = (token, token) if len(parts) == 1 else (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+            if len(parts) == 2 and (max(known) > token or min(*self.split(known[0]), *self.split(known[1])) < 0):
+                known = (-1, -1)
+            self.splits[token] = known
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the merges leave ``left`` and ``right`` as two tokens side by side."""
+        """Whether the merges leave ``left`` and ``right`` as two tokens side by side.
+
+        From the last merge back to the first, the tokens on both sides of the border are looked
+        at: a merge across it happens if it ranks before the merge that next took one of them away.
+        Of equal ranks the left merge comes first.
+        """
         key = left * len(self.tokens) + right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs[key] = known
+            known = self.pairs[key] = self._apart(left, right)
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        tokens, ranks, split = self.tokens, self.ranks, self.split
+        if split(left)[0] < 0 or split(right)[0] < 0:
+            return self.merged(tokens[left] + tokens[right]) == [left, right]
+        limit = len(tokens)
+        while ranks.get(tokens[left] + tokens[right], limit) >= limit:
+            a, b = split(left)[1], split(right)[0]  # the same token, where it is a single byte
+            if a == left and b == right:
+                return True
+            # The later of the two last merges is undone: that of the higher rank, of equal ones the right one.
+            if b == right or (a != left and left > right):
+                limit, left = left, a
+            else:
+                limit, right = right + 1, b
+        return False
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         size = len(piece)
-        lengths, longest = self.lengths, [0] * size
+        lengths, single = self.lengths, self.single
+        longest = [single[b] for b in piece]
         for end, token in self.matcher.iter(piece.decode("latin-1")):
             longest[end + 1 - lengths[token]] = token  # for one start, longer matches end later
         closed = bytearray(size + 1)
+        pairs, many = self.pairs, len(lengths)
         out: list[int] = []
         at, token = 0, longest[0] if size else -1
         while token >= 0:
             end = at + lengths[token]
-            if not closed[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < size else -1
-                continue
+            if not closed[end]:
+                fits = not out or pairs.get(out[-1] * many + token)
+                if fits is None:
+                    fits = self.compatible(out[-1], token)
+                if fits:
+                    out.append(token)
+                    at = end
+                    token = longest[at] if at < size else -1
+                    continue
             token = self.shorter[token]
             while token < 0:  # no token fits here: take the one before back and shorten it
                 closed[at] = 1
@@ -128,6 +188,10 @@ class ByteBPE:
                 token = self.shorter[last]
         return out
 
+    def packed_piece(self, piece: bytes) -> bytes:
+        packed = self.packed
+        return b"".join([packed[i] for i in self.encode_piece(piece)])
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         cache = self.cache
@@ -135,8 +199,9 @@ class ByteBPE:
         return b"".join([cache[p] for p in self.pieces.findall(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        taken = self.column.take(pa.array(np.frombuffer(ids, "<u4")))
+        _, ends, data = taken.buffers()
+        return data[: int(np.frombuffer(ends, np.int64)[len(taken)])].to_pybytes() if len(taken) else b""
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -62,3 +62,24 @@ def test_rows(spark):
 def test_vocabulary_without_all_bytes():
     with pytest.raises(ValueError):
         ByteBPE([b"a", b"b"], public.PATTERN)
+
+
+def test_neighbours_without_merging_them(monkeypatch):
+    rng = np.random.default_rng(3)
+    codec = ByteBPE(CODEC.tokens, public.PATTERN)
+    pairs = np.concatenate([rng.integers(0, 2_000, (1_500, 2)), rng.integers(0, len(CODEC.tokens), (500, 2))]).tolist()
+    pairs += [codec.split(t) for t in range(1_000, 1_500)]
+    want = [codec.merged(codec.tokens[a] + codec.tokens[b]) == [a, b] for a, b in pairs]
+    assert 500 < sum(want) <= 2_000
+    monkeypatch.setattr(codec, "merged", None)  # each pair took merges of all its bytes
+    assert [codec.compatible(a, b) for a, b in pairs] == want
+
+
+def test_neighbours_in_odd_vocabularies():
+    # "xy" ranks after "xyz", which it is merged into; "pqr" is never made; runs of one letter tie
+    more = [b"aa", b"aaaa", b"xyz", b"xy", b"pqr", b"zx", b"yzx", b"ab", b"aab", b"baa"]
+    codec = ByteBPE([bytes([i]) for i in range(256)] + more, public.PATTERN)
+    some = [*range(256, 256 + len(more)), *b"abxyzpqr"]
+    for a in some:
+        for b in some:
+            assert codec.compatible(a, b) == (codec.merged(codec.tokens[a] + codec.tokens[b]) == [a, b])
