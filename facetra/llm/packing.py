@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ KNOWN = 300_000  # words remembered, twice: the last used, and those before them
 PLAIN = re.compile("[!-~À-įı-ſ]+")
 LETTER = "a-zß-öø-ſ"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^{LETTER}0-9]+")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")  # chunks that are one word
 #: What WORDS stands for: the split of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -80,18 +82,26 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         parts = str(self.tokenizer.pre_tokenizer)
         self.own = SPLIT.replace("\\", "") in parts.replace("\\", "")
         self.letters = {b: c for b, c in enumerate(byte_letters())}
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.packed = [i.to_bytes(4, "little") for i in range(top + 1)]
         self.words = Memory(self._word)
         self.chunks = Memory(self._chunk)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(word)])
 
     def _chunk(self, chunk: str) -> bytes:
+        word = chunk.rstrip(string.punctuation)
+        if self.own and (word.isascii() and word.isalpha() or LETTERS.fullmatch(word)):  # so are most chunks: one word, and signs after it
+            ids = self.words[word.lower()]
+            return ids if len(word) == len(chunk) else ids + self.words[chunk[len(word) :]]
         if self.own and PLAIN.fullmatch(chunk):
             words = self.words
             return b"".join([words[w] for w in WORDS.findall(chunk.lower())])
@@ -104,7 +114,7 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         chunks = self.chunks
-        parts = [chunks[c] for c in coded.dictionary.to_pylist()]
+        parts = [chunks[c] for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         at = coded.indices.to_numpy(zero_copy_only=False)
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         ids = np.frombuffer(b"".join(parts), "<u4")

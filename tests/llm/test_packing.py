@@ -46,6 +46,14 @@ def test_ids_of_any_text(library, text):
     assert flat.tolist() == library(text)
 
 
+def test_words_with_signs_skip_the_splitter(library, monkeypatch):
+    encoder = WordEncoder(PATH)
+    chunks = ["the", "Éénle.", "don't", "dogs'", "it's,", "a\"),", "×÷", "ªµ", "İx.", "ŉŸſ!", "x1.", "...", "ß"]
+    assert [np.frombuffer(encoder._chunk(c), "<u4").tolist() for c in chunks] == [library(c) for c in chunks]
+    monkeypatch.setattr(packing, "WORDS", None)  # every plain chunk was split by it
+    assert encoder._chunk("Qué;") == encoder.words["qué"] + encoder.words[";"]
+
+
 def fewest(sizes, capacity):
     """Bins needed, by trying all orders of first fit."""
     best = len(sizes)
