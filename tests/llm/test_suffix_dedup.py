@@ -114,3 +114,26 @@ def test_odd_rows(spark):
     assert dedup(spark.createDataFrame([], SHAPE)).count() == 0
     with pytest.raises(ValueError):
         dedup(spark.createDataFrame([], SHAPE), length=100)
+
+
+def test_texts_of_one_row_bring_their_columns_along(spark):
+    rng = np.random.default_rng(11)
+    some = letters(rng, 600)
+    rows = [(1, some + "a", "x"), (2, "b" + some, None), (None, letters(rng, 300), "y"), (4, "", "p"), (5, None, "q"), (6, "short", None), (6, "short", None), (7, some, "z"), (8, some, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = dedup(docs, length=200, carry=["lang"])
+    assert found.columns == ["doc_id", "lang", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
+    got = sorted(((r.doc_id, r.lang, bytes(r.kept).decode(), [tuple(x) for x in r.removed]) for r in found.collect()), key=str)
+    size = len(some.encode())
+    gone = {1: [(0, size)], 2: [(1, size + 1)], 7: [(0, size)], 8: [(0, size)]}
+    kept = {1: "a", 2: "b", 7: "", 8: ""}
+    assert got == sorted([(k, c, kept.get(k, t or ""), gone.get(k, [])) for k, t, c in rows], key=str)
+    # kept texts of single rows are not shuffled: at most one of the two steps that cut is below an exchange or broadcast
+    above, below = [], 0
+    for line in found._jdf.queryExecution().sparkPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-*"))
+        above = [x for x in above if x[0] < at] + [(at, line)]
+        below += "MapInArrow applied" in line and any("Join" in x for _, x in above)
+    assert below == 1 and found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow applied") == 2
+    with pytest.raises(ValueError):
+        dedup(docs.withColumnRenamed("lang", "digest"), carry=["digest"])
