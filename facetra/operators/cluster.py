@@ -249,7 +249,7 @@ def find_optimal_k(
     ``squared_silhouette`` uses squared distances and every row.
     """
     scales = scaling(df, features)
-    data = compact(vectors(df.select(*key, *features), scales), PASS_ROWS)
+    data = compact(vectors(df.select(*key, *features), scales), PASS_ROWS, FEW_TASKS)
     sample = exact_sample(data, key, sample_rows, seed).persist()
     try:
         fitted = fit_each(data, list(k_range), seed, restarts)
@@ -280,7 +280,7 @@ def assign_clusters(
     """All rows with their cluster; rows without all features get -1."""
     features = list(features or spec.features)
     scales = scaling(df, features)
-    data = compact(vectors(df.select(*features), scales).select("features"), PASS_ROWS)
+    data = compact(vectors(df.select(*features), scales).select("features"), PASS_ROWS, FEW_TASKS)
     try:
         model = fit_kmeans(data, n_clusters, seed, restarts)
     finally:

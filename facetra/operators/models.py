@@ -9,17 +9,16 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scale import compact, shared_folder, side_by_side
+from .forest import Forest, grow
 from .metrics import binary_metrics, class_metrics, regression_metrics, top_k_accuracy
 from .prepare import balanced_weights, category_statistic, encoder, labels_of, ordered_statistic
 
@@ -71,94 +70,11 @@ def fit_linear(train: DataFrame, target: str, stages: list, prediction: str = "p
     return _fit([*stages, ols], train)
 
 
-class Forest(Model, MLWritable, MLReadable):
-    """A forest in parts of ``PART_TREES`` trees, each an MLlib model of its own.
-
-    A tree counts alike in whatever part it is: predictions are means over the parts weighted by
-    their trees, as are class probabilities and importances.
-    """
-
-    def __init__(self, parts: Sequence[Model] = (), prediction: str = "prediction"):
-        super().__init__()
-        self.parts, self.prediction = list(parts), prediction
-
-    @property
-    def trees(self) -> list:
-        return [t for p in self.parts for t in p.trees]
-
-    @property
-    def classifies(self) -> bool:
-        return isinstance(self.parts[0], RandomForestClassificationModel)
-
-    def hasParam(self, paramName: str) -> bool:
-        return self.parts[0].hasParam(paramName)
-
-    @property
-    def _weights(self) -> list[float]:
-        counts = [p.getNumTrees for p in self.parts]
-        return [n / sum(counts) for n in counts]
-
-    @property
-    def featureImportances(self) -> DenseVector:
-        total = sum(w * p.featureImportances.toArray() for w, p in zip(self._weights, self.parts))
-        return DenseVector(total / total.sum() if total.sum() else total)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        names = [f"{self.prediction}_of_part_{i}" for i in range(len(self.parts))]
-        out = df
-        for name, part in zip(names, self.parts):
-            part = part.copy().setPredictionCol("" if self.classifies else name)
-            if self.classifies:
-                part = part.setRawPredictionCol("").setProbabilityCol(name)
-            out = part.transform(out)
-        if not self.classifies:
-            mean = sum((F.col(f"`{n}`") * F.lit(w) for n, w in zip(names[1:], self._weights[1:])), F.col(f"`{names[0]}`") * F.lit(self._weights[0]))
-            return out.withColumn(self.prediction, mean).drop(*names)
-        classes = self.parts[0].numClasses
-        held = [vector_to_array(F.col(f"`{n}`")) for n in names]
-        share = [sum((h[c] * F.lit(w) for h, w in zip(held[1:], self._weights[1:])), held[0][c] * F.lit(self._weights[0])) for c in range(classes)]
-        out = out.withColumn("probability", array_to_vector(F.array(*share))).drop(*names)
-        # the class of the largest share, the first one among equal shares
-        shares = vector_to_array("probability")
-        return out.withColumn(self.prediction, (F.array_position(shares, F.array_max(shares)) - 1).cast("double"))
-
-    def write(self) -> MLWriter:
-        return _ForestWriter(self)
-
-    @classmethod
-    def read(cls) -> MLReader:
-        return _ForestReader()
-
-
-class _ForestWriter(MLWriter):
-    """Parts under the path, then what reads them."""
-
-    def __init__(self, forest: Forest):
-        super().__init__()
-        self.forest = forest
-
-    def saveImpl(self, path: str) -> None:
-        for i, part in enumerate(self.forest.parts):
-            part.write().overwrite().save(f"{path}/part-{i}")
-        extra = {"parts": len(self.forest.parts), "prediction": self.forest.prediction, "classifies": self.forest.classifies}
-        DefaultParamsWriter.saveMetadata(self.forest, path, self.sparkSession, extraMetadata={"forest": extra})
-
-
-class _ForestReader(MLReader):
-    def load(self, path: str) -> Forest:
-        found = DefaultParamsReader.loadMetadata(path, SparkSession.active())
-        held = found["forest"]
-        kind = RandomForestClassificationModel if held["classifies"] else RandomForestRegressionModel
-        forest = Forest([kind.load(f"{path}/part-{i}") for i in range(held["parts"])], held["prediction"])
-        forest._resetUid(found["uid"])
-        return forest
-
-
 def _grow(stages: list, train: DataFrame, forest, params: dict) -> PipelineModel:
-    """``forest`` in parts with seeds of their own, some side by side.
+    """``forest`` over features that are made once: one tree a task, or in parts where rows are too many for that.
 
-    The feature stages run once; every part reads the same kept rows. A part that fails or
-    loses an executor is grown again alone by Spark's retries.
+    :func:`forest.grow` takes rows that tasks can hold as bins. Beyond that MLlib grows parts with seeds of their
+    own, some side by side; a part that fails or loses an executor is grown again alone by Spark's retries.
     """
     settings = {**FOREST, **params}
     trees, seed = settings.pop("numTrees"), settings.pop("seed")
@@ -171,10 +87,12 @@ def _grow(stages: list, train: DataFrame, forest, params: dict) -> PipelineModel
         return forest.copy().setParams(numTrees=sizes[i], seed=seed + i, **{**NODE_IDS, **settings}).fit(held)
 
     try:
-        parts = side_by_side(part, range(len(sizes)), PART_THREADS)
+        grown = grow(held, forest.copy().setParams(numTrees=trees, seed=seed, **{**NODE_IDS, **settings}), PART_TREES)
+        if grown is None:
+            parts = side_by_side(part, range(len(sizes)), PART_THREADS)
+            grown = parts[0] if len(parts) == 1 else Forest(parts, forest.getPredictionCol())
     finally:
         held.unpersist()
-    grown = parts[0] if len(parts) == 1 else Forest(parts, forest.getPredictionCol())
     return PipelineModel([*front.stages, grown])
 
 
@@ -306,7 +224,7 @@ def class_scores(model: PipelineModel, test: DataFrame, label: str, name: str, k
 
 def importances(model: PipelineModel, data: DataFrame, top_n: int | None = None) -> DataFrame:
     """Feature importances of the last stage with the assembled slot names."""
-    scored = model.transform(data.limit(0))
+    scored = PipelineModel(model.stages[:-1]).transform(data.limit(0))
     attrs = scored.schema["features"].metadata["ml_attr"]["attrs"]
     named = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
     values = model.stages[-1].featureImportances.toArray()

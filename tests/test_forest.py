@@ -74,3 +74,69 @@ def test_grown_over_compact_rows_with_kept_nodes(rows, monkeypatch):
     assert len(seen) == 2 and seen[1].rdd.getNumPartitions() == 1
     fits = [models.fit_forest_regressor(rows.coalesce(1), "y", front, **settings, cacheNodeIds=v).stages[-1] for v in (True, False)]
     assert fits[0].toDebugString.split("\n")[1:] == fits[1].toDebugString.split("\n")[1:]
+
+
+EXACT = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all", "maxDepth": 6}
+
+
+def test_one_tree_is_that_of_mllib(rows):
+    """Without draws the tree of arrays cuts as MLlib does, also where leaves are merged or must hold some rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    data = models.assembler(["a", "b", "c"]).transform(rows.withColumn("weight", F.lit(1.0) + F.col("hit")))
+    for more in ({}, {"minInstancesPerNode": 4}, {"maxBins": 8}):
+        settings = {**EXACT, **more}
+        mine = models.fit_forest_regressor(rows, "y", [models.assembler(["a", "b", "c"])], **settings)
+        theirs = RandomForestRegressor(labelCol="y", **settings).fit(data)
+        got, want = ({r.id: r.prediction for r in m.collect()} for m in (mine.transform(rows), theirs.transform(data)))
+        assert got == pytest.approx(want, abs=1e-12)
+        assert mine.stages[-1].featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=0.005)  # equal gains may fall to another feature
+        noise = data.withColumn("odd", (F.col("id") % 7 < 3).cast("int"))
+        for weight in (None, "weight"):
+            mine = models.fit_forest_classifier(noise.drop("features"), "odd", ["a", "b", "c"], weight, **{**settings, "maxDepth": 3})
+            one = RandomForestClassifier(labelCol="odd", **{**settings, "maxDepth": 3})
+            theirs = (one.setWeightCol(weight) if weight else one).fit(noise)
+            got, want = ({r.id: r.score for r in models.hit_probability(m, d).collect()} for m, d in ((mine, noise.drop("features")), (PipelineModel([theirs]), noise)))
+            assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_large_forest_stays_a_table(rows, monkeypatch, tmp_path):
+    """A forest beyond what the driver may hold scores by joins, and gives the same as one it holds."""
+    from facetra.operators import forest
+
+    front = [models.assembler(["a", "b", "c"])]
+    small = models.fit_forest_regressor(rows, "y", front, numTrees=25, maxDepth=8)
+    classes = models.fit_forest_classes(rows, "kind", ["a", "b"], numTrees=9, maxDepth=4)
+    assert small.stages[-1].held
+    monkeypatch.setattr(forest, "MAX_HELD_BYTES", 0)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(forest, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    if rows.sparkSession.sparkContext.getCheckpointDir() is None:
+        rows.sparkSession.sparkContext.setCheckpointDir(str(tmp_path / "kept"))
+    large = models.fit_forest_regressor(rows, "y", front, numTrees=25, maxDepth=8)
+    labelled = models.fit_forest_classes(rows, "kind", ["a", "b"], numTrees=9, maxDepth=4)
+    assert not large.stages[-1].held and len(large.stages[-1].trees) == 25
+    twice = rows.unionByName(rows)
+    got, want = ([tuple(r) for r in m.transform(twice).orderBy("id").collect()] for m in (large, small))
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and len(got) == 240
+    assert [r[-1] for r in got] == pytest.approx([r[-1] for r in want])
+    assert large.stages[-1].featureImportances == small.stages[-1].featureImportances
+    got, want = ({r.id: r.guess for r in models.predict_classes(m, rows, "guess").collect()} for m in (labelled, classes))
+    assert got == want
+    assert large.transform(rows.limit(0)).count() == 0
+    large.write().overwrite().save(str(tmp_path / "m"))
+    back = PipelineModel.load(str(tmp_path / "m"))
+    assert {r.id: r.prediction for r in back.transform(rows).collect()} == {r.id: r.prediction for r in large.transform(rows).collect()}
+
+
+def test_rows_too_many_for_a_task_go_to_mllib(rows, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    from facetra.operators import forest
+
+    monkeypatch.setattr(forest, "MAX_TASK_BYTES", 100)
+    monkeypatch.setattr(models, "PART_TREES", 2)
+    model = models.fit_forest_regressor(rows, "y", [models.assembler(["a", "b", "c"])], numTrees=4, maxDepth=4)
+    assert [type(p) for p in model.stages[-1].parts] == [RandomForestRegressionModel] * 2
+    assert model.transform(rows).count() == 120
