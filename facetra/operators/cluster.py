@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ SAMPLE_ROWS = 2000
 RESTARTS = 10
 START_THREADS = 5  # starts run side by side
 PASS_ROWS = 10_000  # rows of a task of a pass
+STRIP_ROWS = 2_048  # rows whose distances to all centres of one number are held at once
+MAX_TASK_BYTES = 128 << 20  # rows that every task may hold; larger fits make one pass a move
 MAX_ITER = 300
 TOLERANCE = 1e-4
 NO_CLUSTER = -1
@@ -114,24 +116,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "block"])
 
 
-def _moved(points, found: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Per set of centres: sums and sizes of its clusters and their cost, from one pass over the blocks."""
-
-    def partial(blocks):
-        totals = {}
-        for x in blocks:
-            for at, centres in found.items():
-                nearest = ((centres * centres).sum(axis=1)[None, :] - 2 * (x @ centres.T)).argmin(axis=1)
-                member = (nearest[:, None] == np.arange(len(centres))[None, :]).astype("float64")
-                gaps = x - centres[nearest]
-                one = (member.T @ x, member.sum(axis=0), float((gaps * gaps).sum()))
-                totals[at] = one if at not in totals else tuple(a + b for a, b in zip(totals[at], one))
-        return list(totals.items())
+def _moved(points, found: dict[int, np.ndarray], partial: Callable) -> dict[int, tuple]:
+    """Per set of centres: what ``partial`` adds up over the blocks, from one pass."""
 
     def both(a, b):
         return tuple(x + y for x, y in zip(a, b))
 
-    pairs = points.mapPartitions(partial)
+    pairs = points.mapPartitions(lambda blocks: partial(blocks, found))
     tasks = points.getNumPartitions()
     if tasks > FEW_TASKS:  # the sums of a few tasks meet on the driver
         pairs = pairs.reduceByKey(both, min(tasks, len(found)))
@@ -141,34 +132,172 @@ def _moved(points, found: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray,
     return totals
 
 
+def _settled(blocks: Iterable[np.ndarray], found: dict[int, np.ndarray]) -> list[tuple]:
+    """Sums and sizes of the clusters of every set, and its cost, set by set."""
+    totals: dict = {}
+    for x in blocks:
+        for at, centres in found.items():
+            nearest = ((centres * centres).sum(axis=1)[None, :] - 2 * (x @ centres.T)).argmin(axis=1)
+            member = (nearest[:, None] == np.arange(len(centres))[None, :]).astype("float64")
+            gaps = x - centres[nearest]
+            one = (member.T @ x, member.sum(axis=0), float((gaps * gaps).sum()))
+            totals[at] = one if at not in totals else tuple(a + b for a, b in zip(totals[at], one))
+    return list(totals.items())
+
+
+def _stepped(blocks: Iterable[np.ndarray], found: dict[int, np.ndarray]) -> list[tuple]:
+    """Sums and sizes of the clusters of every set: sets of one size go through the same products.
+
+    Rows lie across, so that the least of a few distances is found by comparing whole rows of them.
+    """
+    alike: dict[int, list[int]] = {}
+    for at, centres in found.items():
+        alike.setdefault(len(centres), []).append(at)
+    sums = {k: 0.0 for k in alike}
+    stacked = {}
+    for k, sets in alike.items():
+        c = np.stack([found[at] for at in sets], axis=1).reshape(k * len(sets), -1)  # first centres of all sets, then second ones
+        lines = np.column_stack([-2 * c, (c * c).sum(axis=1)]).reshape(k, len(sets), -1)
+        stacked[k] = np.ascontiguousarray((lines[1:] - lines[0]).reshape((k - 1) * len(sets), -1))  # how much farther than the first
+    held: dict[tuple, tuple] = {}  # memory of the products, taken once
+    for block in blocks:
+        for lo in range(0, len(block), STRIP_ROWS):
+            strip = block[lo : lo + STRIP_ROWS]
+            n = len(strip)
+            x = np.column_stack([strip, np.ones(n)])
+            across = np.ascontiguousarray(x.T)
+            for k, sets in alike.items():
+                shape = (len(sets), n)
+                if (k, n) not in held:
+                    kinds = [((k, *shape), "float64"), (shape, bool), (shape, "uint16"), (shape, "uint16"), ((k, *shape), bool)]
+                    held[k, n] = tuple(np.empty(*kind) for kind in kinds)
+                gaps, nearer, step, nearest, member = held[k, n]
+                np.matmul(stacked[k], across, out=gaps.reshape(k * len(sets), n)[len(sets) :])
+                least = gaps[0]
+                least[:] = nearest[:] = 0
+                for j in range(1, k):
+                    np.less(gaps[j], least, out=nearer)
+                    np.multiply(nearer, np.uint16(j), out=step)
+                    np.maximum(nearest, step, out=nearest)
+                    np.minimum(least, gaps[j], out=least)
+                np.equal(nearest[None], np.arange(k, dtype="uint16")[:, None, None], out=member)
+                np.copyto(gaps, member)
+                sums[k] = sums[k] + gaps.reshape(k * len(sets), n) @ x
+    out = []
+    for k, sets in alike.items():
+        if isinstance(sums[k], np.ndarray):
+            whole = sums[k].reshape(k, len(sets), -1)
+            out += [(at, (whole[:, i, :-1].copy(), whole[:, i, -1].copy())) for i, at in enumerate(sets)]
+    return out
+
+
+def _means(sums: np.ndarray, sizes: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """A cluster without rows keeps its centre."""
+    return np.where((sizes > 0)[:, None], sums / np.where(sizes > 0, sizes, 1.0)[:, None], centres)
+
+
+def _still(new: np.ndarray, old: np.ndarray) -> bool:
+    return bool((((new - old) ** 2).sum(axis=1) <= TOLERANCE**2).all())
+
+
+def _walked(x: np.ndarray, first: np.ndarray, max_iter: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """All moves of one set of centres over rows that the task holds: the sets before the last two moves, and the last.
+
+    A row is only compared again where the moves since its last comparison may have changed its nearest centre
+    (Hamerly's bounds: at most so far to its own centre, at least so far to any other).
+    """
+    (n, width), k = x.shape, len(first)
+    centres, before = first, []
+    label, own, other = np.zeros(n, "int64"), np.full(n, np.inf), np.zeros(n)
+    norms = np.einsum("ij,ij->i", x, x)
+    slack = 1e-6 * (1.0 + float(np.sqrt(norms.max()))) if n else 0.0  # of the rounding of distances
+    sums, sizes = np.zeros((k, width)), np.zeros(k)
+    for move in range(max_iter):
+        between = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(between, np.inf)
+        doubt = np.flatnonzero(own > np.maximum(other, (between.min(axis=1) / 2)[label]) - slack) if move else np.arange(n)
+        squares = (centres * centres).sum(axis=1)[:, None]
+        for lo in range(0, len(doubt), STRIP_ROWS):
+            rows = doubt[lo : lo + STRIP_ROWS]
+            p = x[rows]
+            gaps = squares - 2 * (centres @ p.T)
+            least, second, nearest = gaps[0].copy(), np.full(len(rows), np.inf), np.zeros(len(rows), "int64")
+            for j in range(1, k):
+                np.copyto(nearest, j, where=gaps[j] < least)
+                np.minimum(second, np.maximum(gaps[j], least), out=second)
+                np.minimum(least, gaps[j], out=least)
+            own[rows] = np.sqrt(np.maximum(least + norms[rows], 0.0))
+            other[rows] = np.sqrt(np.maximum(second + norms[rows], 0.0))
+            was = label[rows]
+            went = np.ones(len(rows), bool) if not move else nearest != was
+            if went.any():
+                label[rows] = nearest
+                for to, sign in ((nearest[went], 1.0), (was[went], -1.0))[: 1 + bool(move)]:
+                    sizes += sign * np.bincount(to, minlength=k)
+                    for c in range(width):
+                        sums[:, c] += sign * np.bincount(to, weights=p[went, c], minlength=k)
+        new = _means(sums, sizes, centres)
+        before = [*before[-1:], centres]
+        still, moved = _still(new, centres), np.sqrt(((new - centres) ** 2).sum(axis=1))
+        centres = new
+        if still:
+            break
+        own += moved[label]
+        other -= moved.max()
+    return before, centres
+
+
 def fit_each(data: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = RESTARTS, max_iter: int = MAX_ITER) -> dict[int, Clusters]:
     """The best of several starts by training cost, for every number of clusters. ``data`` should be cached.
 
-    MLlib places the first centres of every start (k-means||). The iterations of all starts of all
-    numbers then share their passes: one job moves every set of centres that still moves by more than
-    ``TOLERANCE``, so the number of jobs is that of the longest fit instead of the sum over fits.
+    MLlib places the first centres of every start (k-means||). A set of centres then moves until no centre
+    moves by more than ``TOLERANCE``. Where tasks can hold all rows, each set makes its moves in a task of its own.
+    Beyond that all sets share their passes: one job moves every set that still moves, so the number of jobs
+    is that of the longest fit instead of the sum over fits. The last two moves of all sets are made once
+    more together, set by set over the blocks of rows, which gives the centres and costs.
     """
     starts = [(k, seed + at) for k in ks for at in range(restarts)]
+    plain = data.select("features")  # not kept itself, so that MLlib keeps its own form for the passes of a start
 
     def started(start: tuple[int, int]) -> np.ndarray:
         k, own = start
-        return np.array(KMeans(k=k, maxIter=0, seed=own).fit(data).clusterCenters())
+        return np.array(KMeans(k=k, maxIter=0, seed=own).fit(plain).clusterCenters())
 
     centres = dict(enumerate(side_by_side(started, starts, START_THREADS)))
+    before: dict[int, list[np.ndarray]] = {i: [] for i in centres}  # the last two moves
     costs = dict.fromkeys(centres, 0.0)
     blocks = data.select(vector_to_array("features").alias("x")).mapInArrow(_packed, "n long, block binary").persist()
+    context = data.sparkSession.sparkContext
     try:
         points = blocks.rdd.map(lambda r: np.frombuffer(r.block).reshape(r.n, -1))
-        moving = set(centres)
-        for _ in range(max_iter):
-            for at, (sums, sizes, cost) in _moved(points, {i: centres[i] for i in sorted(moving)}).items():
-                filled = sizes > 0  # a cluster without rows keeps its centre
-                new = np.where(filled[:, None], sums / np.where(filled, sizes, 1.0)[:, None], centres[at])
-                if (((new - centres[at]) ** 2).sum(axis=1) <= TOLERANCE**2).all():
-                    moving.discard(at)
-                centres[at], costs[at] = new, cost
-            if not moving:
-                break
+        n = blocks.agg(F.sum("n")).first()[0] or 0
+        width = len(next(iter(centres.values()))[0])
+        if 0 < n * width * 8 <= MAX_TASK_BYTES and max_iter:
+            whole = np.concatenate([np.frombuffer(b.as_buffer()) for b in blocks.select("block").toArrow()["block"]]).reshape(n, width)
+            rows = context.broadcast(whole)
+            del whole
+            sets = sorted(centres.items(), key=lambda s: -len(s[1]))  # the longest first
+            try:
+                for at, walk in context.parallelize(sets, len(sets)).map(lambda s: (s[0], _walked(rows.value, s[1], max_iter))).collect():
+                    before[at], centres[at] = walk
+            finally:
+                rows.unpersist()
+        else:
+            moving = set(centres)
+            for _ in range(max_iter):
+                for at, (sums, sizes) in _moved(points, {i: centres[i] for i in sorted(moving)}, _stepped).items():
+                    new = _means(sums, sizes, centres[at])
+                    if _still(new, centres[at]):
+                        moving.discard(at)
+                    before[at] = [*before[at][-1:], centres[at]]
+                    centres[at] = new
+                if not moving:
+                    break
+        for move in (-2, -1):
+            again = {i: v[0] for i, v in before.items() if len(v) >= -move}
+            for at, (sums, sizes, cost) in (_moved(points, again, _settled) if again else {}).items():
+                centres[at], costs[at] = _means(sums, sizes, again[at]), cost
+                before[at] = [centres[at]] if move == -2 else []
     finally:
         blocks.unpersist()
     best = {k: min((i for i, s in enumerate(starts) if s[0] == k), key=costs.get) for k in ks}
